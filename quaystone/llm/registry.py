@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quaystone.llm.chunk_reuse import op8_bpe
+from quaystone.llm.packing import op1_packing
 from quaystone.llm.prefix_counts import op3_token_counts
+from quaystone.llm.token_files import op7_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": op1_packing,
         "op3_token_counts": op3_token_counts,
+        "op7_token_files": op7_token_files,
         "op8_bpe": op8_bpe,
     }
 
