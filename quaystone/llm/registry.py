@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quaystone.llm.chunk_reuse import op8_bpe
+from quaystone.llm.language_id import op5_language_id
 from quaystone.llm.packing import op1_packing
 from quaystone.llm.prefix_counts import op3_token_counts
+from quaystone.llm.quality import op9_quality
 from quaystone.llm.token_files import op7_token_files
 
 
@@ -16,8 +18,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op3_token_counts": op3_token_counts,
+        "op5_language_id": op5_language_id,
         "op7_token_files": op7_token_files,
         "op8_bpe": op8_bpe,
+        "op9_quality": op9_quality,
     }
 
 
