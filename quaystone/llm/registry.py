@@ -10,6 +10,7 @@ from quaystone.llm.chunk_reuse import op8_bpe
 from quaystone.llm.jaccard import op10_jaccard
 from quaystone.llm.language_id import op5_language_id
 from quaystone.llm.lm_scoring import op6_lm_scoring
+from quaystone.llm.neighbours import op4_nearest
 from quaystone.llm.packing import op1_packing
 from quaystone.llm.prefix_counts import op3_token_counts
 from quaystone.llm.quality import op9_quality
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op3_token_counts": op3_token_counts,
+        "op4_nearest": op4_nearest,
         "op5_language_id": op5_language_id,
         "op6_lm_scoring": op6_lm_scoring,
         "op7_token_files": op7_token_files,
