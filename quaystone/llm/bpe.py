@@ -8,7 +8,7 @@ for any text that engine refuses, ``tokenizers`` itself encodes.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -33,14 +33,9 @@ class ByteBpe:
     """Encodes texts as ``tokenizers`` does with ``add_special_tokens=False`` and its defaults otherwise."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         to_byte = _char_to_byte()
         vocab = spec["model"]["vocab"]
@@ -54,6 +49,16 @@ class ByteBpe:
             self.core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens=self.special)._core_bpe
         self.specials = set(self.special)
 
+    @cached_property
+    def library(self):
+        """The ``tokenizers`` object, loaded only where it is needed."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     def _regular(self, spec: dict, vocab: dict[str, int]) -> bool:
         pre = spec.get("pre_tokenizer") or {}
         if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
