@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quaystone.llm.chunk_reuse import op8_bpe
 from quaystone.llm.jaccard import op10_jaccard
 from quaystone.llm.language_id import op5_language_id
+from quaystone.llm.licenses import op2_licenses
 from quaystone.llm.lm_scoring import op6_lm_scoring
 from quaystone.llm.neighbours import op4_nearest
 from quaystone.llm.packing import op1_packing
@@ -20,6 +21,7 @@ from quaystone.llm.token_files import op7_token_files
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_licenses": op2_licenses,
         "op3_token_counts": op3_token_counts,
         "op4_nearest": op4_nearest,
         "op5_language_id": op5_language_id,
