@@ -103,13 +103,18 @@ def trusted_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """The same rows, behind a generator that filters aren't pushed through: pushed into a lambda, they would split the text once a word."""
+    return df.select(F.explode_outer(F.array(F.struct("*"))).alias("settled")).select("settled.*")
+
+
 def score(rated: DataFrame, weights: list[float], shrink: int = SHRINK, threshold: float = THRESHOLD) -> DataFrame:
     """Adds score and kept to the result of ``base_rules``."""
     table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<double>")  # folded into a literal
     found = features(F.col("words"), len(weights))
     total = F.aggregate(found, F.lit(0.0), lambda a, b: a + F.get(table, b.cast("int")))
     n = F.greatest(2 * F.col("n_words") - 1, F.lit(0)) + shrink
-    return rated.withColumn("score", total / n).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    return _settled(rated.withColumn("score", total / n).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("words"))
 
 
 def rate(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
