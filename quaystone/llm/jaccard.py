@@ -35,6 +35,8 @@ RATIO, SLACK = 1.35, 1.2
 COMMON_SHARE, COMMON_LEAST = 1e-3, 16
 #: Shingles of a block, and nodes of a group of the token-group matrix.
 BLOCK_SHINGLES, GROUP_NODES = 1 << 19, 24
+#: Bits of the map of ids whose texts are needed again (8 MB).
+FILTER_BITS = 1 << 26
 #: Signatures that a task gathers before it sends them on.
 GATHERED = 3_000_000
 
@@ -290,6 +292,29 @@ def _join_cells(k: int, percent: int):
     return run
 
 
+def _bit_map(ids: DataFrame, bits: int = FILTER_BITS):
+    """A broadcast bit map of fixed size in which the ids' hashes are set; it is made up on the executors, word by word."""
+    h = F.xxhash64(F.col("doc_id")).bitwiseAND(bits - 1)
+    words = ids.select(F.shiftright(h, 6).alias("word"), F.expr("shiftleft(1L, cast(xxhash64(doc_id) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.uint64)
+    return ids.sparkSession.sparkContext.broadcast(table)
+
+
+def _only(rows: DataFrame, bit_map) -> DataFrame:
+    """The rows whose id may be in the bit map, so that the others' texts aren't shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = bit_map.value
+        for batch in batches:
+            h = batch.column(2).to_numpy().astype(np.uint64) & np.uint64(64 * len(table) - 1)
+            there = table[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1) == 1
+            if there.any():
+                yield pa.RecordBatch.from_arrays(list(batch.filter(pa.array(there)).columns[:2]), names=["doc_id", "text"])
+
+    return rows.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, rows.schema)
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach, its own included.
 
@@ -317,7 +342,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     members = base.materialise(per_node.join(clusters, "node"), "members")
     blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = placed.join(rows.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("cluster", "blocks", "node", "block", "text")
+    wanted = _only(rows, _bit_map(members.select("doc_id")))
+    texts = placed.join(wanted.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("cluster", "blocks", "node", "block", "text")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("left"), F.greatest(x, F.col("block")).alias("right")))
     cells = texts.withColumn("cell", F.explode(others)).select("cluster", "cell.left", "cell.right", "node", "block", "text")
     cells = cells.repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right")
