@@ -71,7 +71,8 @@ def read_json_documents(spark: SparkSession, folder: str, schema: T.StructType,
     read = spark.read.schema(wide).options(multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", pathGlobFilter="*.json").json(folder)
     read = read.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
     last = Window.partitionBy(key).orderBy(F.desc("file"))
-    invalid = read.where("_corrupt is not null").select("file", F.lit("invalid JSON").alias("error"))
+    # a query of the corrupt column alone isn't allowed, so the key is looked at too
+    invalid = read.where("_corrupt is not null").select("file", F.coalesce(F.concat(F.lit("invalid JSON near "), key), F.lit("invalid JSON")).alias("error"))
     good = read.where("_corrupt is null").drop("_corrupt").withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
     return good, invalid
 

@@ -38,7 +38,7 @@ def page_snapshot(source_id: Column, url: Column, retrieved_at: Column, html: Co
 
 def calendar_document(uid: Column, day: Column, title: Column, details: Column, stamp: Column) -> Column:
     """An all-day iCalendar event: from ``day`` to the day after."""
-    plain = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit(";"), F.lit("\;")), F.lit(","), F.lit("\\,")), F.lit("\n"), F.lit("\\n"))
+    plain = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit(";"), F.lit("\\;")), F.lit(","), F.lit("\\,")), F.lit("\n"), F.lit("\\n"))
     lines = [F.lit("BEGIN:VCALENDAR"), F.lit("VERSION:2.0"), F.lit("PRODID:-//quaystone//reminders//EN"), F.lit("BEGIN:VEVENT")]
     lines += [F.concat(F.lit("UID:"), uid), F.concat(F.lit("DTSTAMP:"), F.date_format(stamp, "yyyyMMdd'T'HHmmss'Z'"))]
     lines += [F.concat(F.lit("DTSTART;VALUE=DATE:"), F.date_format(day, "yyyyMMdd")), F.concat(F.lit("DTEND;VALUE=DATE:"), F.date_format(F.date_add(day, 1), "yyyyMMdd"))]
