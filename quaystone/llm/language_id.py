@@ -50,15 +50,15 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     joined = "\x00\x00".join(["", *texts.to_pylist(), ""])
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(t) for t in texts.to_pylist()], np.int64) + 2
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    codes = _table[0][points[: len(owner)]]
+    owner = np.append(np.repeat(np.arange(len(lengths)), lengths), [len(lengths)] * 2)
+    codes = _table[0][points]
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)  # squeeze runs of separators
     codes, owner = codes[keep].astype(np.int64), owner[keep]
     if len(codes) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     keys = codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:]
-    whole = (codes[1:-1] != 0) & (owner[1:-1] == owner[:-2])
+    whole = codes[1:-1] != 0  # texts are apart by a separator, so its neighbours are the same text's or separators
     return keys[whole], owner[1:-1][whole]
 
 
@@ -134,6 +134,7 @@ def train(docs: DataFrame, least_share: float = LEAST_SHARE, least_ratio: float
     """Learn from every row that has a label. Counting is pre-aggregated by partition; what reaches the driver is bounded
     by languages x 1/least_share trigrams. Rows with a null label or text teach nothing; no labelled rows give a
     filter without languages, which calls every text ``und``."""
+    base.small_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
     rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text")).where("lang is not null and text is not null")
     counts = base.materialise(rows.mapInArrow(_counts, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "trigrams")
