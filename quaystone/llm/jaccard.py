@@ -31,8 +31,10 @@ from quaystone.llm.words import mix, shingle_hashes, word_hashes
 
 #: Size classes grow by RATIO; parts are SLACK times the number of differences, and one more.
 RATIO, SLACK = 1.35, 1.2
-#: A shingle in this share of documents is very common (a document has a bounded mean number of shingles, so these are few).
-COMMON_SHARE, COMMON_LEAST = 1e-3, 16
+#: A shingle counted in this many distinct texts, and this share of all documents, is common. It only steers which parts are left out.
+COMMON_LEAST, COMMON_SHARE = 12, 1e-7
+#: Bits of the filter of common shingles, and of a task's note of the shingles it has seen (16 MB each, fixed).
+COMMON_BITS = 1 << 27
 #: Shingles of a block, and nodes of a group of the token-group matrix.
 BLOCK_SHINGLES, GROUP_NODES = 1 << 19, 24
 #: Bits of the map of ids whose texts are needed again (8 MB).
@@ -81,14 +83,21 @@ class Classes:
             down = down - 1
 
 
+def _bits_of(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64(COMMON_BITS - 1)
+    return (tokens & mask).astype(np.int64), (tokens >> np.uint64(32) & mask).astype(np.int64)
+
+
+def _is_set(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return table[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1
+
+
 def signatures(tokens: np.ndarray, ends: np.ndarray, common: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the sets' parts and the set each belongs to."""
+    """Signatures of the sets' parts and the set each belongs to. common: the filter of common shingles."""
     sizes = np.diff(ends)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    rare = np.ones(len(tokens))
-    if len(common) and len(tokens):
-        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-        rare[common[at] == tokens] = 0
+    one, two = _bits_of(tokens)
+    rare = (~(_is_set(common, one) & _is_set(common, two))).astype(np.float64)
     out, whose = [], []
     for kinds in classes.of(sizes) if len(sizes) else ():
         used = np.flatnonzero(kinds >= 0)
@@ -126,21 +135,33 @@ _SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_sh
 
 def _describe(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, keys, n = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        met, noted = set(), np.zeros(COMMON_BITS // 64, np.uint64)
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def send() -> pa.RecordBatch:
+            null = pa.nulls(len(keys), pa.int64())
+            return pa.RecordBatch.from_arrays([null, null, null, pa.array(keys.astype(np.int64)), pa.array(n)], names=_SETS.names)
+
         for batch in base.slices(batches):
             tokens, ends, nodes = sets_of(batch.column(1), k)
             sizes = np.diff(ends)
-            docs += len(sizes)
-            again, times = np.unique(tokens, return_counts=True)
-            keys, at = np.unique(np.concatenate([keys, again[times > 1]]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([n, times[times > 1]]), len(keys)).astype(np.int64)
-            if len(keys) > 1_000_000:
-                keys, n = keys[n > 0.5 * COMMON_SHARE * docs], n[n > 0.5 * COMMON_SHARE * docs]
             null = pa.nulls(len(sizes), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(nodes, mask=sizes == 0), null, null], names=_SETS.names)
-        hot = n >= max(2, COMMON_SHARE * docs)
-        null = pa.nulls(int(hot.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([null, null, null, pa.array(keys[hot].astype(np.int64)), pa.array(n[hot])], names=_SETS.names)
+            fresh = np.array([not (x in met or met.add(x)) for x in nodes.tolist()], bool)  # copies count once
+            new, times = np.unique(tokens[np.repeat(fresh, sizes)], return_counts=True)
+            one, two = _bits_of(new)
+            seen = _is_set(noted, one) & _is_set(noted, two)
+            for at in (one, two):
+                np.bitwise_or.at(noted, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+            again = seen | (times > 1)
+            known = np.isin(new, keys, assume_unique=True)
+            more = times + (seen & ~known)  # with the first sight, which was only noted
+            keys, at = np.unique(np.concatenate([keys, new[again]]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, more[again]]), len(keys)).astype(np.int64)
+            if len(keys) > GATHERED:
+                yield send()
+                keys, n = keys[:0], n[:0]
+        yield send()
 
     return run
 
@@ -292,13 +313,12 @@ def _join_cells(k: int, percent: int):
     return run
 
 
-def _bit_map(ids: DataFrame, bits: int = FILTER_BITS):
-    """A broadcast bit map of fixed size in which the ids' hashes are set; it is made up on the executors, word by word."""
-    h = F.xxhash64(F.col("doc_id")).bitwiseAND(bits - 1)
-    words = ids.select(F.shiftright(h, 6).alias("word"), F.expr("shiftleft(1L, cast(xxhash64(doc_id) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+def _bit_table(places: DataFrame, bits: int):
+    """A broadcast bit table of fixed size with the bits ``at`` of the rows set; it is made up on the executors, word by word."""
+    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
     table = np.zeros(bits // 64, np.uint64)
     table[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.uint64)
-    return ids.sparkSession.sparkContext.broadcast(table)
+    return places.sparkSession.sparkContext.broadcast(table)
 
 
 def _only(rows: DataFrame, bit_map) -> DataFrame:
@@ -307,8 +327,7 @@ def _only(rows: DataFrame, bit_map) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bit_map.value
         for batch in batches:
-            h = batch.column(2).to_numpy().astype(np.uint64) & np.uint64(64 * len(table) - 1)
-            there = table[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1) == 1
+            there = _is_set(table, batch.column(2).to_numpy() & (64 * len(table) - 1))
             if there.any():
                 yield pa.RecordBatch.from_arrays(list(batch.filter(pa.array(there)).columns[:2]), names=["doc_id", "text"])
 
@@ -329,9 +348,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     sets = described.where("shingle is null").select("doc_id", "n_shingles", "node")
     n_docs = sets.count()
     least = max(COMMON_LEAST, COMMON_SHARE * n_docs)
-    # at most (mean shingles of a document) / COMMON_SHARE rows
-    hot = described.where("shingle is not null").groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") >= least).select("shingle").toArrow()
-    common = spark.sparkContext.broadcast(np.sort(hot.column(0).to_numpy().astype(np.uint64)))
+    hot = described.where("shingle is not null").groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") >= least)
+    shingle, mask = F.col("shingle"), F.lit(COMMON_BITS - 1).cast("long")
+    common = _bit_table(hot.select(F.explode(F.array(shingle.bitwiseAND(mask), F.shiftrightunsigned(shingle, 32).bitwiseAND(mask))).alias("at")), COMMON_BITS)
 
     stars = rows.mapInArrow(_stars(k, percent, common), _STARS)
     leader = F.min(F.when(F.col("b").isNull(), F.col("a"))).over(_by("signature"))
@@ -342,7 +361,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     members = base.materialise(per_node.join(clusters, "node"), "members")
     blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    wanted = _only(rows, _bit_map(members.select("doc_id")))
+    wanted = _only(rows, _bit_table(members.select(F.xxhash64("doc_id").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long")).alias("at")), FILTER_BITS))
     texts = placed.join(wanted.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("cluster", "blocks", "node", "block", "text")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("left"), F.greatest(x, F.col("block")).alias("right")))
     cells = texts.withColumn("cell", F.explode(others)).select("cluster", "cell.left", "cell.right", "node", "block", "text")
