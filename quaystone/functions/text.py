@@ -107,3 +107,17 @@ def after_last_marker(blocks: Column, marker: str = "fallback", dropped: tuple[s
     places = F.transform(blocks, lambda b, i: F.when(b["type"] == marker, i).otherwise(-1))
     last = F.coalesce(F.array_max(places), F.lit(-1))
     return F.filter(blocks, lambda b, i: (i > last) | ~F.coalesce(b["type"].isin(*dropped), F.lit(False)))
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with separators."""
+    return F.format_number(n, 0)
+
+
+def clamp(x: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+
+
+def date_part_of(stamp: Column) -> Column:
+    """The date of an ISO timestamp text."""
+    return F.substring(stamp, 1, 10)

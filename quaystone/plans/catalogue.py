@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quaystone.functions import dates, geo, html
 from quaystone.functions import text as X
-from quaystone.operators import kb, quality, reports, summaries
+from quaystone.operators import kb, metrics, quality, reports, summaries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -279,3 +279,42 @@ def histogram(t):
 def closure_rate(t):
     rates = reports.closure_rate(_event_reports(t), "service_id")
     return rates.withColumn("closure_rate", F.round("closure_rate", 6))
+
+
+@_query("""SELECT event_type, cast(date_trunc('month', ts) AS DATE) AS month, count(*) AS n FROM events WHERE user_id < 40 GROUP BY 1, 2 HAVING count(*) >= 5""")
+def published_counts(t):
+    return metrics.published(t("events").where("user_id < 40").withColumn("day", F.to_date("ts")), ["event_type"], "day")
+
+
+@_query("""WITH r AS (SELECT round(100.0 * count(*) FILTER (event_type = 'error' AND user_id % 2 = 0) / count(*) FILTER (user_id % 2 = 0), 1)::DOUBLE AS first_pct,
+ round(100.0 * count(*) FILTER (event_type = 'error' AND user_id % 2 = 1) / count(*) FILTER (user_id % 2 = 1), 1)::DOUBLE AS second_pct FROM events)
+ SELECT first_pct, second_pct, round(second_pct - first_pct, 1)::DOUBLE AS gap FROM r""")
+def outcome_gap(t):
+    e = t("events").withColumn("group", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd"))
+    return metrics.outcome_gap(e, "group", F.col("event_type") == "error", "even", "odd")
+
+
+@_query("""SELECT 'service-' || (user_id % 20) AS service_id, count(*) AS n FROM events WHERE event_type = 'signup' GROUP BY 1 ORDER BY n DESC, service_id LIMIT 10""")
+def most_requested(t):
+    return metrics.most_requested(_event_reports(t), "signup")
+
+
+@_query("""SELECT l_returnflag, count(*) AS n, round(avg(CASE WHEN cast(l_shipdate AS DATE) <= cast(o_orderdate AS DATE) + 60 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS on_time_rate
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
+def on_time_rate(t):
+    due = t("orders").select("o_orderkey", F.date_add(F.to_date("o_orderdate"), 60).alias("due"))
+    cases = t("lineitem").select("l_orderkey", "l_returnflag", F.to_date("l_shipdate").alias("closed")).join(due, F.col("l_orderkey") == F.col("o_orderkey"))
+    return metrics.on_time_rate(cases, "closed", "due", "l_returnflag").withColumn("on_time_rate", F.round("on_time_rate", 6))
+
+
+@_query("""SELECT c_custkey AS service_id, c_nationkey AS ente, n_name AS body FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 20""")
+def service_bodies(t):
+    services = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("ente"))
+    bodies = t("nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("role_it"))
+    return metrics.service_bodies(services, bodies).drop("role_it")
+
+
+@_query("""SELECT doc_id, replace(replace(replace(replace(replace(substr(text, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped,
+ sha256(text) AS digest FROM documents""")
+def escaped_text(t):
+    return t("documents").select("doc_id", X.html_escape(F.substring("text", 1, 200)).alias("escaped"), F.sha2("text", 256).alias("digest"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quaystone.functions import dates, geo, html
 from quaystone.functions import text as X
-from quaystone.operators import kb, offices, quality, reports, summaries
+from quaystone.operators import kb, metrics, offices, quality, reports, summaries
 from quaystone.operators.tools import DECLARATIONS, KnowledgeBase
 from quaystone.sources import readers, schemas, sinks
 from quaystone.streaming import reports as stream
@@ -273,3 +273,14 @@ def test_weekly_groups_stream(spark, tmp_path):
     stream.write_groups(groups, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(str(r["week_start"]), r["count"], r["over_threshold"]) for r in rows] == [("2026-01-05 00:00:00", 3, True)]
+
+
+def test_metrics(spark):
+    groups = spark.createDataFrame([("s", "c", 7), ("t", "c", 2)], "service_id string, cause string, count long")
+    decided = metrics.approvals(groups, spark.createDataFrame([("s", "c", True)], "service_id string, cause string, approved boolean"))
+    assert {(r["service_id"], r["approved"]) for r in decided.collect()} == {("s", True), ("t", False)}
+    trace = spark.createDataFrame([(1, "find_offices", "[{}, {}]"), (2, "get_source", '{"error": "x"}'), (3, "get_service", '{"id": 1}')], "step int, tool string, output string")
+    assert [r["returned"] for r in metrics.trace_summary(trace).orderBy("step").collect()] == ["2 items", "error", "1 object"]
+    assert metrics.key_figure(groups, "service_id", "s", "count").first()["figure"] == 7
+    cost = spark.range(1).select(metrics.avoided_cost(F.lit(0.3), F.lit(0.2), F.lit(100), F.lit(20.0)).alias("c"), X.thousands(F.lit(19755)).alias("t"), X.clamp(F.lit(2.0), 1.0, 1.3).alias("k"), X.date_part_of(F.lit("2026-10-03T10:00")).alias("d")).first()
+    assert (round(cost["c"], 6), cost["t"], cost["k"], cost["d"]) == (200.0, "19,755", 1.3, "2026-10-03")
