@@ -81,6 +81,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: in
             at = to
 
 
+def least_hashes(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The n rows (all, if fewer) with the least hashes of ``keys``: a sample that doesn't depend on the partitions.
+
+    A bound on the hash, from a count, lets about 1.5 n rows through first, so that partitions don't send n rows each. Keys that
+    repeat very often can leave fewer than n.
+    """
+    h, total = F.xxhash64(*keys), df.count()
+    if total > 2 * n:
+        df = df.where(h < int(-(2**63) + 2**64 * 1.5 * n / total))
+    return df.orderBy(h, *keys).limit(n)
+
+
 def fold_of(doc_id: str = "doc_id", folds: int = 5):
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
