@@ -67,7 +67,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most_bytes`` of text at most (a longer single text stands alone)."""
     for batch in batches:
         if batch.num_rows == 0:

@@ -41,16 +41,18 @@ class PrefixTables(dict):
     def __init__(self, engine: bpe.ByteBpe):
         super().__init__()
         self.engine, self.ranks = engine, engine.ranks
-        self.longest = max(map(len, engine.ranks))
+        #: last three bytes -> lengths of the tokens that end so, longest first, then 2 and 1
+        lengths: dict[bytes, set[int]] = {}
+        for token in engine.ranks:
+            if len(token) > 2:
+                lengths.setdefault(token[-3:], set()).add(len(token))
+        self.ending = {tail: (*sorted(found, reverse=True), 2, 1) for tail, found in lengths.items()}
         self.stable: dict[int, bool] = {}
-        #: byte prefix -> count << 32 | last token; pre-tokens with a common beginning share it
-        self.prefixes: dict[bytes, int] = {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) > KEPT_TABLES:
             self.clear()
             self.stable.clear()
-            self.prefixes.clear()
         raw = piece.encode()
         counts = self.byte_counts(raw)
         if len(raw) != len(piece):  # keep the counts where a character ends
@@ -65,15 +67,17 @@ class PrefixTables(dict):
 
     def byte_counts(self, raw: bytes) -> list[int]:
         """The token count of each byte prefix, 0 first."""
-        n, ranks, stable, known = len(raw), self.ranks, self.stable, self.prefixes
-        counts, last, short = [0] * (n + 1), [-1] * (n + 1), n <= 64
+        n, ranks, stable, ending = len(raw), self.ranks, self.stable, self.ending
+        counts, last, at = [0] * (n + 1), [-1] * (n + 1), 0
+        for k, token in enumerate(self.engine.encode_piece(raw), 1):  # the whole pre-token's encoding settles where its tokens end
+            at += len(self.engine.token_bytes[token])
+            counts[at], last[at] = k, token
         for i in range(1, n + 1):
-            if short and (state := known.get(raw[:i])) is not None:
-                counts[i], last[i] = state >> 32, state & 0xFFFFFFFF
+            if counts[i]:
                 continue
-            for j in range(max(0, i - self.longest), i):
-                token = ranks.get(raw[j:i])
-                if token is None:
+            for length in ending.get(raw[i - 3 : i] if i > 2 else b"", (2, 1)):
+                j = i - length
+                if j < 0 or (token := ranks.get(raw[j:i])) is None:
                     continue
                 if j:
                     pair = last[j] << 32 | token
@@ -84,8 +88,6 @@ class PrefixTables(dict):
                         continue
                 counts[i], last[i] = counts[j] + 1, token
                 break
-            if short:
-                known[raw[:i]] = counts[i] << 32 | last[i]
         return counts
 
 
