@@ -16,26 +16,30 @@ LEAST_LANGUAGE_SCORE = 0.25
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """row (all columns as they are), doc_id, text: names that a stage adds can't clash with the documents' own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that are ``und`` (null, or without letters) or in no language that the labelled rows teach.
 
     Without any labelled row there is nothing to tell languages by, and only texts without letters go.
     """
     model = language_id.train(docs)
-    rated = language_id.identify(docs, model, keep=True)
+    rated = language_id.identify(_whole(docs), model, keep=True)
     if model.languages:
         kept = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)
     else:
         kept = F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
-    return rated.where(kept).select(docs.columns)
+    return rated.where(kept).select("row.*")
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail a base rule or the likelihood ratio; the target is ``labels``' good documents among ``docs``."""
     rows = base.id_and_text(docs)
     weights = quality.fit(rows, quality.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), docs["text"].cast("string").alias("text"))
-    return quality.score(quality.base_rules(whole), weights).where("kept").select("row.*")
+    return quality.score(quality.base_rules(_whole(docs)), weights).where("kept").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +50,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     groups = jaccard.jaccard_components(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
     smallest = groups.where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id", "_tie").orderBy("_tie")
-    keyed = docs.withColumn("_tie", F.xxhash64("text"))
-    named = keyed.join(smallest, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    first = Window.partitionBy("doc_id", "tie").orderBy("tie")
+    keyed = _whole(docs).withColumn("tie", F.xxhash64("text"))
+    named = keyed.join(smallest, "doc_id", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1")
     unnamed = keyed.where("doc_id is null").dropDuplicates(["text"])
-    return named.select(docs.columns).union(unnamed.select(docs.columns))
+    return named.select("row").union(unnamed.select("row")).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

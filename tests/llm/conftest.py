@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, score double, node long, part int, rank long, length string, row string, kept boolean, h long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, score double, node long, part int, rank long, length string, row string, kept boolean, h long, lang_pred string, lang_score double, tie long, nth int, block int, cluster long"
 VOWELS = {"en": "the and ing ther ation of to is was ent".split(), "fr": "le la que été ère aux tion ç eau ou".split(), "de": "der und sch ung ein keit ü ß von zu".split()}
 
 
@@ -15,7 +15,7 @@ def prose(rng, lang, n):
 
 
 def row(doc_id, text, lang=None):
-    return (doc_id, text, lang, "s", 0, "w", 0.5, 1, 2, 3, "x", "y", True, 9)
+    return (doc_id, text, lang, "s", 0, "w", 0.5, 1, 2, 3, "x", "y", True, 9, "z", 0.1, 1, 2, 3, 4)
 
 
 @pytest.fixture(scope="session")

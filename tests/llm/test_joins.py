@@ -164,6 +164,7 @@ def test_pipeline_stages(spark, docs, texts, tmp_path):
         out.write.parquet(f"{sf_dir}/{name}")
         now = spark.read.parquet(f"{sf_dir}/{name}")
         left.append([tuple(r)[:2] for r in now.collect()])
+    assert now.select("lang_pred", "tie").distinct().collect() == docs.select("lang_pred", "tie").distinct().collect()
     language, quality_, joined = left
     assert not any(t is None or not t.strip() for _, t in language) and len(language) >= 80
     assert all(len(WORD.findall(t)) >= 10 for _, t in quality_)
