@@ -100,7 +100,7 @@ def fit(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS) -> list[
 def trusted_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
     """doc_id of rows labelled quality 1, one each; of more than ``rows``, those with the least hashes."""
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return base.least_hashes(good, rows, "doc_id")
 
 
 def _settled(df: DataFrame) -> DataFrame:
