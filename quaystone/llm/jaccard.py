@@ -33,14 +33,14 @@ from quaystone.llm.words import mix, shingle_hashes, word_hashes
 RATIO, SLACK = 1.35, 1.2
 #: A shingle counted in this many distinct texts, and this share of all documents, is common. It only steers which parts are left out.
 COMMON_LEAST, COMMON_SHARE = 12, 1e-7
-#: Bits of the filter of common shingles, and of a task's note of the shingles it has seen (16 MB each, fixed).
-COMMON_BITS = 1 << 27
+#: Bits of the filter of common shingles, and of a task's note of the shingles it has seen (8 MB each, fixed).
+COMMON_BITS = 1 << 26
 #: Shingles of a block, and nodes of a group of the token-group matrix.
 BLOCK_SHINGLES, GROUP_NODES = 1 << 19, 24
-#: Bits of the map of ids whose texts are needed again (8 MB).
-FILTER_BITS = 1 << 26
+#: Bits of the map of ids whose texts are needed again (4 MB).
+FILTER_BITS = 1 << 25
 #: Signatures that a task gathers before it sends them on.
-GATHERED = 3_000_000
+GATHERED = 1_500_000
 
 
 def sets_of(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,7 +245,7 @@ class Matrix:
                 continue
             # the group's column of the matrix, and its members' own columns for when it is opened
             column = np.zeros(self.n_tokens, np.int16)
-            own = np.zeros((self.n_tokens, len(members)), bool) if len(members) * self.n_tokens <= 1 << 27 else None
+            own = np.zeros((self.n_tokens, len(members)), bool) if len(members) * self.n_tokens <= 1 << 25 else None
             for j, x in enumerate(members):
                 column[self.ids[x]] = 1
                 if own is not None:
