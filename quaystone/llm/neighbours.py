@@ -179,7 +179,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, mass: float = MAS
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d, n = lengths[0]["d"], lengths[0]["count"]
     rows = rows.where(F.size("v") == d)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(SAMPLE, SAMPLE_NUMBERS // d))).select("v").toArrow()
+    sample = base.least_hashes(rows, max(1, min(SAMPLE, SAMPLE_NUMBERS // d)), "vec_id").select("v").toArrow()
     router = spark.sparkContext.broadcast(Router.fit(_matrix(sample.column(0)), part_count(n)))
 
     placed_schema = T.StructType([T.StructField("part", T.IntegerType()), *rows.schema.fields])
