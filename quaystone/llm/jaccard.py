@@ -274,14 +274,16 @@ def _join_cells(k: int, percent: int):
     """Rows (cluster, cell, left, right, node, block, text), sorted by cluster and cell, to links (a, b)."""
 
     def solve(nodes: np.ndarray, blocks: np.ndarray, texts: list[str], crossed: bool) -> list[tuple[int, int]]:
-        tokens, ends, now = sets_of(pa.array(texts, pa.string()), k)
-        sets, keep = [], []
-        taken = set()
-        for i, n in enumerate(nodes.tolist()):
-            if now[i] == n and n not in taken:  # another text under the same doc_id isn't this node's
-                taken.add(n)
-                keep.append(i)
-                sets.append(tokens[ends[i] : ends[i + 1]])
+        sets, keep, taken = [], [], set()
+        cell = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["place", "text"])
+        for part in base.slices(iter([cell])):  # a cell's texts at once would need much memory for a moment
+            tokens, ends, now = sets_of(part.column(1), k)
+            for i, place in enumerate(part.column(0).to_pylist()):
+                n = int(nodes[place])
+                if now[i] == n and n not in taken:  # another text under the same doc_id isn't this node's
+                    taken.add(n)
+                    keep.append(place)
+                    sets.append(tokens[ends[i] : ends[i + 1]])
         if len(keep) < 2:
             return []
         nodes = nodes[keep]
