@@ -1,21 +1,21 @@
-"""LM scoring (6): a log-frequency Bloom filter of n-gram counts, broadcast to the workers.
+"""LM scoring (6): log-frequency Bloom filters of n-gram counts, a broadcast one and one a shard.
 
 Counting. Words are 64-bit hashes. One pass counts the words of all texts (per partition first, then by word); words
 that make up ``LEAST_SHARE`` of all tokens or more are *frequent*: at most 1/LEAST_SHARE of them. A second
-pass counts the pairs of frequent words of the training texts. Everything follows the input; nothing is sampled.
+pass counts all pairs of the training texts. Everything follows the input; nothing is sampled or left out.
 
-Model. Frequent words, pairs of share LEAST_SHARE or more, and for each context the mass of its retained pairs
-go into one Bloom filter of fixed size: an n-gram of count c is inserted once for each level 1..1+log_b(c/least), so
-its count is read back, quantised, by probing level after level until one is absent. With c the quantised counts, D = 0.5:
+Model. Pairs of frequent words of share LEAST_SHARE or more go into a broadcast Bloom filter, all others into filters that are
+sharded by pair, or by context where it isn't frequent, and sized from their entries; a shard also holds the counts and the numbers
+of successors of its contexts. An n-gram of count c is inserted once for each level 1..1+log_b(c/least), so its
+count is read back, quantised, by probing level after level until one is absent. With D = 0.5:
 
-    P(w | h) = max(c(hw) - D, 0) / c(h) + (1 - m(h)/c(h)) * P(w)     m(h): the sum of max(c(hw) - D, 0) over retained pairs
-    P(w)     = c(w) / N * z                                          for a word that the filter holds
-             = rest mass / (number of other training words + 1)      for others, known or not
+    P(w | h) = max(c(hw) - D, 0) / c(h) + D T(h) / c(h) * P(w)       T(h): the number of distinct successors of h
+    P(w)     = (c(w) + 0.5) / (N + 0.5 (V + 1))                      V: the number of distinct training words
 
 so that the probabilities of all words, with one unseen word, add up to 1 (but for quantisation and false positives).
 
-Base score. Frequent words are scored from the broadcast counts; the others meet their exact counts in a join by word
-hash, in which no word can be hot, since hot words are frequent.
+Scoring. What the broadcast counts and filter settle is summed where the text is. Other words meet their exact counts in a join by
+word hash, and other pairs meet their shard's filter after a shuffle: neither can be hot, since hot ones are broadcast.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,7 +95,7 @@ class LogFrequencyFilter:
             keys, levels = keys[more], levels[more]
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts (the middle of their level), 0 for absent keys: one membership probe a level, until one fails."""
+        """Quantised counts (the middle of their level's whole numbers), 0 for absent keys: one membership probe a level, until one fails."""
         level, live, j = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
         while len(live):
             there = np.ones(len(live), bool)
@@ -104,39 +104,53 @@ class LogFrequencyFilter:
             live = live[there]
             level[live] = j
             j += 1
-        return np.where(level > 0, self.least * self.level ** (level - 0.5), 0.0)
+        low = np.ceil(self.least * self.level ** (level - 1.0) - 1e-6)
+        high = np.maximum(low, np.ceil(self.least * self.level**level - 1e-6) - 1)
+        return np.where(level > 0, np.sqrt(low * high), 0.0)
+
+
+def _weights(c: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of contexts: P(w | h) = a max(c(hw) - D, 0) + b P(w)."""
+    return np.where(c > 0, 1 / np.maximum(c, 1), 0.0), np.where(c > 0, np.clip(DISCOUNT * successors / np.maximum(c, 1), 1e-9, 1.0), 1.0)
 
 
 @dataclass
 class Model:
-    filter: LogFrequencyFilter
+    filter: LogFrequencyFilter  # pairs of frequent words of share LEAST_SHARE or more
     n: int  # training tokens
     distinct: int  # distinct training tokens
     frequent: np.ndarray  # sorted hashes of frequent words
     counts: np.ndarray  # their training counts
-    scale: float  # z
-    rare: float  # probability of each word that the filter doesn't hold
+    successors: np.ndarray  # their numbers of distinct successors
+
+    def probability(self, counts: np.ndarray) -> np.ndarray:
+        return (counts + 0.5) / (self.n + 0.5 * (self.distinct + 1))
 
     def log10_base(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 0.5) / (self.n + 0.5 * (self.distinct + 1)))
+        return np.log10(self.probability(counts))
+
+    def local(self, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each token: P(w), the pair's key, discounted count in the broadcast filter, a and b (-1: a context that isn't frequent); then places among the frequent words."""
+        held = _held(self.frequent, tokens)
+        known = held >= 0
+        plain = np.full(len(tokens), self.probability(np.zeros(1))[0])
+        plain[known] = self.probability(self.counts[held[known]])
+        pair_key, a, b = np.zeros(len(tokens), np.uint64), np.zeros(len(tokens)), np.ones(len(tokens))
+        keys, at = pair_keys(tokens, first)
+        pair_key[at] = keys
+        h = held[at - 1]
+        all_a, all_b = _weights(self.counts, self.successors)
+        a[at], b[at] = np.where(h >= 0, np.append(all_a, 0)[h], -1.0), np.where(h >= 0, np.append(all_b, 1)[h], -1.0)
+        both = at[(h >= 0) & known[at]]
+        distinct, back = np.unique(pair_key[both], return_inverse=True)
+        count = np.zeros(len(tokens))
+        count[both] = np.maximum(self.filter.probe(distinct) - DISCOUNT, 0)[back]
+        return plain, pair_key, count, a, b, held
 
     def log10(self, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 P of each token in its text."""
-        words, of = np.unique(tokens, return_inverse=True)
-        single = self.filter.probe(words)
-        mass = self.filter.probe(context_key(words))
-        plain = np.where(single > 0, single * self.scale, self.rare)[of]
-        keys, at = pair_keys(tokens, first)
-        h = of[at - 1]
-        known = single[h] > 0  # contexts that the filter doesn't hold have no pairs
-        at, keys, h = at[known], keys[known], h[known]
-        distinct, back = np.unique(keys, return_inverse=True)
-        pair = np.maximum(self.filter.probe(distinct) - DISCOUNT, 0)[back]
-        context = np.maximum(single[h], 1e-300)
-        kept = np.minimum(mass[h] / context, 0.95)  # quantisation can't take a context's whole mass
-        p = plain.copy()
-        p[at] = np.minimum(pair / context, 1.0) * np.minimum(1.0, kept / np.maximum(mass[h] / context, 1e-300)) + (1 - kept) * plain[at]
-        return np.log10(p)
+        """log10 P of each token in its text, by the broadcast part alone."""
+        plain, _, count, a, b, _ = self.local(tokens, first)
+        return np.log10(np.minimum(np.maximum(a, 0) * count + np.abs(b) * plain, 1.0))
 
 
 _COUNTS = T.StructType([T.StructField("word", T.LongType()), T.StructField("trained", T.LongType()), T.StructField("all", T.LongType())])
@@ -168,25 +182,30 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield send()
 
 
+_PAIRS = T.StructType([T.StructField("key", T.LongType()), T.StructField("context", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("n", T.LongType())])
+#: Kinds of pairs: of frequent words, with a second word or with a first word that isn't frequent.
+BOTH, RARE_WORD, RARE_CONTEXT = 0, 1, 2
+
+
 def _count_pairs(frequent):
-    """Counts of pairs of frequent words in training texts: (word: key of the pair, trained: count, all: the context)."""
+    """Counts of the pairs of training texts, one row a pair and task (or a few in a large task)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
 
         def send() -> pa.RecordBatch:
             keys, at, back = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-            n = np.bincount(back, np.concatenate([p[2] for p in parts]), len(keys)).astype(np.int64)
-            context = np.concatenate([p[1] for p in parts])[at]
-            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n), pa.array(context.astype(np.int64))], names=_COUNTS.names)
+            n = np.bincount(back, np.concatenate([p[3] for p in parts]), len(keys)).astype(np.int64)
+            context, kind = (np.concatenate([p[i] for p in parts])[at] for i in (1, 2))
+            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(context.astype(np.int64)), pa.array(kind.astype(np.int32)), pa.array(n)], names=_PAIRS.names)
 
         for batch in base.slices(batches):
             tokens, first = tokens_of(batch.column(1))
-            held_word = _held(frequent.value, tokens) >= 0
+            known = _held(frequent.value, tokens) >= 0
             keys, at = pair_keys(tokens, first)
-            both = held_word[at] & held_word[at - 1]
-            keys, one, n = np.unique(keys[both], return_index=True, return_counts=True)
-            parts.append((keys, tokens[at[both] - 1][one], n))
+            kind = np.where(~known[at - 1], RARE_CONTEXT, np.where(known[at], BOTH, RARE_WORD))
+            keys, one, n = np.unique(keys, return_index=True, return_counts=True)
+            parts.append((keys, tokens[at - 1][one], kind[one], n))
             held += len(keys)
             if held > GATHERED:
                 yield send()
@@ -197,8 +216,8 @@ def _count_pairs(frequent):
     return run
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """From (doc_id, text, trained boolean): the model, and the table of all words' exact training counts.
+def train(docs: DataFrame) -> tuple[Model, tuple[DataFrame, DataFrame]]:
+    """From (doc_id, text, trained boolean): the model, and the tables of all words' exact training counts and of the pairs for the shards.
 
     To the driver go sums, and frequent words and pairs: at most 1/LEAST_SHARE each. Without training rows every count is 0.
     """
@@ -210,81 +229,155 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     hashes, counts = rows.column(0).to_numpy().astype(np.uint64), rows.column(1).to_numpy().astype(np.int64)
     order = np.argsort(hashes)
     hashes, counts = hashes[order], counts[order]
-    in_filter = counts >= least
-    shared = spark.sparkContext.broadcast(hashes[in_filter])
-    pairs = docs.where("trained").mapInArrow(_count_pairs(shared), _COUNTS).groupBy("word").agg(F.sum("trained").alias("n"), F.first("all").alias("context"))
-    found = pairs.where(F.col("n") >= least).toArrow()
-    keys, pair_counts, contexts = (found.column(i).to_numpy() for i in range(3))
-
+    shared = spark.sparkContext.broadcast(hashes)
+    counted = docs.where("trained").mapInArrow(_count_pairs(shared), _PAIRS).groupBy("key").agg(F.first("context").alias("context"), F.first("kind").alias("kind"), F.sum("n").alias("n"))
+    pairs = base.materialise(counted, "pairs")
+    hot = (F.col("kind") == BOTH) & (F.col("n") >= least)
+    found = pairs.where(hot).select("key", "n").toArrow()
     store = LogFrequencyFilter(least)
-    store.insert(hashes[in_filter], counts[in_filter])
-    store.insert(keys.astype(np.uint64), pair_counts)
-    quantised = np.maximum(store.least * store.level ** (store.levels(pair_counts) - 0.5) - DISCOUNT, 0)
-    of, at = np.unique(contexts.astype(np.uint64), return_inverse=True)
-    store.insert(context_key(of), np.bincount(at, quantised, len(of)))
-    mass = counts[in_filter].sum() / max(n, 1)
-    stored = (store.least * store.level ** (store.levels(counts[in_filter]) - 0.5)).sum() / max(n, 1)
-    others = distinct - int(in_filter.sum())
-    rest = max(1 - mass, 1 / (n + 1))
-    scale = (1 - rest) / max(stored, 1e-300) / max(n, 1)
-    return Model(store, int(n), int(distinct), hashes, counts, scale, rest / (others + 1)), words
+    store.insert(found.column(0).to_numpy().astype(np.uint64), found.column(1).to_numpy())
+    after = pairs.where(F.col("kind") < RARE_CONTEXT).groupBy("context").agg(F.count("*").alias("n")).toArrow()
+    successors = np.zeros(len(hashes), np.int64)
+    successors[_held(hashes, after.column(0).to_numpy().astype(np.uint64))] = after.column(1).to_numpy()
+    return Model(store, int(n), int(distinct), hashes, counts, successors), (words, pairs.where(~hot))
 
 
-_SCORED = T.StructType([T.StructField("word", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("row", T.LongType()), T.StructField("times", T.LongType()), T.StructField("trained", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+_SCORED = T.StructType([T.StructField("word", T.LongType()), T.StructField("route", T.LongType()), T.StructField("key", T.LongType()), T.StructField("row", T.LongType()), T.StructField("times", T.IntegerType()), T.StructField("a", T.FloatType()), T.StructField("b", T.FloatType()), T.StructField("p", T.DoubleType()), T.StructField("doc", T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("trained", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]))])
+_DOC = pa.struct([("doc_id", pa.int64()), ("trained", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score(model):
-    """(doc_id, text, trained) to a row for each text, and one for each of its words that isn't frequent (times: how often)."""
+def _score(model, rare: bool):
+    """(doc_id, text, trained, row) to rows of what the broadcast part doesn't settle, with ``times``.
+
+    ``rare``: a row for each text, with the sums of its settled tokens, and rows of its words that aren't frequent. Otherwise, rows of
+    the pairs whose second word is frequent and that the broadcast filter doesn't hold.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, row = model.value, TaskContext.get().partitionId() << 40
+        m = model.value
         logs = m.log10_base(m.counts)
         for batch in base.slices(batches):
             tokens, first = tokens_of(batch.column(1))
             n = len(first) - 1
             owner = np.repeat(np.arange(n), np.diff(first))
-            at = _held(m.frequent, tokens)
+            rows = batch.column(3).to_numpy()
+            plain, keys, count, a, b, at = m.local(tokens, first)
             here = at >= 0
-            known = np.bincount(owner[here], m.counts[at[here]] > 0, n).astype(np.int64)
-            part = np.bincount(owner[here], logs[at[here]], n)
-            score = np.bincount(owner, m.log10(tokens, first), n)
-            rows = row + np.arange(n)
-            row += n
+            opening = np.zeros(len(tokens), bool)
+            opening[first[:-1]] = True
+            settled = here & (opening | (count > 0))
             with np.errstate(over="ignore"):
-                spread = mix(rows.astype(np.uint64) + np.uint64(0x27D4EB2F)).astype(np.int64)
-            ids = batch.column(0)
-            yield pa.RecordBatch.from_arrays([pa.array(spread), ids, pa.array(rows), pa.nulls(n, pa.int64()), batch.column(2), pa.array(np.diff(first)), pa.array(known), pa.array(part), pa.array(score)], names=_SCORED.names)
-            word, who = tokens[~here], owner[~here]
-            order = np.lexsort((word, who))
-            word, who = word[order], who[order]
-            new = np.ones(len(word), bool)
-            new[1:] = (word[1:] != word[:-1]) | (who[1:] != who[:-1])
+                spread = mix(rows.astype(np.uint64) + np.uint64(0x27D4EB2F))
+            if rare:
+                known = np.bincount(owner[here], m.counts[at[here]] > 0, n).astype(np.int64)
+                part = np.bincount(owner[here], logs[at[here]], n).astype(np.float64)
+                score = np.bincount(owner[settled], np.log10(np.minimum(a * count + b * plain, 1.0)[settled]), n).astype(np.float64)
+                doc = pa.StructArray.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(first)), pa.array(known), pa.array(part), pa.array(score)], fields=list(_DOC))
+                none = lambda t: pa.nulls(n, t)
+                yield pa.RecordBatch.from_arrays([pa.array(spread.astype(np.int64)), pa.array(spread.astype(np.int64)), none(pa.int64()), pa.array(rows), none(pa.int32()), none(pa.float32()), none(pa.float32()), none(pa.float64()), doc], names=_SCORED.names)
+            wanted = np.flatnonzero(~here if rare else here & ~settled)
+            before = np.where(opening, spread[owner], np.roll(tokens, 1))[wanted]
+            key = np.where(opening, tokens, keys)[wanted]  # a text's first word has no context: a is 0 there
+            order = np.lexsort((key, owner[wanted]))
+            wanted, before, key = wanted[order], before[order], key[order]
+            new = np.ones(len(wanted), bool)
+            new[1:] = (key[1:] != key[:-1]) | (owner[wanted][1:] != owner[wanted][:-1])
             starts = np.flatnonzero(new)
-            times = np.diff(np.append(starts, len(word)))
-            none = lambda t, k=len(starts): pa.nulls(k, t)
-            yield pa.RecordBatch.from_arrays([pa.array(word[starts].astype(np.int64)), ids.take(pa.array(who[starts])), pa.array(rows[who[starts]]), pa.array(times), none(pa.bool_()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64())], names=_SCORED.names)
+            times = np.diff(np.append(starts, len(wanted))).astype(np.int32)
+            wanted, before, key = wanted[starts], before[starts], key[starts]
+            route = np.where(a[wanted] < 0, before, key)
+            k = len(wanted)
+            p = pa.nulls(k, pa.float64()) if rare else pa.array(plain[wanted])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[wanted].astype(np.int64)), pa.array(route.astype(np.int64)), pa.array(key.astype(np.int64)), pa.array(rows[owner[wanted]]), pa.array(times), pa.array(a[wanted].astype(np.float32)), pa.array(b[wanted].astype(np.float32)), p, pa.nulls(k, _DOC)], names=_SCORED.names)
+
+    return run
+
+
+#: Entries a shard, about, and bits of its filter for each level of an entry.
+SHARD, LEVEL_BITS = 1 << 20, 24
+_SUMS = T.StructType([T.StructField("row", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("base_score", T.DoubleType()), T.StructField("n_known", T.LongType()), _SCORED["doc"]])
+
+
+def shard_filter(route: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> LogFrequencyFilter:
+    """A filter of a shard's pairs, and of the counts and numbers of successors of contexts that it has whole (route isn't the key)."""
+    whole = route != keys
+    contexts, of = np.unique(route[whole], return_inverse=True)
+    keys = np.concatenate([keys, contexts, context_key(contexts)])
+    counts = np.concatenate([counts, np.bincount(of, counts[whole], len(contexts)), np.bincount(of, minlength=len(contexts))])
+    store = LogFrequencyFilter(1, bits=64)
+    bits = max(64, LEVEL_BITS * int(store.levels(counts).sum()))
+    store = LogFrequencyFilter(1, bits=1 << (bits - 1).bit_length())
+    store.insert(keys, counts)
+    return store
+
+
+def _probe_shard(n: int, distinct: int):
+    """A shard's entries (kind 0), then the rows to score with them, to sums by text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries, store = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))], None
+        for batch in batches:
+            stage = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(stage, 1))
+            if cut:
+                some = batch.slice(0, cut)
+                entries.append((some.column(1).to_numpy().astype(np.uint64), some.column(2).to_numpy().astype(np.uint64), some.column(4).to_numpy().astype(np.int64)))
+            if cut == batch.num_rows:
+                continue
+            if store is None:
+                store, entries = shard_filter(*(np.concatenate([e[i] for e in entries]) for i in range(3))), None
+            rest = batch.slice(cut)
+            asked = rest.filter(pa.compute.is_valid(rest.column(4)))
+            docs = rest.filter(pa.compute.is_null(rest.column(4)))
+            if docs.num_rows:
+                none = lambda t, k=docs.num_rows: pa.nulls(k, t)
+                yield pa.RecordBatch.from_arrays([docs.column(3), none(pa.float64()), none(pa.float64()), none(pa.int64()), docs.column(9)], names=_SUMS.names)
+            if not asked.num_rows:
+                continue
+            route, keys = (asked.column(i).to_numpy().astype(np.uint64) for i in (1, 2))
+            row, times, a, b = (asked.column(i).to_numpy() for i in (3, 4, 5, 6))
+            p, c = (asked.column(i).to_numpy(zero_copy_only=False) for i in (7, 8))
+            rare = c >= 0  # words with a count from the join, -1 for frequent ones
+            plain = np.where(rare, (np.maximum(c, 0) + 0.5) / (n + 0.5 * (distinct + 1)), p)
+            mine = a < 0
+            own_a, own_b = _weights(store.probe(route), store.probe(context_key(route)))
+            a, b = np.where(mine, own_a, a), np.where(mine, own_b, b)
+            count = np.where(a > 0, np.maximum(store.probe(keys) - DISCOUNT, 0), 0.0)
+            score = times * np.log10(np.minimum(a * count + b * plain, 1.0))
+            rows, of = np.unique(row, return_inverse=True)
+            add = lambda x, at=of, k=len(rows): np.bincount(at, x, k)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(add(score)), pa.array(add(np.where(rare, times * np.log10(plain), 0.0))), pa.array(add(np.where(c > 0, times, 0)).astype(np.int64)), pa.nulls(len(rows), _DOC)], names=_SUMS.names)
 
     return run
 
 
-def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
-    """From (doc_id, text, trained): doc_id, trained, n_tokens, n_known, train_tokens, base_score, score, one row a row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = docs.mapInArrow(_score(shared), _SCORED)
+def score(docs: DataFrame, model: Model, tables: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """From (doc_id, text, trained): doc_id, trained, n_tokens, n_known, train_tokens, base_score, score, one row a row.
+
+    Rows that are equal in all three columns are summed together and then given back as often as they came.
+    """
+    spark, (words, pairs) = docs.sparkSession, tables
+    shared = spark.sparkContext.broadcast(model)
+    rows = docs.select("doc_id", "text", "trained", F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")), F.col("text").isNull(), "trained").alias("row"))
     known = words.where("trained > 0").select("word", F.col("trained").alias("c"))
-    denominator = model.n + 0.5 * (model.distinct + 1)
-    joined = scored.join(known, "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    times = F.col("times")
-    added = F.when(times.isNotNull(), times * F.log10((c + 0.5) / F.lit(denominator)))
-    summed = joined.groupBy("doc_id", "row").agg(
-        F.first("trained", ignorenulls=True).alias("trained"),
-        F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.coalesce(F.sum(F.when(c > 0, times)), F.lit(0))).alias("n_known"),
-        (F.sum("base_score") + F.coalesce(F.sum(added), F.lit(0.0))).alias("base_score"),
-        F.sum("score").alias("score"),
+    columns = ("route", "key", "row", "times", "a", "b", "p")
+    rare = rows.mapInArrow(_score(shared, True), _SCORED).join(known, "word", "left").select(F.lit(1).alias("stage"), *columns, F.coalesce("c", F.lit(0)).alias("c"), "doc")
+    others = rows.mapInArrow(_score(shared, False), _SCORED).select(F.lit(1).alias("stage"), *columns, F.lit(-1).cast("long").alias("c"), "doc")
+    null = lambda c: F.lit(None).cast(_SCORED[c].dataType).alias(c)
+    entries = pairs.select(F.lit(0).alias("stage"), F.when(F.col("kind") == RARE_CONTEXT, F.col("context")).otherwise(F.col("key")).alias("route"), "key", null("row"), F.col("n").cast("int").alias("times"), null("a"), null("b"), null("p"), F.lit(-1).cast("long").alias("c"), null("doc"))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // SHARD))
+    dealt = entries.union(rare).union(others).repartition(shards, "route").sortWithinPartitions("stage")
+    sums = dealt.mapInArrow(_probe_shard(model.n, model.distinct), _SUMS).groupBy("row").agg(
+        F.count("doc").alias("copies"),
+        F.first("doc", ignorenulls=True).alias("doc"),
+        F.coalesce(F.sum("n_known"), F.lit(0)).alias("n_known"),
+        F.coalesce(F.sum("base_score"), F.lit(0.0)).alias("base_score"),
+        F.coalesce(F.sum("score"), F.lit(0.0)).alias("score"),
     )
-    return summed.select("doc_id", "trained", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+    copies = F.col("copies")
+    one = sums.select("doc", copies, (F.col("doc.n_known") + (F.col("n_known") / copies).cast("long")).alias("n_known"), (F.col("doc.base_score") + F.col("base_score") / copies).alias("base_score"), (F.col("doc.score") + F.col("score") / copies).alias("score"))
+    each = one.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+    return each.select("doc.doc_id", "doc.trained", "doc.n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def train_and_score(docs: DataFrame, trained, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,8 +387,7 @@ def train_and_score(docs: DataFrame, trained, id_col: str = "doc_id", text_col:
     columns aren't read; an empty table gives none.
     """
     rows = base.id_and_text(docs, id_col, text_col).withColumn("trained", F.coalesce(trained, F.lit(False)))
-    model, words = train(rows)
-    return score(rows, model, words)
+    return score(rows, *train(rows))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,29 @@ def test_filter_reads_counts_back():
     assert (f.probe(rng.integers(0, 2**63, 5000).astype(np.uint64)) > 0).mean() < 0.05
 
 
+@pytest.mark.parametrize("least_share", [1e-6, 0.02, 0.9])
+def test_lm_keeps_rare_words_and_pairs(spark, monkeypatch, least_share):
+    monkeypatch.setattr(lm_scoring, "LEAST_SHARE", least_share)  # what is broadcast, not what is kept
+    texts = [f"the w{i} the w{i} of p{i % 7} q{i % 7} w{(i + 1) % 40}" for i in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "the w3 of w5", "new w3 q1", "w3 w9 new", texts[0]])], "doc_id long, text string")
+    rows = lm_scoring.train_and_score(df, F.col("doc_id") < 40).collect()
+    words, pairs = Counter(w for t in texts for w in tokens(t)), Counter(p for t in texts for p in zip(tokens(t), tokens(t)[1:], strict=False))
+    after, n = Counter(h for h, _ in pairs), sum(words.values())
+
+    def want(text):
+        total, h = 0.0, "opening"
+        for w in tokens(text):
+            plain, c = (words[w] + 0.5) / (n + 0.5 * (len(words) + 1)), words[h]
+            total += math.log10(max(pairs[h, w] - 0.5, 0) / c + 0.5 * after[h] / c * plain if c else plain)
+            h = w
+        return total
+
+    assert len(rows) == 44
+    for r in rows:
+        text = df.where(F.col("doc_id") == r["doc_id"]).first()["text"] if r["doc_id"] >= 40 else texts[r["doc_id"]]
+        assert abs(r["score"] - want(text)) < 0.08 * r["n_tokens"]
+
+
 def test_lm_without_rows_or_training(spark, none):
     assert lm_scoring.train_and_score(none, F.lit(True)).count() == 0
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
