@@ -1,6 +1,8 @@
 """License scans (2): a trained paragraph classifier over sparse word n-grams, confirmed against templates.
 
-A paragraph is a line with a word. Its features are its distinct words and word pairs (64-bit hashes, A-Z
+A paragraph is a line with a word, or neighbouring lines that hold a notice together (hard-wrapped ones). Every line is
+classified; those that are given a family or hold a cue word are reported. Runs of lines are classified where they hold most words
+of a notice that none of their lines is confirmed for. Its features are its distinct words and word pairs (64-bit hashes, A-Z
 lower-cased, outer punctuation dropped). A multinomial logistic regression is trained, on the driver and with a fixed seed, on
 variations of the notices below and on other paragraphs: a bounded sample of the documents' own lines and notices with their
 telling words replaced. It has a class ``unknown``; its probabilities are calibrated by one temperature fitted on
@@ -67,6 +69,23 @@ class LicenseModel:
     temperature: float
     cues: re.Pattern
     templates: dict[str, list[tuple[frozenset[str], frozenset[str]]]]  # words, and those in no other family's notices
+    signature: np.ndarray  # sorted hashes of words of which every text that covers a notice has one
+
+    def line_logits(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Logits of many lines at once, from their words' hashes and n+1 offsets."""
+        n, owner = len(first) - 1, np.repeat(np.arange(len(first) - 1), np.diff(first))
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        found = np.concatenate([words, mix(mix(words[inner] + np.uint64(0xD6E8FEB8)) ^ words[inner + 1])])
+        owner = np.concatenate([owner, owner[inner]])
+        order = np.lexsort((found, owner))
+        found, owner = found[order], owner[order]
+        new = np.ones(len(found), bool)
+        new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+        found, owner = found[new], owner[new]
+        at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+        held = self.keys[at] == found
+        sums = np.stack([np.bincount(owner[held], self.weights[at[held], k], n) for k in range(len(self.families))], axis=1)
+        return sums / np.sqrt(np.maximum(1, np.bincount(owner, minlength=n)))[:, None] + self.bias
 
     def probabilities(self, lines: list[str]) -> np.ndarray:
         logits = np.stack([self._logits(_features(x)) for x in lines]) / self.temperature
@@ -160,45 +179,116 @@ def train(others: list[str], seed: int = 11, steps: int = 300) -> LicenseModel:
     z, t_held = logits(rows, columns)[held], y[held]
     loss = lambda t: -np.log(softmax(z / t)[np.arange(len(t_held)), t_held] + 1e-12).mean()
     temperature = min(np.linspace(0.5, 4, 36), key=loss)
-    # a paragraph that holds no cue word has no known feature that speaks for a family, and isn't looked at further
+    # a paragraph with a cue word is reported, whatever its class
     cues = sorted({w for n in NOTICES.values() for x in n for w in re.findall(r"[a-z0-9]{4,}", x.lower()) if w in ("license", "licensed", "licence", "rights", "reserved", "copyright", "permission", "redistribute", "redistribution", "spdx", "domain", "waived", "reproduced", "proprietary", "mozilla")} | {"licen"})
     of = {f: [frozenset(_plain(n).lower().split()) for n in notices] for f, notices in NOTICES.items()}
     templates = {f: [(t, t - frozenset().union(*(x for g, xs in of.items() if g != f for x in xs))) for t in ts] for f, ts in of.items()}
-    return LicenseModel([*families, UNKNOWN], keys, w, b, float(temperature), re.compile("|".join(cues), re.I), templates)
+    # a cover of LEAST_COVER lacks at most this many words of a notice, so it has one of any set that is larger by one
+    lacking = lambda t: next(k for k in range(len(t) + 1) if (len(t) - k - 1) / len(t) < LEAST_COVER)
+    signature = {w for ts in templates.values() for t, telling in ts for w in sorted(t, key=lambda w: (w not in telling, -len(w), w))[: lacking(t) + 1]}
+    hashes = np.array([word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0] for w in signature])
+    return LicenseModel([*families, UNKNOWN], keys, w, b, float(temperature), re.compile("|".join(cues), re.I), templates, np.sort(hashes))
 
 
 _FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("paragraph", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("cover", T.DoubleType()), T.StructField("confirmed", T.BooleanType())])
 
 
+def _without_edges(raw: np.ndarray) -> np.ndarray:
+    """The bytes with spaces for the outer punctuation of words."""
+    edge, space = np.zeros(256, bool), np.zeros(256, bool)
+    edge[list(_EDGE.encode())] = True
+    space[[0x20, *range(0x09, 0x0E)]] = True
+    is_edge, at = edge[raw], np.arange(len(raw))
+    outside = np.append(space[raw], True)  # the last place stands for both ends
+    before = np.maximum.accumulate(np.where(is_edge, -1, at))
+    after = np.minimum.accumulate(np.where(is_edge, len(raw), at)[::-1])[::-1]
+    return np.where(is_edge & (outside[before] | outside[after]), np.uint8(0x20), raw)
+
+
+def _wrapped(m: LicenseModel, lines: list[str], hit: np.ndarray, sure: set[int]) -> list[tuple]:
+    """(first line, last line, family, probability, cover) of runs of two lines or more that hold a notice together, tightest first.
+
+    Runs don't go over blank or confirmed lines; between their outer lines they have fewer words than the longest notice.
+    """
+    longest = max(len(t) for ts in m.templates.values() for t, _ in ts)
+    near = np.append(0, np.cumsum(hit))
+    words = [None if k in sure else _plain(x).split() for k, x in enumerate(lines)]
+    candidates = []
+    for i in range(len(lines)):
+        inner, j = 0, i + 1
+        run = list(words[i] or ())
+        while words[i] and j < len(lines) and words[j] and inner < longest:
+            run += words[j]
+            if near[j + 1] > near[i]:
+                low = {w.lower() for w in run}
+                for family, templates in m.templates.items():
+                    cover, t = max(((len(low & t) / len(t), t) for t, telling in templates if telling <= low or len(telling) > 3), key=lambda x: x[0], default=(0.0, None))
+                    if cover >= LEAST_COVER:
+                        inside = [k for k, w in enumerate(run) if w.lower() in t]
+                        candidates.append((j - i, i, j, family, cover, " ".join(run[inside[0] : inside[-1] + 1])))
+            inner += len(words[j])
+            j += 1
+    rated = []
+    for (size, i, j, family, cover, _), p in zip(candidates, m.probabilities([c[-1] for c in candidates]) if candidates else (), strict=True):
+        best = int(p.argmax())
+        if m.families[best] == family and p[best] >= LEAST_PROBABILITY:
+            rated.append((size, -cover, -float(p[best]), i, j, family))
+    out, taken = [], set()
+    for _, cover, p, i, j, family in sorted(rated):
+        if taken.isdisjoint(range(i, j + 1)):
+            taken.update(range(i, j + 1))
+            out.append((i, j, family, -p, -cover))
+    return out
+
+
 def _scan(model, per_document: bool):
-    def found_in(text: str) -> list[tuple]:
-        m, out = model.value, []
-        if m.cues.search(text) is None:
-            return out
-        at, lines = 0, []
-        for k, line in enumerate(text.split("\n")):
-            if m.cues.search(line):
-                lines.append((k, at, line))
-            at += len(line) + 1
-        p = m.probabilities([x[2] for x in lines])
-        for (k, start, line), row in zip(lines, p, strict=True):
-            best = int(row.argmax())
-            family = m.families[best]
-            cover = m.cover(line, family) if family != UNKNOWN else 0.0
-            out.append((k, start, len(line), family, float(row[best]), cover, family != UNKNOWN and row[best] >= LEAST_PROBABILITY and cover >= LEAST_COVER))
-        return out
+    def found_in(texts: list[str]) -> Iterator[list[tuple]]:
+        m = model.value
+        raw = _without_edges(np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass"), np.uint8))
+        words, first = word_hashes(raw, np.concatenate([[0], np.flatnonzero(raw == 0x0A) + 1, [len(raw)]]))
+        z = m.line_logits(words, first) / m.temperature
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        probabilities, best = e / e.sum(axis=1, keepdims=True), z.argmax(axis=1)
+        named = (best != len(m.families) - 1) & (np.diff(first) > 0)
+        at = np.minimum(np.searchsorted(m.signature, words), len(m.signature) - 1)
+        hit = np.zeros(len(named), bool)
+        hit[np.repeat(np.arange(len(named)), np.diff(first))[m.signature[at] == words]] = True
+        from_line = 0
+        for text in texts:
+            to_line = from_line + text.count("\n") + 1
+            mine = slice(from_line, to_line)
+            from_line = to_line
+            spoken = m.cues.search(text) is not None
+            if not spoken and not named[mine].any() and not hit[mine].any():
+                yield []
+                continue
+            lines, out, sure = text.split("\n"), {}, set()
+            starts = np.cumsum([0, *(len(x) + 1 for x in lines)])
+            for k, line in enumerate(lines):
+                if not (named[mine][k] or spoken and m.cues.search(line)):
+                    continue
+                of = int(best[mine][k])
+                family, p = m.families[of], float(probabilities[mine][k, of])
+                cover = m.cover(line, family) if family != UNKNOWN else 0.0
+                out[k] = (k, int(starts[k]), len(line), family, p, cover, family != UNKNOWN and p >= LEAST_PROBABILITY and cover >= LEAST_COVER)
+                if out[k][-1]:
+                    sure.add(k)
+            for i, j, family, p, cover in _wrapped(m, lines, hit[mine], sure) if hit[mine].any() else ():
+                for k in range(i, j + 1):
+                    out.pop(k, None)
+                out[i] = (i, int(starts[i]), int(starts[j] + len(lines[j]) - starts[i]), family, p, cover, True)
+            yield [out[k] for k in sorted(out)]
 
     def paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in base.slices(batches):
-            rows = [(i, *x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist(), strict=True) for x in found_in(t)]
+            rows = [(i, *x) for i, found in zip(batch.column(0).to_pylist(), found_in(batch.column(1).fill_null("").to_pylist()), strict=True) for x in found]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*rows, strict=True), pa.schema(_ARROW).types, strict=True)], names=_FOUND.names)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in base.slices(batches):
             rows = []
-            for text in batch.column(1).fill_null("").to_pylist():
-                found = found_in(text)
+            for found in found_in(batch.column(1).fill_null("").to_pylist()):
                 sure = [x for x in found if x[6]]
                 rows.append((sorted({x[3] for x in sure}), len(sure), len(found) - len(sure), max([x[4] for x in sure], default=None)))
             families, sure, unsure, best = zip(*rows, strict=True)
@@ -221,7 +311,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Lice
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel, per_document: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each paragraph that speaks of a licence: doc_id, paragraph, start, length (characters), family, probability, cover, confirmed.
+    """A row for each paragraph that speaks of a licence: doc_id, paragraph (its first line's number), start, length (characters), family, probability, cover, confirmed.
 
     ``per_document``: a row for each input row instead: doc_id, families (confirmed ones, sorted), n_confirmed, n_unknown, probability
     (of the surest; null without one). Null and empty texts have no paragraphs; repeated rows and null ids are scanned each for

@@ -210,6 +210,35 @@ def test_license_scan(spark, license_model, docs, none, texts):
     assert len(whole) == len(texts) and not any(r["n_confirmed"] for r in whole)
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation",
+}
+
+
+@pytest.mark.parametrize(("text", "family"), [(t, f) for f, t in WRAPPED.items()] + [("Published under CC BY-SA 4.0.", "cc-by-sa"), ("Distributed under the GNU GPL, version 2 or later.", "gpl")])
+def test_license_notices_wrapped_or_without_cue_words(spark, license_model, text, family):
+    df = spark.createDataFrame([(1, f"Rain on the roof\n\n{text}\n\nThe children played.")], "doc_id long, text string")
+    sure = [r for r in licenses.scan_licenses(df, license_model).collect() if r["confirmed"]]
+    assert [(r["paragraph"], r["family"], r["start"]) for r in sure] == [(2, family, 18)]
+    (r,) = licenses.scan_licenses(df, license_model, per_document=True).collect()
+    assert (r["families"], r["n_confirmed"]) == ([family], 1)
+
+
+def test_license_line_without_cue_word_is_reported(spark, license_model):
+    df = spark.createDataFrame([(1, "Published under CC BY 4.0.")], "doc_id long, text string")
+    assert [r["family"] for r in licenses.scan_licenses(df, license_model).collect()] == ["cc-by"]
+
+
+def test_license_lines_at_once_score_as_one_by_one(license_model):
+    lines = ["(Licensed under CC BY 4.0.)", "", "a ... 'b' c's (d", "All rights\treserved!", "Permission is hereby granted"]
+    raw = licenses._without_edges(np.frombuffer("\n".join(lines).encode(), np.uint8))
+    words, first = licenses.word_hashes(raw, np.concatenate([[0], np.flatnonzero(raw == 10) + 1, [len(raw)]]))
+    want = np.stack([license_model._logits(licenses._features(x)) for x in lines])
+    assert np.allclose(license_model.line_logits(words, first), want)
+
+
 def test_license_held_out_accuracy(license_model):
     rng = np.random.default_rng(99)
     fillers = ["town", "river", "Library", "page", "notes", "2024", "team"]
