@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from quaystone.llm import base, jaccard, language_id, packing, quality
 
-#: Texts whose own language holds less than this share of their trigrams are in none of the learned languages.
+#: Texts whose own language holds less than this part of the share of trigrams that it holds of its labelled texts are in none of the
+#: learned languages.
 LEAST_LANGUAGE_SCORE = 0.25
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 
@@ -29,7 +30,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.train(docs)
     rated = language_id.identify(_whole(docs), model, keep=True)
     if model.languages:
-        kept = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)
+        reach = F.create_map(*(F.lit(x) for pair in model.reach.items() for x in pair))[F.col("lang_pred")]
+        kept = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE * reach)
     else:
         kept = F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
     return rated.where(kept).select("row.*")

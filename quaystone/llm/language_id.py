@@ -11,7 +11,7 @@ popcount after correction for the filter's false positives: (hits/n - fp) / (1 -
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +88,7 @@ class LanguageFilter:
     languages: list[str]
     slots: np.ndarray  # (slots, words): bit l of the 64-bit words is language l
     false_positive: np.ndarray  # per language
+    reach: dict[str, float] = field(default_factory=dict)  # the share of each language's labelled trigrams that it holds
 
     @classmethod
     def build(cls, grams: dict[str, np.ndarray]) -> LanguageFilter:
@@ -141,10 +142,13 @@ def train(docs: DataFrame, least_share: float = LEAST_SHARE, least_ratio: float
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))  # a row a language
     shares = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))
     largest = shares.where(F.col("share") >= least_share).groupBy("gram").agg(F.collect_list(F.struct("lang", "share")).alias("in"), F.max("share").alias("most"))
-    held = largest.select("gram", F.explode(F.filter("in", lambda x: x["share"] >= least_ratio * F.col("most"))["lang"]).alias("lang"))
+    held = largest.select("gram", F.explode(F.filter("in", lambda x: x["share"] >= least_ratio * F.col("most"))).alias("x")).select("gram", "x.*")
     found = held.toArrow()
     langs, keys = np.array(found.column("lang").to_pylist(), object), found.column("gram").to_numpy()
-    return LanguageFilter.build({name: keys[langs == name] for name in set(langs.tolist())})
+    model = LanguageFilter.build({name: keys[langs == name] for name in set(langs.tolist())})
+    share = found.column("share").to_numpy()
+    model.reach = {name: float(share[langs == name].sum()) for name in model.languages}
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quaystone.llm import language_id, licenses, lm_scoring, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -41,6 +42,17 @@ def test_language_held_out(docs, texts, none):
     assert kept.columns == [*(c for c in docs.columns if c not in ("lang_pred", "lang_score")), "lang_pred", "lang_score"] and kept.count() == len(texts)
 
 
+def test_pipeline_keeps_languages_of_many_distinct_trigrams(spark):
+    rng = np.random.default_rng(4)
+    han = lambda: "".join("日本語文" if rng.random() < 0.05 else chr(0x4E00 + rng.integers(5000)) for _ in range(1000))
+    rows = [(i, han(), "zh") for i in range(100)] + [(100 + i, "the cat and the dog went to the town again " * 5, "en") for i in range(20)] + [(200, "αβγδε ζηθικ λμνξο πρστυ", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert model.reach["zh"] < corpus_pipeline.LEAST_LANGUAGE_SCORE < model.reach["en"]
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert kept == set(range(120))
+
+
 def test_filter_returns_all_languages():
     grams = {"a": np.arange(0, 3000), "b": np.arange(2000, 5000), **{f"l{i}": np.array([10_000 + i]) for i in range(70)}}
     f = language_id.LanguageFilter.build(grams)
