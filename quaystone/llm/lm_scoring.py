@@ -1,31 +1,28 @@
-"""LM scoring (6): log-frequency Bloom filters of n-gram counts, a broadcast one and one a shard.
-
-Counting. Words are 64-bit hashes. One pass counts the words of all texts (per partition first, then by word); words
-that make up ``LEAST_SHARE`` of all tokens or more are *frequent*: at most 1/LEAST_SHARE of them. A second
-pass counts all pairs of the training texts. Everything follows the input; nothing is sampled or left out.
-
-Model. Pairs of frequent words of share LEAST_SHARE or more go into a broadcast Bloom filter, all others into filters that are
-sharded by pair, or by context where it isn't frequent, and sized from their entries; a shard also holds the counts and the numbers
-of successors of its contexts. An n-gram of count c is inserted once for each level 1..1+log_b(c/least), so its
-count is read back, quantised, by probing level after level until one is absent. With D = 0.5:
-
-    P(w | h) = max(c(hw) - D, 0) / c(h) + D T(h) / c(h) * P(w)       T(h): the number of distinct successors of h
-    P(w)     = (c(w) + 0.5) / (N + 0.5 (V + 1))                      V: the number of distinct training words
-
-so that the probabilities of all words, with one unseen word, add up to 1 (but for quantisation and false positives).
-
-Scoring. What the broadcast counts and filter settle is summed where the text is. Other words meet their exact counts in a join by
-word hash, and other pairs meet their shard's filter after a shuffle: neither can be hot, since hot ones are broadcast.
+"""LM scoring (6): log-frequency Bloom filters of quantised n-gram counts, probed level by level.
+
+Groups. Texts are dealt into groups of some megabytes, as they are read; a group keeps its tokens as numbers of its distinct words.
+Words and pairs are 64-bit hashes, and hash ranges are *shards*, as many as keep each one's entries bounded. A group asks each shard
+once for its distinct words and pairs of that range, with its own counts in training texts: so even the commonest n-gram is
+one entry a group, and one shuffle both counts and asks.
+
+Filters. A shard adds up the groups' counts. Words are answered exactly. Pairs go into the shard's log-frequency Bloom filter, sized from
+its entries: an n-gram at quantised level L is inserted once for each level 1..L, so its level is read back by probing level
+after level until one is absent. Pairs of ``LEAST_SHARE`` of all training tokens or more, 1/LEAST_SHARE of them at most, are
+in one filter that is broadcast to all workers (16 MB at most); all others stay in the shards' filters, which grow with the corpus and so
+have no bound for a broadcast. Nothing is left out.
+
+Model. P(w | h) = (q(hw) + PRIOR * P(w)) / (c(h) + PRIOR), P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), for a text's first token P(w);
+q is the quantised count (exact up to 19), c an exact one, V the number of distinct training words. With one unseen word, the
+probabilities add up to 1 but for quantisation and false positives.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,11 +30,14 @@ from pyspark.sql import types as T
 from quaystone.llm import base
 from quaystone.llm.words import END_WORD, mix, word_hashes
 
-LEAST_SHARE, DISCOUNT = 1e-6, 0.5
-#: Base of the count levels, probes a level and bits of the filter (a fixed 16 MB).
-LEVEL, PROBES, BITS = 1.3, 2, 1 << 27
-#: Distinct words that a task gathers before it sends their counts on.
-GATHERED = 2_000_000
+#: Share of the training tokens from which a pair is in the broadcast filter, and weight of the word's own probability.
+LEAST_SHARE, PRIOR = 1e-6, 2.0
+#: Ratio of the count levels beyond 19, probes a level, bits of a filter for each level of an entry.
+LEVEL, PROBES, LEVEL_BITS = 1.1, 2, 24
+#: Bytes of text in a group, about, and entries that a shard gets from all groups, about.
+GROUP_BYTES, SHARD = 16 << 20, 1 << 19
+#: The level that stands for a pair of the broadcast filter.
+HOT = 65_535
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -56,338 +56,238 @@ def pair_keys(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
         return mix(mix(tokens[at - 1] + np.uint64(0x51ED270B)) ^ tokens[at]), at
 
 
-def context_key(words: np.ndarray) -> np.ndarray:
-    """The key under which a context's retained mass is kept."""
-    return mix(words ^ np.uint64(0xC2B2AE3D27D4EB4F))
-
-
-def _held(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of keys in sorted_keys, -1 where absent."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
-
-
 class LogFrequencyFilter:
-    """Quantised counts in a Bloom filter of ``bits`` bits."""
-
-    def __init__(self, least: float, bits: int = BITS, level: float = LEVEL):
-        self.least, self.level, self.mask = float(least), level, np.uint64(bits - 1)
-        self.bits = np.zeros(bits // 8, np.uint8)
-
-    def levels(self, counts: np.ndarray) -> np.ndarray:
-        return 1 + np.floor(np.log(np.maximum(counts, self.least) / self.least) / np.log(self.level) + 1e-9).astype(np.int64)
-
-    def _places(self, keys: np.ndarray, j: int) -> Iterator[np.ndarray]:
-        with np.errstate(over="ignore"):
-            h = mix(keys + np.uint64(j) * np.uint64(0x9E3779B97F4A7C15))
-        yield h & self.mask
-        yield (h >> np.uint64(32)) & self.mask
-
-    def insert(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        levels, j = self.levels(counts), 1
+    """Quantised counts of ``least`` or more in a Bloom filter of at least LEVEL_BITS bits for each level of an entry."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, least: int = 1):
+        lows = [max(1, least)]
+        while lows[-1] < 1 << 60:
+            lows.append(max(lows[-1] + 1, int(lows[-1] * LEVEL)))
+        self.lows = np.array(lows, np.int64)
+        levels, j = np.searchsorted(self.lows, counts, side="right"), 1
+        bits = max(64, LEVEL_BITS * int(levels.sum()))
+        self.mask = np.uint64((1 << (bits - 1).bit_length()) - 1)
+        self.bits = np.zeros(int(self.mask) + 1 >> 3, np.uint8)
+        keys, levels = keys[levels > 0], levels[levels > 0]
         while len(keys):
             for at in self._places(keys, j):
                 np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
             j += 1
-            more = levels >= j
-            keys, levels = keys[more], levels[more]
+            keys, levels = keys[levels >= j], levels[levels >= j]
+
+    def _places(self, keys: np.ndarray, j: int) -> Iterator[np.ndarray]:
+        for k in range(PROBES):
+            with np.errstate(over="ignore"):
+                yield mix(keys + np.uint64(j * PROBES + k) * np.uint64(0x9E3779B97F4A7C15)) & self.mask
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts (the middle of their level's whole numbers), 0 for absent keys: one membership probe a level, until one fails."""
+        """Levels, 0 for absent keys: one membership probe a level, until one fails."""
         level, live, j = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-        while len(live):
+        while len(live) and j <= len(self.lows):
             there = np.ones(len(live), bool)
             for at in self._places(keys[live], j):
                 there &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
             live = live[there]
             level[live] = j
             j += 1
-        low = np.ceil(self.least * self.level ** (level - 1.0) - 1e-6)
-        high = np.maximum(low, np.ceil(self.least * self.level**level - 1e-6) - 1)
-        return np.where(level > 0, np.sqrt(low * high), 0.0)
-
+        return level
 
-def _weights(c: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b) of contexts: P(w | h) = a max(c(hw) - D, 0) + b P(w)."""
-    return np.where(c > 0, 1 / np.maximum(c, 1), 0.0), np.where(c > 0, np.clip(DISCOUNT * successors / np.maximum(c, 1), 1e-9, 1.0), 1.0)
+    def counts_of(self, levels: np.ndarray) -> np.ndarray:
+        """The middle of each level's whole numbers; 0 for level 0."""
+        return _middles(self.lows)[levels]
 
 
-@dataclass
-class Model:
-    filter: LogFrequencyFilter  # pairs of frequent words of share LEAST_SHARE or more
-    n: int  # training tokens
-    distinct: int  # distinct training tokens
-    frequent: np.ndarray  # sorted hashes of frequent words
-    counts: np.ndarray  # their training counts
-    successors: np.ndarray  # their numbers of distinct successors
+def _middles(lows: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0.0], np.sqrt(lows[:-1] * (lows[1:] - 1.0)), lows[-1:]])
 
-    def probability(self, counts: np.ndarray) -> np.ndarray:
-        return (counts + 0.5) / (self.n + 0.5 * (self.distinct + 1))
 
-    def log10_base(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10(self.probability(counts))
+_NO_KEYS = np.zeros(0, np.uint64)
+_EMPTY = LogFrequencyFilter(_NO_KEYS, np.zeros(0, np.int64))
 
-    def local(self, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of each token: P(w), the pair's key, discounted count in the broadcast filter, a and b (-1: a context that isn't frequent); then places among the frequent words."""
-        held = _held(self.frequent, tokens)
-        known = held >= 0
-        plain = np.full(len(tokens), self.probability(np.zeros(1))[0])
-        plain[known] = self.probability(self.counts[held[known]])
-        pair_key, a, b = np.zeros(len(tokens), np.uint64), np.zeros(len(tokens)), np.ones(len(tokens))
-        keys, at = pair_keys(tokens, first)
-        pair_key[at] = keys
-        h = held[at - 1]
-        all_a, all_b = _weights(self.counts, self.successors)
-        a[at], b[at] = np.where(h >= 0, np.append(all_a, 0)[h], -1.0), np.where(h >= 0, np.append(all_b, 1)[h], -1.0)
-        both = at[(h >= 0) & known[at]]
-        distinct, back = np.unique(pair_key[both], return_inverse=True)
-        count = np.zeros(len(tokens))
-        count[both] = np.maximum(self.filter.probe(distinct) - DISCOUNT, 0)[back]
-        return plain, pair_key, count, a, b, held
 
-    def log10(self, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 P of each token in its text, by the broadcast part alone."""
-        plain, _, count, a, b, _ = self.local(tokens, first)
-        return np.log10(np.minimum(np.maximum(a, 0) * count + np.abs(b) * plain, 1.0))
+def _pack(values: np.ndarray) -> bytes:
+    """Shuffles compress little of numbers as they are."""
+    return pa.compress(values.tobytes(), "zstd", asbytes=True)
 
 
-_COUNTS = T.StructType([T.StructField("word", T.LongType()), T.StructField("trained", T.LongType()), T.StructField("all", T.LongType())])
+def _unpack(raw: bytes, n: int, dtype) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, n * np.dtype(dtype).itemsize, "zstd", asbytes=True), dtype) if n else np.zeros(0, dtype)
 
 
-def _add(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    keys, at = np.unique(keys, return_inverse=True)
-    return keys, [np.bincount(at, c, len(keys)).astype(np.int64) for c in columns]
+_GROUP = T.StructType([T.StructField("group", T.LongType()), T.StructField("doc_id", T.ArrayType(T.LongType())), T.StructField("trained", T.ArrayType(T.BooleanType())), T.StructField("lengths", T.ArrayType(T.IntegerType())), T.StructField("words", T.BinaryType()), T.StructField("places", T.BinaryType()), T.StructField("n_trained", T.LongType()), T.StructField("entries", T.LongType())])
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, trained) to the counts of words, one row a word and task (or a few in a large task)."""
-    parts, held = [], 0
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, trained) to groups: the sorted hashes of their distinct words, and each token's place among them."""
+    parts, size, sent = [], 0, 0
 
-    def send() -> pa.RecordBatch:
-        keys, (trained, n) = _add(np.concatenate([p[0] for p in parts]), [np.concatenate([p[i] for p in parts]) for i in (1, 2)])
-        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(trained), pa.array(n)], names=_COUNTS.names)
+    def send(sent: int) -> pa.RecordBatch:
+        ids = [i for p in parts for i in p[0]]
+        trained = np.concatenate([p[1] for p in parts])
+        tokens, lengths = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+        words, places = np.unique(tokens, return_inverse=True)
+        first = np.append(0, np.cumsum(lengths))
+        entries = len(words) + len(np.unique(pair_keys(tokens, first)[0]))
+        one = [TaskContext.get().partitionId() << 32 | sent, ids, trained.tolist(), lengths.tolist(), words.tobytes(), _pack(places.astype(np.int32)), int(lengths[trained].sum()), entries]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(one, _ARROW_GROUP, strict=True)], names=_GROUP.names)
 
     for batch in base.slices(batches):
         tokens, first = tokens_of(batch.column(1))
-        trained = np.repeat(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(first))
-        keys, (t, n) = _add(tokens, [trained, np.ones(len(tokens))])
-        parts.append((keys, t, n))
-        held += len(keys)
-        if held > GATHERED:
-            yield send()
-            parts, held = [], 0
+        parts.append((batch.column(0).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool), tokens, np.diff(first)))
+        size += batch.column(1).nbytes
+        if size >= GROUP_BYTES:
+            yield send(sent)
+            parts, size, sent = [], 0, sent + 1
     if parts:
-        yield send()
+        yield send(sent)
 
 
-_PAIRS = T.StructType([T.StructField("key", T.LongType()), T.StructField("context", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("n", T.LongType())])
-#: Kinds of pairs: of frequent words, with a second word or with a first word that isn't frequent.
-BOTH, RARE_WORD, RARE_CONTEXT = 0, 1, 2
+_ARROW_GROUP = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
 
-def _count_pairs(frequent):
-    """Counts of the pairs of training texts, one row a pair and task (or a few in a large task)."""
+class _Group:
+    """A row of the table of groups, opened."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-
-        def send() -> pa.RecordBatch:
-            keys, at, back = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-            n = np.bincount(back, np.concatenate([p[3] for p in parts]), len(keys)).astype(np.int64)
-            context, kind = (np.concatenate([p[i] for p in parts])[at] for i in (1, 2))
-            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(context.astype(np.int64)), pa.array(kind.astype(np.int32)), pa.array(n)], names=_PAIRS.names)
-
-        for batch in base.slices(batches):
-            tokens, first = tokens_of(batch.column(1))
-            known = _held(frequent.value, tokens) >= 0
-            keys, at = pair_keys(tokens, first)
-            kind = np.where(~known[at - 1], RARE_CONTEXT, np.where(known[at], BOTH, RARE_WORD))
-            keys, one, n = np.unique(keys, return_index=True, return_counts=True)
-            parts.append((keys, tokens[at - 1][one], kind[one], n))
-            held += len(keys)
-            if held > GATHERED:
-                yield send()
-                parts, held = [], 0
-        if parts:
-            yield send()
+    def __init__(self, row: dict):
+        self.doc_id, self.trained, self.lengths = row["doc_id"], np.array(row["trained"], bool), np.array(row["lengths"], np.int64)
+        self.words = np.frombuffer(row["words"], np.uint64)
+        self.places = _unpack(row["places"], int(self.lengths.sum()), np.int32)
+        self.first = np.append(0, np.cumsum(self.lengths))
+        keys, self.inner = pair_keys(self.words[self.places], self.first)
+        self.pairs, self.pair_places = np.unique(keys, return_inverse=True)
 
-    return run
 
+_ASKED = T.StructType([T.StructField("shard", T.LongType()), T.StructField("group", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("word_counts", T.BinaryType()), T.StructField("high", T.BinaryType()), T.StructField("low", T.BinaryType()), T.StructField("pair_counts", T.BinaryType())])
 
-def train(docs: DataFrame) -> tuple[Model, tuple[DataFrame, DataFrame]]:
-    """From (doc_id, text, trained boolean): the model, and the tables of all words' exact training counts and of the pairs for the shards.
 
-    To the driver go sums, and frequent words and pairs: at most 1/LEAST_SHARE each. Without training rows every count is 0.
-    """
-    spark = docs.sparkSession
-    words = base.materialise(docs.mapInArrow(_count_words, _COUNTS).groupBy("word").agg(F.sum("trained").alias("trained"), F.sum("all").alias("all")), "words")
-    n, everything, distinct = words.agg(F.coalesce(F.sum("trained"), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0)), F.count_if(F.col("trained") > 0)).first()
-    least_all, least = max(1.0, LEAST_SHARE * everything), max(2.0, LEAST_SHARE * n)
-    rows = words.where(F.col("all") >= least_all).select("word", "trained").toArrow() if everything else words.select("word", "trained").limit(0).toArrow()
-    hashes, counts = rows.column(0).to_numpy().astype(np.uint64), rows.column(1).to_numpy().astype(np.int64)
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], counts[order]
-    shared = spark.sparkContext.broadcast(hashes)
-    counted = docs.where("trained").mapInArrow(_count_pairs(shared), _PAIRS).groupBy("key").agg(F.first("context").alias("context"), F.first("kind").alias("kind"), F.sum("n").alias("n"))
-    pairs = base.materialise(counted, "pairs")
-    hot = (F.col("kind") == BOTH) & (F.col("n") >= least)
-    found = pairs.where(hot).select("key", "n").toArrow()
-    store = LogFrequencyFilter(least)
-    store.insert(found.column(0).to_numpy().astype(np.uint64), found.column(1).to_numpy())
-    after = pairs.where(F.col("kind") < RARE_CONTEXT).groupBy("context").agg(F.count("*").alias("n")).toArrow()
-    successors = np.zeros(len(hashes), np.int64)
-    successors[_held(hashes, after.column(0).to_numpy().astype(np.uint64))] = after.column(1).to_numpy()
-    return Model(store, int(n), int(distinct), hashes, counts, successors), (words, pairs.where(~hot))
-
-
-_SCORED = T.StructType([T.StructField("word", T.LongType()), T.StructField("route", T.LongType()), T.StructField("key", T.LongType()), T.StructField("row", T.LongType()), T.StructField("times", T.IntegerType()), T.StructField("a", T.FloatType()), T.StructField("b", T.FloatType()), T.StructField("p", T.DoubleType()), T.StructField("doc", T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("trained", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]))])
-_DOC = pa.struct([("doc_id", pa.int64()), ("trained", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-
-def _score(model, rare: bool):
-    """(doc_id, text, trained, row) to rows of what the broadcast part doesn't settle, with ``times``.
-
-    ``rare``: a row for each text, with the sums of its settled tokens, and rows of its words that aren't frequent. Otherwise, rows of
-    the pairs whose second word is frequent and that the broadcast filter doesn't hold.
+def _ask(bits: int):
+    """A row for each group and shard: the group's words and pairs in the shard's range of hashes, sorted, and their training counts.
+
+    Of a pair's hash, the 48 bits below the shard's own are sent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        logs = m.log10_base(m.counts)
-        for batch in base.slices(batches):
-            tokens, first = tokens_of(batch.column(1))
-            n = len(first) - 1
-            owner = np.repeat(np.arange(n), np.diff(first))
-            rows = batch.column(3).to_numpy()
-            plain, keys, count, a, b, at = m.local(tokens, first)
-            here = at >= 0
-            opening = np.zeros(len(tokens), bool)
-            opening[first[:-1]] = True
-            settled = here & (opening | (count > 0))
-            with np.errstate(over="ignore"):
-                spread = mix(rows.astype(np.uint64) + np.uint64(0x27D4EB2F))
-            if rare:
-                known = np.bincount(owner[here], m.counts[at[here]] > 0, n).astype(np.int64)
-                part = np.bincount(owner[here], logs[at[here]], n).astype(np.float64)
-                score = np.bincount(owner[settled], np.log10(np.minimum(a * count + b * plain, 1.0)[settled]), n).astype(np.float64)
-                doc = pa.StructArray.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(first)), pa.array(known), pa.array(part), pa.array(score)], fields=list(_DOC))
-                none = lambda t: pa.nulls(n, t)
-                yield pa.RecordBatch.from_arrays([pa.array(spread.astype(np.int64)), pa.array(spread.astype(np.int64)), none(pa.int64()), pa.array(rows), none(pa.int32()), none(pa.float32()), none(pa.float32()), none(pa.float64()), doc], names=_SCORED.names)
-            wanted = np.flatnonzero(~here if rare else here & ~settled)
-            before = np.where(opening, spread[owner], np.roll(tokens, 1))[wanted]
-            key = np.where(opening, tokens, keys)[wanted]  # a text's first word has no context: a is 0 there
-            order = np.lexsort((key, owner[wanted]))
-            wanted, before, key = wanted[order], before[order], key[order]
-            new = np.ones(len(wanted), bool)
-            new[1:] = (key[1:] != key[:-1]) | (owner[wanted][1:] != owner[wanted][:-1])
-            starts = np.flatnonzero(new)
-            times = np.diff(np.append(starts, len(wanted))).astype(np.int32)
-            wanted, before, key = wanted[starts], before[starts], key[starts]
-            route = np.where(a[wanted] < 0, before, key)
-            k = len(wanted)
-            p = pa.nulls(k, pa.float64()) if rare else pa.array(plain[wanted])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[wanted].astype(np.int64)), pa.array(route.astype(np.int64)), pa.array(key.astype(np.int64)), pa.array(rows[owner[wanted]]), pa.array(times), pa.array(a[wanted].astype(np.float32)), pa.array(b[wanted].astype(np.float32)), p, pa.nulls(k, _DOC)], names=_SCORED.names)
+        bounds = np.array([s << 64 - bits for s in range(1, 1 << bits)], np.uint64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                g = _Group(row)
+                learned = np.repeat(g.trained, g.lengths)
+                word_counts = np.bincount(g.places[learned], minlength=len(g.words)).astype(np.int32)
+                pair_counts = np.bincount(g.pair_places[learned[g.inner]], minlength=len(g.pairs)).astype(np.int32)
+                rest = (g.pairs << np.uint64(bits)) >> np.uint64(16)
+                high, low = (rest >> np.uint64(16)).astype(np.uint32), rest.astype(np.uint16)
+                w, p = (np.concatenate([[0], np.searchsorted(x, bounds), [len(x)]]) for x in (g.words, g.pairs))
+                some = np.flatnonzero((w[1:] > w[:-1]) | (p[1:] > p[:-1]))
+                columns = [
+                    pa.array(some, pa.int64()),
+                    pa.array(np.full(len(some), row["group"]), pa.int64()),
+                    *(pa.array([f(x[at[s] : at[s + 1]]) for s in some], pa.binary()) for x, at, f in ((g.words, w, np.ndarray.tobytes), (word_counts, w, _pack), (high, p, np.ndarray.tobytes), (low, p, np.ndarray.tobytes), (pair_counts, p, _pack))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=_ASKED.names)
 
     return run
 
 
-#: Entries a shard, about, and bits of its filter for each level of an entry.
-SHARD, LEVEL_BITS = 1 << 20, 24
-_SUMS = T.StructType([T.StructField("row", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("base_score", T.DoubleType()), T.StructField("n_known", T.LongType()), _SCORED["doc"]])
+_ANSWER = T.StructType([T.StructField("group", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("word_counts", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("levels", T.BinaryType()), T.StructField("n_pairs", T.LongType()), T.StructField("distinct", T.LongType()), T.StructField("hot", T.ArrayType(T.LongType())), T.StructField("hot_counts", T.ArrayType(T.LongType()))])
+
+
+def _answer(bits: int, least: int):
+    """All that a shard is asked, to a row for each group (aligned with what it asked), and one (without a group) of what the model needs from the shard."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        shard, groups = asked.column("shard")[0].as_py(), asked.column("group").to_pylist()
+        column = lambda name, dtype: [np.frombuffer(x, dtype) for x in asked.column(name).to_pylist()]
+        words, high, low = column("words", np.uint64), column("high", np.uint32), column("low", np.uint16)
+        n_words, n_pairs = [len(x) for x in words], [len(x) for x in high]
+        counted = lambda name, sizes: np.concatenate([_unpack(x, n, np.int32) for x, n in zip(asked.column(name).to_pylist(), sizes, strict=True)])
+        known, at = np.unique(np.concatenate(words), return_inverse=True)
+        totals = np.bincount(at, counted("word_counts", n_words), len(known)).astype(np.int64)
+        exact = np.split(totals[at], np.cumsum(n_words)[:-1])
+        rest = np.concatenate(high).astype(np.uint64) << np.uint64(16) | np.concatenate(low).astype(np.uint64)
+        pairs, at = np.unique(rest, return_inverse=True)
+        pair_totals = np.bincount(at, counted("pair_counts", n_pairs), len(pairs)).astype(np.int64)
+        hot = pair_totals >= least
+        store = LogFrequencyFilter(pairs[~hot], pair_totals[~hot])
+        levels = np.where(hot, HOT, store.probe(pairs)).astype(np.uint16)
+        levels = np.split(levels[at], np.cumsum(n_pairs)[:-1])
+        null = [None]
+        rows = [[*groups, None], [shard] * (len(groups) + 1), [*map(_pack, exact), None], [*n_words, None], [*map(_pack, levels), None], [*n_pairs, None], null * len(groups) + [int((totals > 0).sum())], null * len(groups) + [hot_keys(shard, pairs[hot], bits).astype(np.int64).tolist()], null * len(groups) + [pair_totals[hot].tolist()]]
+        return pa.table([pa.array(x, t) for x, t in zip(rows, _ARROW_ANSWER, strict=True)], names=_ANSWER.names)
 
+    return run
 
-def shard_filter(route: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> LogFrequencyFilter:
-    """A filter of a shard's pairs, and of the counts and numbers of successors of contexts that it has whole (route isn't the key)."""
-    whole = route != keys
-    contexts, of = np.unique(route[whole], return_inverse=True)
-    keys = np.concatenate([keys, contexts, context_key(contexts)])
-    counts = np.concatenate([counts, np.bincount(of, counts[whole], len(contexts)), np.bincount(of, minlength=len(contexts))])
-    store = LogFrequencyFilter(1, bits=64)
-    bits = max(64, LEVEL_BITS * int(store.levels(counts).sum()))
-    store = LogFrequencyFilter(1, bits=1 << (bits - 1).bit_length())
-    store.insert(keys, counts)
-    return store
 
+_ARROW_ANSWER = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
-def _probe_shard(n: int, distinct: int):
-    """A shard's entries (kind 0), then the rows to score with them, to sums by text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries, store = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))], None
-        for batch in batches:
-            stage = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(stage, 1))
-            if cut:
-                some = batch.slice(0, cut)
-                entries.append((some.column(1).to_numpy().astype(np.uint64), some.column(2).to_numpy().astype(np.uint64), some.column(4).to_numpy().astype(np.int64)))
-            if cut == batch.num_rows:
-                continue
-            if store is None:
-                store, entries = shard_filter(*(np.concatenate([e[i] for e in entries]) for i in range(3))), None
-            rest = batch.slice(cut)
-            asked = rest.filter(pa.compute.is_valid(rest.column(4)))
-            docs = rest.filter(pa.compute.is_null(rest.column(4)))
-            if docs.num_rows:
-                none = lambda t, k=docs.num_rows: pa.nulls(k, t)
-                yield pa.RecordBatch.from_arrays([docs.column(3), none(pa.float64()), none(pa.float64()), none(pa.int64()), docs.column(9)], names=_SUMS.names)
-            if not asked.num_rows:
-                continue
-            route, keys = (asked.column(i).to_numpy().astype(np.uint64) for i in (1, 2))
-            row, times, a, b = (asked.column(i).to_numpy() for i in (3, 4, 5, 6))
-            p, c = (asked.column(i).to_numpy(zero_copy_only=False) for i in (7, 8))
-            rare = c >= 0  # words with a count from the join, -1 for frequent ones
-            plain = np.where(rare, (np.maximum(c, 0) + 0.5) / (n + 0.5 * (distinct + 1)), p)
-            mine = a < 0
-            own_a, own_b = _weights(store.probe(route), store.probe(context_key(route)))
-            a, b = np.where(mine, own_a, a), np.where(mine, own_b, b)
-            count = np.where(a > 0, np.maximum(store.probe(keys) - DISCOUNT, 0), 0.0)
-            score = times * np.log10(np.minimum(a * count + b * plain, 1.0))
-            rows, of = np.unique(row, return_inverse=True)
-            add = lambda x, at=of, k=len(rows): np.bincount(at, x, k)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(add(score)), pa.array(add(np.where(rare, times * np.log10(plain), 0.0))), pa.array(add(np.where(c > 0, times, 0)).astype(np.int64)), pa.nulls(len(rows), _DOC)], names=_SUMS.names)
+def hot_keys(shard, rest: np.ndarray, bits: int) -> np.ndarray:
+    """The key of a pair in the broadcast filter: its shard and the 48 bits below, mixed."""
+    with np.errstate(over="ignore"):
+        return mix(rest + mix(np.asarray(shard, np.uint64) + np.uint64(0x2545F491)) * np.uint64(2 * bits + 1))
+
+
+_SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("trained", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+
+
+def plain_probability(counts: np.ndarray, n: int, distinct: int) -> np.ndarray:
+    return (counts + 0.5) / (n + 0.5 * (distinct + 1))
+
+
+def _score(bits: int, n: int, distinct: int, broadcast):
+    """A group and its answers to a row a text."""
+
+    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        shards = answers.column("shard").to_numpy()
+        order = np.argsort(shards)
+        word_counts, n_words, levels, n_pairs = (answers.column(x).to_pylist() for x in ("word_counts", "n_words", "levels", "n_pairs"))
+        counts = np.concatenate([np.zeros(0, np.int64), *(_unpack(word_counts[i], n_words[i], np.int64) for i in order)])
+        level = np.concatenate([np.zeros(0, np.uint16), *(_unpack(levels[i], n_pairs[i], np.uint16) for i in order)]).astype(np.int64)
+        for row in group.to_pylist():
+            g = _Group(row)
+            hot = level == HOT
+            times = _EMPTY.counts_of(np.where(hot, 0, level))
+            if hot.any():
+                store = broadcast.value
+                keys = g.pairs[hot]
+                times[hot] = store.counts_of(store.probe(hot_keys(keys >> np.uint64(64 - bits), (keys << np.uint64(bits)) >> np.uint64(16), bits)))
+            c = counts[g.places]
+            p = plain_probability(c, n, distinct)
+            plain, context = np.log10(p), c[g.inner - 1]
+            p[g.inner] = (times[g.pair_places] + PRIOR * p[g.inner]) / (np.maximum(context, times[g.pair_places]) + PRIOR)
+            add = lambda x, g=g: np.add.reduceat(x, g.first[:-1])  # noqa: E731  (no text is without a token)
+            out.append(pa.table([pa.array(g.doc_id, pa.int64()), pa.array(g.trained), pa.array(g.lengths), pa.array(add((c > 0).astype(np.int64))), pa.array(add(plain)), pa.array(add(np.log10(p)))], names=_SCORED.names))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], f.type) for f in _ARROW_SCORED], schema=_ARROW_SCORED)
 
     return run
 
 
-def score(docs: DataFrame, model: Model, tables: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """From (doc_id, text, trained): doc_id, trained, n_tokens, n_known, train_tokens, base_score, score, one row a row.
-
-    Rows that are equal in all three columns are summed together and then given back as often as they came.
-    """
-    spark, (words, pairs) = docs.sparkSession, tables
-    shared = spark.sparkContext.broadcast(model)
-    rows = docs.select("doc_id", "text", "trained", F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")), F.col("text").isNull(), "trained").alias("row"))
-    known = words.where("trained > 0").select("word", F.col("trained").alias("c"))
-    columns = ("route", "key", "row", "times", "a", "b", "p")
-    rare = rows.mapInArrow(_score(shared, True), _SCORED).join(known, "word", "left").select(F.lit(1).alias("stage"), *columns, F.coalesce("c", F.lit(0)).alias("c"), "doc")
-    others = rows.mapInArrow(_score(shared, False), _SCORED).select(F.lit(1).alias("stage"), *columns, F.lit(-1).cast("long").alias("c"), "doc")
-    null = lambda c: F.lit(None).cast(_SCORED[c].dataType).alias(c)
-    entries = pairs.select(F.lit(0).alias("stage"), F.when(F.col("kind") == RARE_CONTEXT, F.col("context")).otherwise(F.col("key")).alias("route"), "key", null("row"), F.col("n").cast("int").alias("times"), null("a"), null("b"), null("p"), F.lit(-1).cast("long").alias("c"), null("doc"))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // SHARD))
-    dealt = entries.union(rare).union(others).repartition(shards, "route").sortWithinPartitions("stage")
-    sums = dealt.mapInArrow(_probe_shard(model.n, model.distinct), _SUMS).groupBy("row").agg(
-        F.count("doc").alias("copies"),
-        F.first("doc", ignorenulls=True).alias("doc"),
-        F.coalesce(F.sum("n_known"), F.lit(0)).alias("n_known"),
-        F.coalesce(F.sum("base_score"), F.lit(0.0)).alias("base_score"),
-        F.coalesce(F.sum("score"), F.lit(0.0)).alias("score"),
-    )
-    copies = F.col("copies")
-    one = sums.select("doc", copies, (F.col("doc.n_known") + (F.col("n_known") / copies).cast("long")).alias("n_known"), (F.col("doc.base_score") + F.col("base_score") / copies).alias("base_score"), (F.col("doc.score") + F.col("score") / copies).alias("score"))
-    each = one.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
-    return each.select("doc.doc_id", "doc.trained", "doc.n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+_ARROW_SCORED = pa.schema([("doc_id", pa.int64()), ("trained", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def train_and_score(docs: DataFrame, trained, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Score all rows with a model learned from those where ``trained`` (a column of doc_id) holds.
+    """doc_id, trained, n_tokens, n_known, train_tokens, base_score, score: all rows, by a model learned from those where ``trained`` (a column of doc_id) holds.
 
-    A null or empty text is its end token alone. Repeated rows, and rows with equal or null ids, are scored each for itself. Other
-    columns aren't read; an empty table gives none.
+    A null or empty text is its end token alone. Repeated rows, and rows with equal or null ids, count and are scored each for itself.
+    Other columns aren't read; an empty table gives none; without training rows all counts are 0. To the driver go
+    sums, and pairs for the broadcast filter: at most 1/LEAST_SHARE, and half the tokens of a small corpus.
     """
+    spark = docs.sparkSession
     rows = base.id_and_text(docs, id_col, text_col).withColumn("trained", F.coalesce(trained, F.lit(False)))
-    return score(rows, *train(rows))
+    groups = base.materialise(rows.mapInArrow(_groups, _GROUP), "groups", compression="zstd")
+    n, entries = groups.agg(F.coalesce(F.sum("n_trained"), F.lit(0)), F.coalesce(F.sum("entries"), F.lit(0))).first()
+    shards = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // SHARD))
+    bits, least = (shards - 1).bit_length(), max(2, int(np.ceil(LEAST_SHARE * n)))
+    asked = groups.mapInArrow(_ask(bits), _ASKED)
+    answers = base.materialise(asked.groupBy("shard").applyInArrow(_answer(bits, least), _ANSWER), "answers")
+    model = answers.where("group is null")
+    distinct = model.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    hot = model.where(F.size("hot") > 0).select(F.explode(F.arrays_zip("hot", "hot_counts")).alias("x")).select("x.*").toArrow()
+    store = LogFrequencyFilter(hot.column(0).to_numpy().astype(np.uint64), hot.column(1).to_numpy(), least)
+    score = _score(bits, n, distinct, spark.sparkContext.broadcast(store))
+    told = answers.where("group is not null").drop("distinct", "hot", "hot_counts")
+    scored = groups.groupBy("group").cogroup(told.groupBy("group")).applyInArrow(score, _SCORED)
+    return scored.select("doc_id", "trained", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,49 +100,78 @@ def test_model_beats_base_on_held_out_texts(scored):
     assert all(r["score"] < 0 for r in scored)
 
 
-def test_model_is_a_distribution(spark):
-    texts = ["a b a b c", "a b d a", "b a b e f g"] * 30
-    df = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "doc_id long, text string, trained boolean")
-    model, _ = lm_scoring.train(df)
-    vocabulary = ["a", "b", "c", "d", "e", "f", "g", "unseen"]
-    for before in ("a", "b", "g"):
-        total = 0.0
-        for w in [*vocabulary, None]:
-            toks, first = lm_scoring.tokens_of(pa.array([before if w is None else f"{before} {w}"]))
-            total += 10 ** model.log10(toks, first)[1]
-        assert 0.8 < total < 1.2  # one but for quantised counts
+def quantised(count, least=1):
+    """The middle of the count's level, as the filters' rule has it."""
+    lows = [least]
+    while lows[-1] <= count:
+        lows.append(max(lows[-1] + 1, int(lows[-1] * lm_scoring.LEVEL)))
+    low, high = next((a, b - 1) for a, b in zip(lows, lows[1:], strict=False) if a <= count < b) if count >= least else (0, 0)
+    return math.sqrt(low * high)
+
+
+def brute_scores(learned, least):
+    """P(w | h) by the model's formula from plain counts (h None: a text's first token)."""
+    words = Counter(w for t in learned for w in tokens(t))
+    pairs = Counter(p for t in learned for p in zip(tokens(t), tokens(t)[1:], strict=False))
+    n, v = sum(words.values()), len(words)
+
+    def p(h, w):
+        plain = (words[w] + 0.5) / (n + 0.5 * (v + 1))
+        q = quantised(pairs[h, w], least if pairs[h, w] >= least else 1)
+        return (q + lm_scoring.PRIOR * plain) / (max(words[h], q) + lm_scoring.PRIOR) if h != "opening" else plain
+
+    return words, p
+
+
+def test_model_is_a_distribution():
+    rng = np.random.default_rng(6)
+    words, p = brute_scores([" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 400) if x < 500) for _ in range(300)], 10**9)
+    for before in ("w1", "w2", "w9", "w77", "never seen"):
+        assert abs(sum(p(before, w) for w in [*words, "unseen"]) - 1) < 0.02
 
 
 def test_filter_reads_counts_back():
     rng = np.random.default_rng(3)
-    keys, counts = rng.integers(0, 2**63, 5000).astype(np.uint64), rng.integers(2, 100_000, 5000)
-    f = lm_scoring.LogFrequencyFilter(2, bits=1 << 22)
-    f.insert(keys, counts)
-    assert (f.probe(keys) >= counts / 1.31).all() and np.median(f.probe(keys) / counts) < 1.2
-    assert (f.probe(rng.integers(0, 2**63, 5000).astype(np.uint64)) > 0).mean() < 0.05
-
-
-@pytest.mark.parametrize("least_share", [1e-6, 0.02, 0.9])
-def test_lm_keeps_rare_words_and_pairs(spark, monkeypatch, least_share):
-    monkeypatch.setattr(lm_scoring, "LEAST_SHARE", least_share)  # what is broadcast, not what is kept
-    texts = [f"the w{i} the w{i} of p{i % 7} q{i % 7} w{(i + 1) % 40}" for i in range(40)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "the w3 of w5", "new w3 q1", "w3 w9 new", texts[0]])], "doc_id long, text string")
+    keys, counts = rng.integers(0, 2**63, 5000).astype(np.uint64), rng.integers(1, 100_000, 5000)
+    counts[:2000] = rng.integers(1, 10, 2000)
+    f = lm_scoring.LogFrequencyFilter(keys, counts)
+    level = f.probe(keys)
+    found = f.counts_of(level)
+    assert (level >= np.searchsorted(f.lows, counts, side="right")).all()  # never too low
+    assert (found[:2000] == counts[:2000]).mean() > 0.97 and (np.abs(np.log(found / counts)) < math.log(1.11)).mean() > 0.97
+    assert (f.probe(rng.integers(0, 2**63, 5000).astype(np.uint64)) > 0).mean() < 0.02
+
+
+@pytest.mark.parametrize(("least_share", "shard", "group"), [(1e-6, 1 << 19, 1 << 24), (0.02, 40, 300), (0.9, 1 << 19, 100)])
+def test_lm_score_by_brute_force(spark, monkeypatch, least_share, shard, group):
+    """Every score is the formula's, whatever is in the broadcast filter and however groups and shards fall."""
+    for name, value in (("LEAST_SHARE", least_share), ("SHARD", shard), ("GROUP_BYTES", group)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    learned = [f"the w{i} the w{i} of p{i % 7} q{i % 7} w{(i + 1) % 40}" for i in range(40)]
+    texts = [*learned, "the w3 of w5", "new w3 q1", "w3 w9 new", learned[0], None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     rows = lm_scoring.train_and_score(df, F.col("doc_id") < 40).collect()
-    words, pairs = Counter(w for t in texts for w in tokens(t)), Counter(p for t in texts for p in zip(tokens(t), tokens(t)[1:], strict=False))
-    after, n = Counter(h for h, _ in pairs), sum(words.values())
-
-    def want(text):
-        total, h = 0.0, "opening"
-        for w in tokens(text):
-            plain, c = (words[w] + 0.5) / (n + 0.5 * (len(words) + 1)), words[h]
-            total += math.log10(max(pairs[h, w] - 0.5, 0) / c + 0.5 * after[h] / c * plain if c else plain)
-            h = w
-        return total
-
-    assert len(rows) == 44
+    n = sum(len(tokens(t)) for t in learned)
+    words, p = brute_scores(learned, max(2, math.ceil(least_share * n)))
+    assert sorted(r["doc_id"] for r in rows) == list(range(45))
+    exact = 0
     for r in rows:
-        text = df.where(F.col("doc_id") == r["doc_id"]).first()["text"] if r["doc_id"] >= 40 else texts[r["doc_id"]]
-        assert abs(r["score"] - want(text)) < 0.08 * r["n_tokens"]
+        w = tokens(texts[r["doc_id"]])
+        want = sum(math.log10(p(h, x)) for h, x in zip(["opening", *w], w, strict=False))
+        assert (r["n_tokens"], r["n_known"]) == (len(w), sum(words[x] > 0 for x in w))
+        exact += abs(r["score"] - want) < 1e-9
+    assert exact >= 42  # a false positive may raise a pair's level
+
+
+def test_lm_tells_texts_that_occur_twice(spark):
+    """Singletons count: a held-out copy of a text learned once scores far above other held-out texts."""
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join(f"w{i}" for i in rng.integers(0, 3000, 60))
+    learned = [text() for _ in range(400)]
+    rows = [(i, t, True) for i, t in enumerate(learned)] + [(1000 + i, t, False) for i, t in enumerate(learned[:50])] + [(2000 + i, text(), False) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    held = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm_scoring.train_and_score(df, F.col("doc_id") < 1000).collect() if r["doc_id"] >= 1000}
+    assert min(v for k, v in held.items() if k < 2000) > max(v for k, v in held.items() if k >= 2000)
 
 
 def test_lm_without_rows_or_training(spark, none):
