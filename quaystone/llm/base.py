@@ -21,17 +21,30 @@ def shared_dir(spark: SparkSession) -> str:
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not sc.master.startswith("local["):
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return _OWN_DIR.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="quaystone-"))
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder's path in the shared directory."""
+    return f"{shared_dir(spark)}/quaystone/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str, **options: str) -> DataFrame:
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove what nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into a new folder of the shared directory and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quaystone/{uuid.uuid4().hex}/{name}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, f"{new_folder(df.sparkSession)}/{name}", **options)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,13 +22,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the longest path.
     """
     star = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    star, before = base.materialise(star, "edges"), None
+    folder, nth = base.new_folder(edges.sparkSession), 0
+    star, before = base.written(star, f"{folder}/0"), None
     while True:
         both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _smallest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         met = _smallest(large)
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(met.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        star = base.materialise(small, "edges")
+        star, nth = base.written(small, f"{folder}/{nth + 1}"), nth + 1
+        base.removed(edges.sparkSession, f"{folder}/{nth - 1}")
         now = tuple(star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break

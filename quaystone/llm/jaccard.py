@@ -8,8 +8,11 @@
    (so a part that very many nodes share has a row a task), then over all tasks. The components are the clusters.
 3. Token-group matrix in each cluster. Similar nodes form small groups with the union of their shingles. A query's
    overlap with a union bounds its overlap with every member; only groups that reach the least overlap a link
-   needs, by size, are opened, and only if they hold a node not yet connected with the query. Clusters with many shingles are
-   cut into blocks and worked on block against block, so that no task holds more than two blocks.
+   needs, by size, are opened, and only if they hold a node not yet connected with the query. A cluster is cut into blocks
+   of bounded nodes and shingles. First each block is joined with itself and with the cluster's *pivots*: its few nodes with the fewest
+   rare shingles, which most copies of one text are near to. What is left then are nodes outside the cluster's largest component;
+   each of their blocks meets each block of the cluster, so that every pair not yet connected is looked at, and no task
+   holds more than two blocks.
 4. The links found connect exactly the nodes that all links connect; their components give the result.
 
 Equality of sets and shingles is that of their 64-bit hashes.
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +38,8 @@ RATIO, SLACK = 1.35, 1.2
 COMMON_LEAST, COMMON_SHARE = 12, 1e-7
 #: Bits of the filter of common shingles, and of a task's note of the shingles it has seen (8 MB each, fixed).
 COMMON_BITS = 1 << 26
-#: Shingles of a block, and nodes of a group of the token-group matrix.
-BLOCK_SHINGLES, GROUP_NODES = 1 << 19, 24
+#: Shingles and nodes of a block, pivots of a cluster, and nodes of a group of the token-group matrix.
+BLOCK_SHINGLES, BLOCK_NODES, PIVOTS, GROUP_NODES = 1 << 19, 128, 4, 24
 #: Bits of the map of ids whose texts are needed again (4 MB).
 FILTER_BITS = 1 << 25
 #: Signatures that a task gathers before it sends them on.
@@ -209,7 +212,8 @@ def _stars(k: int, percent: int, common):
 class Matrix:
     """Token-group matrix over some nodes' sets; finds links that connect what all links connect."""
 
-    def __init__(self, tokens: list[np.ndarray], percent: int, side: np.ndarray):
+    def __init__(self, tokens: list[np.ndarray], percent: int, side: np.ndarray, label: np.ndarray):
+        """label: nodes of equal label are connected already."""
         self.percent, self.side = percent, side
         self.sizes = np.array([len(t) for t in tokens], np.int64)
         values, ids = np.unique(np.concatenate(tokens), return_inverse=True)
@@ -217,7 +221,8 @@ class Matrix:
         self.ids = np.split(ids, np.cumsum(self.sizes)[:-1])
         # similar nodes stand together: by side, size and least shingle
         self.order = np.lexsort(([int(x.min()) for x in self.ids], self.sizes, side))
-        self.parent = np.arange(len(tokens))
+        first, of = np.unique(label, return_index=True, return_inverse=True)[1:]
+        self.parent = first[of]
 
     def root(self, x: int) -> int:
         while self.parent[x] != x:
@@ -271,23 +276,23 @@ _LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lo
 
 
 def _join_cells(k: int, percent: int):
-    """Rows (cluster, cell, left, right, node, block, text), sorted by cluster and cell, to links (a, b)."""
+    """Rows (cluster, left, right, node, side, label, text), sorted by their first three columns, to links (a, b). With ``right`` at 0 or more, links between the two sides."""
 
-    def solve(nodes: np.ndarray, blocks: np.ndarray, texts: list[str], crossed: bool) -> list[tuple[int, int]]:
+    def solve(nodes: np.ndarray, sides: np.ndarray, labels: np.ndarray, texts: list[str], crossed: bool) -> list[tuple[int, int]]:
         sets, keep, taken = [], [], set()
         cell = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["place", "text"])
         for part in base.slices(iter([cell])):  # a cell's texts at once would need much memory for a moment
             tokens, ends, now = sets_of(part.column(1), k)
             for i, place in enumerate(part.column(0).to_pylist()):
                 n = int(nodes[place])
-                if now[i] == n and n not in taken:  # another text under the same doc_id isn't this node's
-                    taken.add(n)
+                if now[i] == n and (n, sides[place]) not in taken:  # another text under the same doc_id isn't this node's
+                    taken.add((n, sides[place]))
                     keep.append(place)
                     sets.append(tokens[ends[i] : ends[i + 1]])
         if len(keep) < 2:
             return []
         nodes = nodes[keep]
-        return [(int(nodes[i]), int(nodes[j])) for i, j in Matrix(sets, percent, blocks[keep]).links(crossed)]
+        return [(int(nodes[i]), int(nodes[j])) for i, j in Matrix(sets, percent, sides[keep], labels[keep]).links(crossed)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -295,16 +300,16 @@ def _join_cells(k: int, percent: int):
         def finish() -> list[tuple[int, int]]:
             if len(held) < 2:
                 return []
-            nodes, blocks, texts = zip(*held, strict=True)
-            return solve(np.array(nodes, np.int64), np.array(blocks, np.int64), list(texts), now[1] != now[2])
+            nodes, sides, labels, texts = zip(*held, strict=True)
+            return solve(np.array(nodes, np.int64), np.array(sides, np.int64), np.array(labels, np.int64), list(texts), now[2] >= 0)
 
         for batch in batches:
             links = []
-            for cluster, left, right, node, block, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for cluster, left, right, node, side, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (cluster, left, right) != now:
                     links += finish()
                     held, now = [], (cluster, left, right)
-                held.append((node, block, text or ""))
+                held.append((node, side, label, text or ""))
             if links:
                 a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=_LINKS.names)
@@ -323,17 +328,52 @@ def _bit_table(places: DataFrame, bits: int):
     return places.sparkSession.sparkContext.broadcast(table)
 
 
-def _only(rows: DataFrame, bit_map) -> DataFrame:
-    """The rows whose id may be in the bit map, so that the others' texts aren't shuffled."""
+_WANTED = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("rare", T.DoubleType())])
+
+
+def _wanted(rows: DataFrame, k: int, bit_map, common) -> DataFrame:
+    """id, text, rare (the share of its shingles that aren't common) of the rows whose id may be in the bit map, so that the others' texts aren't shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bit_map.value
         for batch in batches:
-            there = _is_set(table, batch.column(2).to_numpy() & (64 * len(table) - 1))
-            if there.any():
-                yield pa.RecordBatch.from_arrays(list(batch.filter(pa.array(there)).columns[:2]), names=["doc_id", "text"])
+            there = batch.filter(pa.array(_is_set(table, batch.column(2).to_numpy() & (64 * len(table) - 1))))
+            for part in base.slices(iter([there])):
+                tokens, ends, _ = sets_of(part.column(1), k)
+                one, two = _bits_of(tokens)
+                rare = np.append(0, np.cumsum(~(_is_set(common.value, one) & _is_set(common.value, two))))
+                share = (rare[ends[1:]] - rare[ends[:-1]]) / np.maximum(1, np.diff(ends))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(share)], names=_WANTED.names)
+
+    return rows.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, _WANTED)
+
+
+def _links_in(cells: DataFrame, k: int, percent: int) -> DataFrame:
+    ordered = cells.select("cluster", "left", "right", "node", "side", "label", "text").repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right")
+    return base.materialise(ordered.mapInArrow(_join_cells(k, percent), _LINKS), "links")
+
 
-    return rows.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, rows.schema)
+def _own_cells(texts: DataFrame) -> DataFrame:
+    """Each block with itself and, where a cluster has several, its pivots."""
+    best = Window.partitionBy("cluster").orderBy("rare", "node")
+    pivots = texts.where("blocks > 1").withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= PIVOTS)
+    pivots = pivots.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("left"), "node", "text")
+    own = texts.select("cluster", F.col("block").alias("left"), "node", "text")
+    return own.union(pivots).select("*", F.lit(-1).alias("right"), F.lit(0).alias("side"), F.col("node").alias("label"))
+
+
+def _cross_cells(texts: DataFrame, components: DataFrame) -> DataFrame:
+    """Of clusters of several blocks: the blocks of nodes outside the largest component, each with all blocks."""
+    cut = texts.where("blocks > 1").join(components.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = cut.groupBy("cluster", "label").agg(F.count("*").alias("nodes"), F.sum("n").alias("n"))
+    left = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("nodes", "label")).alias("largest"), (F.sum("nodes") - F.max("nodes")).alias("rest"), F.sum("n").alias("n"))
+    left = left.where("rest > 0").select("cluster", "largest", F.greatest(F.ceil(F.col("rest") / BLOCK_NODES), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("lefts"))
+    met = cut.join(left, "cluster")
+    outside = met.where("label <> largest").withColumn("left", F.pmod(F.xxhash64("node", F.lit(1)), F.col("lefts")).cast("int"))
+    columns = ("cluster", "left", "right", "node", "side", "label", "text")
+    queries = outside.withColumn("right", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0)).select(*columns)
+    others = met.withColumn("left", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("right", F.col("block")).withColumn("side", F.lit(1)).select(*columns)
+    return queries.union(others)
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,22 +395,23 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     common = _bit_table(hot.select(F.explode(F.array(shingle.bitwiseAND(mask), F.shiftrightunsigned(shingle, 32).bitwiseAND(mask))).alias("at")), COMMON_BITS)
 
     stars = rows.mapInArrow(_stars(k, percent, common), _STARS)
-    leader = F.min(F.when(F.col("b").isNull(), F.col("a"))).over(_by("signature"))
+    leader = F.min(F.when(F.col("b").isNull(), F.col("a"))).over(Window.partitionBy("signature"))
     shared = stars.select("a", F.coalesce("b", leader).alias("b")).where("a != b")
     clusters = base.materialise(connected_components(shared), "clusters").withColumnRenamed("component", "cluster")
 
     per_node = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     members = base.materialise(per_node.join(clusters, "node"), "members")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    blocks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_NODES)).cast("int").alias("blocks"))
     placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    wanted = _only(rows, _bit_table(members.select(F.xxhash64("doc_id").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long")).alias("at")), FILTER_BITS))
-    texts = placed.join(wanted.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("cluster", "blocks", "node", "block", "text")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("left"), F.greatest(x, F.col("block")).alias("right")))
-    cells = texts.withColumn("cell", F.explode(others)).select("cluster", "cell.left", "cell.right", "node", "block", "text")
-    cells = cells.repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right")
-    links = cells.mapInArrow(_join_cells(k, percent), _LINKS)
-
+    wanted = _wanted(rows, k, _bit_table(members.select(F.xxhash64("doc_id").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long")).alias("at")), FILTER_BITS), common)
+    texts = base.materialise(placed.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("cluster", "blocks", "node", "block", "n", "rare", "text"), "texts")
+    links = _links_in(_own_cells(texts), k, percent)
     components = base.materialise(connected_components(links), "components")
+    if not texts.where("blocks > 1").isEmpty():
+        more = _links_in(_cross_cells(texts, components), k, percent)
+        if not more.isEmpty():
+            stars = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            components = base.materialise(connected_components(stars.union(more)), "components")
     keyed = per_node.join(components, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     smallest = keyed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     answer = keyed.join(smallest, "component").select("node", "component_id")
@@ -378,11 +419,5 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     return linked.union(sets.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column)
-
-
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(base.documents(spark, sf_dir))

@@ -48,10 +48,11 @@ def test_edge_cases(docs, texts, none, k, percent):
     assert jaccard.jaccard_components(none, k, percent).count() == 0
 
 
-@pytest.mark.parametrize("block", [jaccard.BLOCK_SHINGLES, 900])
-def test_families_around_the_threshold(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "nodes", "pivots"), [(jaccard.BLOCK_SHINGLES, jaccard.BLOCK_NODES, jaccard.PIVOTS), (900, 1000, 1), (jaccard.BLOCK_SHINGLES, 3, 2)])
+def test_families_around_the_threshold(spark, monkeypatch, block, nodes, pivots):
     """Copies with few to many edits, chains, a passage that all share; also with blocks so small that clusters are cut up."""
-    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+    for name, value in (("BLOCK_SHINGLES", block), ("BLOCK_NODES", nodes), ("PIVOTS", pivots)):
+        monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(8)
     passage, rows = [f"p{i}" for i in range(50)], []
     for family in range(6):
