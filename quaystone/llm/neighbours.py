@@ -2,11 +2,13 @@
 
 On a bounded sample: the graph of nearest neighbours by inner product is cut into balanced parts (seeded by spread-out
 centres under a capacity, then refined by moving nodes to the part that most of their neighbours are in, where there is room).
-A softmax classifier learns from each sampled vector where its neighbours lie. It then assigns every vector of the
-table to its most probable part, and routes a query to the most probable parts until they hold ``mass`` of
-the probability. Candidates of the parts opened are ranked exactly, in double precision.
+A softmax classifier learns from each sampled vector where its neighbours lie. A part that holds many vectors of the table is cut
+again in the same way, from a sample of its own and by its own classifier, so that leaves grow in number with the table, not only
+in size. The classifiers assign every vector to its most probable leaf, and route a query to its most probable leaves until
+they hold ``mass`` of the probability and LEAST_VECTORS vectors (or there is none left). Their vectors are ranked exactly, in
+double precision.
 
-Parts are cut into blocks of bounded size, so one very common vector fills several tasks; a query meets each block of its parts
+Leaves are cut into blocks of bounded size, so one very common vector fills several tasks; a query meets each block of its leaves
 once and keeps its best there, and the blocks' bests are merged.
 """
 
@@ -24,11 +26,13 @@ from quaystone.llm import base
 
 #: Vectors of the sample (those with the least hashes of their ids), and numbers in it at most.
 SAMPLE, SAMPLE_NUMBERS = 10_000, 4_000_000
-NEIGHBOURS, MASS, LEAST_PARTS, BLOCK = 12, 0.94, 2, 16_384
+NEIGHBOURS, MASS, LEAST_VECTORS, BLOCK = 12, 0.94, 2_000, 16_384
+#: Vectors of the table from which a part is cut again, about so many to a leaf, and leaves of a part at most.
+LARGE_PART, LEAF, LEAVES = 65_536, 16_384, 64
 
 
 def part_count(n: int) -> int:
-    """Parts for n vectors: about sqrt(n)/4, a power of two from 4 to 256 (what the sample can teach)."""
+    """Parts of the first level for n vectors: about sqrt(n)/4, a power of two from 4 to 256 (what the sample can teach)."""
     return int(2 ** np.clip(np.round(np.log2(max(1.0, np.sqrt(n) / 4))), 2, 8))
 
 
@@ -122,12 +126,44 @@ class Router:
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return _softmax((x / (self.scale or 1.0)) @ self.weights[:-1] + self.weights[-1])
 
-    def routes(self, x: np.ndarray, mass: float) -> list[np.ndarray]:
-        p = self.probabilities(x)
-        order = np.argsort(-p, axis=1)
-        before = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1) - np.take_along_axis(p, order, axis=1)
-        n = np.maximum((before < mass).sum(axis=1), min(LEAST_PARTS, p.shape[1]))
-        return [o[:k] for o, k in zip(order, n, strict=True)]
+
+@dataclass
+class Tree:
+    """Routers of one level or two: leaves are numbered part by part."""
+
+    top: Router
+    below: dict[int, Router]  # of parts that are cut again
+
+    def __post_init__(self):
+        parts = self.top.weights.shape[1]
+        self.first = np.append(0, np.cumsum([self.below[p].weights.shape[1] if p in self.below else 1 for p in range(parts)]))
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """Of each leaf: its part's probability times its own in the part."""
+        p = self.top.probabilities(x)
+        if not self.below:
+            return p
+        return np.hstack([p[:, [i]] * self.below[i].probabilities(x) if i in self.below else p[:, [i]] for i in range(p.shape[1])])
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        """The most probable leaf of the most probable part."""
+        part = self.top.probabilities(x).argmax(axis=1)
+        out = self.first[part]
+        for i in np.unique(part):
+            if i in self.below:
+                out[part == i] += self.below[i].probabilities(x[part == i]).argmax(axis=1)
+        return out
+
+    def routes(self, x: np.ndarray, mass: float, held: np.ndarray, least: int) -> list[np.ndarray]:
+        """Each query's most probable leaves, until they hold ``mass`` and ``least`` vectors. held: vectors of each leaf."""
+        out = []
+        for a in range(0, len(x), 100):
+            p = self.probabilities(x[a : a + 100])
+            order = np.argsort(-p, axis=1, kind="stable")
+            p, n = np.take_along_axis(p, order, axis=1), held[order]
+            opened = ((np.cumsum(p, axis=1) - p < mass) | (np.cumsum(n, axis=1) - n < least)).sum(axis=1)
+            out += [o[:k] for o, k in zip(order, opened, strict=True)]
+        return out
 
 
 def usable(v: Column) -> Column:
@@ -162,54 +198,93 @@ def best_of(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
     return tuple(np.concatenate([*x, np.zeros(0, t)]).astype(t) for x, t in zip(out, (np.int64, np.int64, np.float64), strict=True))
 
 
+def _second_level(rows: DataFrame, top: Router, n: int, most: int) -> dict[int, Router]:
+    """Classifiers of the parts with more than LARGE_PART vectors, each fitted in a task on about ``most`` vectors of its part."""
+    if n <= LARGE_PART or top.weights.shape[1] == 1:
+        return {}
+    schema = T.StructType([T.StructField("part", T.IntegerType()), *rows.schema.fields])
+    router = rows.sparkSession.sparkContext.broadcast(top)
+
+    def part(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(router.value.probabilities(_matrix(batch.column(1))).argmax(axis=1).astype(np.int32)), *batch.columns], names=schema.names)
+
+    parted = rows.select("vec_id", "v").mapInArrow(part, schema)
+    large = {r["part"]: r["n"] for r in parted.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > LARGE_PART).collect()}  # 256 at most
+    if not large:
+        return {}
+    leaves = {p: int(2 ** np.clip(np.round(np.log2(c / LEAF)), 1, np.log2(LEAVES))) for p, c in large.items()}
+    least = F.create_map(*(F.lit(x) for p, c in large.items() for x in (p, min(2**63 - 1, int(-(2**63) + min(1.0, most / c) * 2**64)))))
+    sampled = parted.where(F.xxhash64("vec_id", F.lit(2)) <= least[F.col("part")])  # null, so none, for other parts
+
+    def fit(vectors: pa.Table) -> pa.Table:
+        p = vectors.column("part")[0].as_py()
+        order = np.argsort(vectors.column("vec_id").to_numpy())  # the same whatever the partitions
+        r = Router.fit(_matrix(vectors.column("v"))[order], leaves[p])
+        return pa.table([pa.array([p], pa.int32()), pa.array([r.weights.shape[1]], pa.int32()), pa.array([r.scale]), pa.array([r.weights.astype(np.float32).tobytes()])], names=["part", "leaves", "scale", "weights"])
+
+    fitted = sampled.groupBy("part").applyInArrow(fit, "part int, leaves int, scale double, weights binary").collect()
+    return {r["part"]: Router(np.frombuffer(r["weights"], np.float32).reshape(-1, r["leaves"]).astype(np.float64), r["scale"]) for r in fitted}
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, mass: float = MASS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best found by inner product, ties to the smaller vec_id.
 
     ``is_query`` is a condition on the column vec_id. Null ids, and vectors that are null, empty, zero or hold null
     or non-finite components, take no part, nor do vectors of another than the most common length (on a tie the shorter).
-    Rows that repeat a vec_id count once, with the least vector. A query with fewer than k candidates in its parts gets those found;
-    tables of up to 4 x 4 vectors have one part. Other columns aren't read; an empty table gives none.
+    Rows that repeat a vec_id count once, with the least vector. A query gets fewer than k rows only if there are fewer candidates.
+    Other columns aren't read; an empty table gives none. To the driver go the samples of the first level, the classifiers of the
+    second (LEAVES times 256 columns at most) and a count a leaf.
     """
     spark = vectors.sparkSession
     base.small_batches(spark)
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    rows = base.materialise(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    repeated = rows.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id")
+    if not repeated.isEmpty():
+        repeated = base.materialise(repeated, "repeated")
+        once = rows.join(repeated, "vec_id", "left_anti").select("vec_id", "v")
+        rows = base.materialise(once.union(rows.join(repeated, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))), "vectors")
     lengths = sorted(rows.groupBy(F.size("v").alias("d")).count().collect(), key=lambda r: (-r["count"], r["d"]))  # a row a length
     if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d, n = lengths[0]["d"], lengths[0]["count"]
     rows = rows.where(F.size("v") == d)
-    sample = base.least_hashes(rows, max(1, min(SAMPLE, SAMPLE_NUMBERS // d)), "vec_id").select("v").toArrow()
-    router = spark.sparkContext.broadcast(Router.fit(_matrix(sample.column(0)), part_count(n)))
+    most = max(1, min(SAMPLE, SAMPLE_NUMBERS // d))
+    sample = base.least_hashes(rows, most, "vec_id").select("v").toArrow()
+    top = Router.fit(_matrix(sample.column(0)), part_count(n))
+    tree = spark.sparkContext.broadcast(Tree(top, _second_level(rows, top, n, most)))
 
-    placed_schema = T.StructType([T.StructField("part", T.IntegerType()), *rows.schema.fields])
+    placed_schema = T.StructType([T.StructField("leaf", T.IntegerType()), *rows.schema.fields])
 
     def place(batches):
         for batch in batches:
             if batch.num_rows:
-                part = router.value.probabilities(_matrix(batch.column(1))).argmax(axis=1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(part), *batch.columns], names=placed_schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(tree.value.leaf(_matrix(batch.column(1))).astype(np.int32)), *batch.columns], names=placed_schema.names)
+
+    placed = base.materialise(rows.select("vec_id", "v").mapInArrow(place, placed_schema), "placed")
+    counted = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row a leaf
+    held = np.array([counted.get(i, 0) for i in range(int(tree.value.first[-1]))])
+    least = max(LEAST_VECTORS, k + 1)
 
     def route(batches):
         for batch in batches:
             if batch.num_rows:
-                found = router.value.routes(_matrix(batch.column(1)), mass)
+                found = tree.value.routes(_matrix(batch.column(1)), mass, held, least)
                 take = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), *(c.take(take) for c in batch.columns)], names=placed_schema.names)
 
-    placed = base.materialise(rows.select("vec_id", "v").mapInArrow(place, placed_schema), "placed")
-    blocks = placed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row a part, 256 at most
-    blocks = F.broadcast(blocks)
-    candidates = placed.join(blocks, "part").select("part", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v")
+    blocks = F.broadcast(spark.createDataFrame([(i, -(-c // BLOCK)) for i, c in counted.items()], "leaf int, blocks int"))  # a row a leaf
+    candidates = placed.join(blocks, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v")
     routed = rows.where(is_query).select("vec_id", "v").mapInArrow(route, placed_schema)
-    queries = routed.join(blocks, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
+    queries = routed.join(blocks, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
     found_schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         found = best_of(left.column("vec_id").to_numpy(), _matrix(left.column("v")), right.column("vec_id").to_numpy(), _matrix(right.column("v")), k)
         return pa.table([pa.array(f) for f in found], names=found_schema.names)
 
-    found = candidates.groupBy("part", "block").cogroup(queries.groupBy("part", "block")).applyInArrow(search, found_schema)
+    found = candidates.groupBy("leaf", "block").cogroup(queries.groupBy("leaf", "block")).applyInArrow(search, found_schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -139,6 +139,38 @@ def test_nearest_recall_and_order(spark):
     assert hits / (20 * len(want)) >= 0.9
 
 
+def recall(spark, ids, x, k=20):
+    """Recall of ``nearest``, whose rows are checked to be as many as there are candidates for."""
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=k).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    want = brute_nearest(ids, x, k)
+    assert {q: len(v) for q, v in got.items()} == {q: min(k, len(ids) - 1) for q in want if len(ids) > 1}
+    return np.mean([len(set(got[q]) & {i for i, _ in want[q]}) / len(want[q]) for q in want]) if len(ids) > 1 else 1.0
+
+
+@pytest.mark.parametrize("n", [1, 2, 20, 21, 30, 60, 700, 3000])
+@pytest.mark.parametrize("d", [8, 64])
+def test_nearest_at_every_size(spark, n, d):
+    """Vectors without any clusters, the hardest case."""
+    x = np.random.default_rng(n + d).normal(size=(n, d))
+    assert recall(spark, np.arange(n), x) >= 0.9
+
+
+def test_nearest_in_two_levels(spark, monkeypatch):
+    for name, value in (("LARGE_PART", 150), ("LEAF", 40), ("LEAST_VECTORS", 100), ("BLOCK", 64)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] + 0.5 * rng.normal(size=(4000, 16))
+    built = []
+    monkeypatch.setattr(neighbours.Tree, "__post_init__", lambda self, f=neighbours.Tree.__post_init__: (f(self), built.append(self))[0])
+    assert recall(spark, np.arange(4000), x) >= 0.9
+    assert built[0].below and len(built[0].first) - 1 < built[0].first[-1]
+    rows = x[:50]
+    assert np.allclose(built[0].probabilities(rows).sum(axis=1), 1) and (built[0].leaf(rows) < built[0].first[-1]).all()
+
+
 def test_nearest_edge_cases(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (None, [1.0, 1.0]), (9, [1.0, 2.0, 3.0]), (20, [2.0, 0.0]), (40, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
