@@ -35,7 +35,7 @@ LEAST_SHARE, PRIOR = 1e-6, 2.0
 #: Ratio of the count levels beyond 19, probes a level, bits of a filter for each level of an entry.
 LEVEL, PROBES, LEVEL_BITS = 1.1, 2, 24
 #: Bytes of text in a group, about, and entries that a shard gets from all groups, about.
-GROUP_BYTES, SHARD = 16 << 20, 1 << 19
+GROUP_BYTES, SHARD = 8 << 20, 1 << 19
 #: The level that stands for a pair of the broadcast filter.
 HOT = 65_535
 
