@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 MONTHS = ["gennaio", "febbraio", "marzo", "aprile", "maggio", "giugno", "luglio", "agosto", "settembre", "ottobre", "novembre", "dicembre"]
 
 
+def straight(x: Column, curly: str = "’‘“”") -> Column:
+    """Straight quotes for curly ones. ``translate`` looks up every character of a text; a replacement only finds its own."""
+    for c in curly:
+        x = F.replace(x, F.lit(c), F.lit('"' if c in "“”" else "'"))
+    return x
+
+
 def or_null(x: Column) -> Column:
     """Null for an empty text."""
     return F.nullif(x, F.lit(""))
@@ -26,12 +33,12 @@ def first_text(*xs: Column) -> Column:
 
 def clean(x: Column) -> Column:
     """Null becomes empty, curly apostrophes straight, white space single; spaces, dots and semicolons at the ends go."""
-    return F.btrim(F.regexp_replace(F.translate(F.coalesce(x, F.lit("")), "’", "'"), r"(?U)\s+", " "), F.lit(" .;"))
+    return F.btrim(F.regexp_replace(straight(F.coalesce(x, F.lit("")), "’"), r"(?U)\s+", " "), F.lit(" .;"))
 
 
 def normalise(x: Column) -> Column:
     """For comparing quotes: straight quotes, single white space, trimmed, lower case."""
-    return F.lower(F.trim(F.regexp_replace(F.translate(x, "’‘“”", "''\"\""), r"(?U)\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(straight(x), r"(?U)\s+", " ")))
 
 
 def seat_and_entrance(raw: Column) -> tuple[Column, Column]:

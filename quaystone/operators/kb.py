@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from quaystone.functions import text as X
 from quaystone.functions.geo import haversine_km
 
-#: Said with every checklist.
-NOTE = "Requirements in not_yet_verified have no checked source: say that they are not known and point to the official page."
+#: Said with every checklist, unless the caller gives another note.
+NOTE = "not_yet_verified: no source has been checked for these. Say so, and refer to the official page."
 
 
 def usable(status: Column, include_drafts: bool = False) -> Column:
@@ -40,7 +40,7 @@ def bucket(when: Column, answers: Column, status: Column, include_drafts: bool =
     return F.when(F.coalesce(F.size(open_questions) > 0, F.lit(False)), "ask").when(~F.coalesce(met, F.lit(True)), "skip").when(~usable(status, include_drafts), "unverified").otherwise("applies")
 
 
-def checklists(services: DataFrame, cases: DataFrame, sources: DataFrame, include_drafts: bool = False) -> DataFrame:
+def checklists(services: DataFrame, cases: DataFrame, sources: DataFrame, include_drafts: bool = False, note: str = NOTE) -> DataFrame:
     """A row for each case (case_id, service_id, answers map): requirements that apply in order, still_to_ask, not_yet_verified, sources, note.
 
     A question stays open even if another answer already rules the requirement out. A case of an unknown service has ``error`` set. Each case's
@@ -58,12 +58,12 @@ def checklists(services: DataFrame, cases: DataFrame, sources: DataFrame, includ
         F.array_sort(F.array_distinct(F.flatten(F.transform(of("ask"), lambda r: F.filter(F.map_keys(r["when"]), lambda q: ~F.array_contains(F.map_keys(answers), q)))))).alias("still_to_ask"),
         F.transform(of("unverified"), lambda r: r["id"]).alias("not_yet_verified"),
     )
-    cited = sorted_out.select("case_id", F.explode(F.array_distinct(F.transform("requirements", lambda r: r["source_id"]))).alias("cited"))
+    cited = sorted_out.select(F.col("case_id").alias("_case"), F.col("service_id").alias("_service"), F.explode(F.array_distinct(F.transform("requirements", lambda r: r["source_id"]))).alias("cited"))
     found = cited.join(get_sources(sources), F.col("cited") == F.col("id"), "left")
     source = F.when(F.col("id").isNotNull(), F.struct("id", "title", "url", "publisher", "retrieved_at", "status"))
-    per_case = found.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("cited").alias("k"), source.alias("s")))), lambda x: x["s"]).alias("sources"))
-    out = sorted_out.join(per_case, "case_id", "left")
-    return out.select("case_id", "service_id", "requirements", "still_to_ask", "not_yet_verified", "sources", F.lit(NOTE).alias("note"), F.when(F.col("_known").isNull(), F.concat(F.lit("Unknown service '"), "service_id", F.lit("'"))).alias("error"))
+    per_case = found.groupBy("_case", "_service").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("cited").alias("k"), source.alias("s")))), lambda x: x["s"]).alias("sources"))
+    out = sorted_out.join(per_case, F.col("case_id").eqNullSafe(F.col("_case")) & F.col("service_id").eqNullSafe(F.col("_service")), "left")
+    return out.select("case_id", "service_id", "requirements", "still_to_ask", "not_yet_verified", "sources", F.lit(note).alias("note"), F.when(F.col("_known").isNull(), F.concat(F.lit("Unknown service '"), "service_id", F.lit("'"))).alias("error"))
 
 
 def get_checklist(services: DataFrame, sources: DataFrame, service_id: str, answers: dict[str, str] | None = None, include_drafts: bool = False) -> DataFrame:

@@ -44,6 +44,11 @@ def avoided_cost(before_rate: Column, after_rate: Column, appointments: Column,
     return F.greatest(before_rate - after_rate, F.lit(0.0)) * appointments * slot_cost
 
 
+def satisfaction(answers: DataFrame, score: str, *by: str) -> DataFrame:
+    """Answers with a score, and their mean."""
+    return answers.where(F.col(score).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(score).alias("satisfaction"))
+
+
 def outcome_gap(answers: DataFrame, group: str, poor: Column, first: str, second: str) -> DataFrame:
     """Percentage of poor answers in two groups, and their difference in points."""
     rate = lambda g: percent(F.count_if(poor & (F.col(group) == g)), F.count_if(F.col(group) == g))

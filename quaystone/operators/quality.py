@@ -6,7 +6,9 @@ quote are looked at independently.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaystone.functions import text as X
@@ -20,8 +22,16 @@ def _violation(df: DataFrame, rule: str, severity: str, place: Column, message:
 
 
 def duplicates(df: DataFrame, key: list[str], ordinal: str) -> DataFrame:
-    """Every further row of a key, in the order of ``ordinal``."""
-    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(ordinal))).where("_nth > 1").drop("_nth")
+    """Every further row of a key, in the order of ``ordinal`` (which is unique within a key; nulls are one key).
+
+    The first ordinal of each key is aggregated before the shuffle, and the join is by key and ordinal: a key that very many rows share
+    is spread over all tasks.
+    """
+    first = df.groupBy(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(key))).agg(F.min(ordinal).alias("_first"))
+    same = F.col(ordinal) == F.col("_first")
+    for i, k in enumerate(key):
+        same &= F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return df.join(first, same, "left_anti")
 
 
 def facts(services: DataFrame) -> DataFrame:
@@ -68,19 +78,39 @@ def fact_checks(found: DataFrame, sources: DataFrame, snapshots: DataFrame, as_o
     return v4.union(v5).union(v6).union(v7).union(v8).union(v9)
 
 
-def ground_quotes(quotes: DataFrame, texts: DataFrame, inner: int = 3) -> DataFrame:
-    """(quote_id, text_id) of all texts that hold a quote of ``inner`` + 2 words or more, after normalisation of both.
+#: Quotes whose anchor words are tested in each text's own row (they stand in the plan); more are joined. Short quotes a block.
+ROW_QUOTES, SHORT_BLOCK = 20_000, 500
+
+
+def ground_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(quote_id, text_id) of all texts that hold a quote, after normalisation of both; null quotes and texts hold nothing.
 
-    A text that holds the quote has its second to next words as whole words, so the join is one of equal word runs, and containment is
-    tested on its candidates only. Shorter quotes aren't looked for.
+    A text that holds a quote has the quote's inner words as whole words. The longest of them is the quote's anchor: it is looked for among
+    the text's words, in its row for up to ROW_QUOTES quotes and by a join beyond, and containment is tested where it is found.
+    Quotes without an inner word may begin and end within words: blocks of them are tested on each text.
     """
-    words = lambda c: F.split(c, " ")
-    q = quotes.select("quote_id", X.normalise(F.col("quote")).alias("quote")).where(F.size(words(F.col("quote"))) >= inner + 2)
-    q = q.withColumn("run", F.array_join(F.slice(words(F.col("quote")), 2, inner), " "))
-    t = texts.select("text_id", X.normalise(F.col("text")).alias("text")).withColumn("w", words(F.col("text")))
-    runs = F.when(F.size("w") >= inner, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - inner + 1), lambda i: F.array_join(F.slice("w", i, inner), " "))))
-    found = t.select("text_id", F.explode(runs).alias("run")).join(q.select("run").distinct(), "run", "left_semi").join(q.select("run", "quote_id"), "run").select("text_id", "quote_id").distinct()
-    return found.join(t.select("text_id", "text"), "text_id").join(q.select("quote_id", "quote"), "quote_id").where(F.contains("text", "quote")).select("quote_id", "text_id")
+    q = quotes.where("quote is not null").select("quote_id", X.normalise(F.col("quote")).alias("quote")).withColumn("w", F.split("quote", " "))
+    inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
+    q = q.withColumn("anchor", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]).drop("w")
+    n_long, n_short = q.agg(F.count("anchor"), F.count_if(F.col("anchor").isNull())).first()
+    t = texts.where("text is not null").select("text_id", X.normalise(F.col("text")).alias("text"))
+    found = []
+    if n_long:
+        long = q.where("anchor is not null")
+        words = t.withColumn("w", F.split("text", " "))
+        if n_long <= ROW_QUOTES:
+            sought = F.split(F.lit(" ".join(sorted(r["anchor"] for r in long.select("anchor").distinct().collect()))), " ")
+            hits = words.select("text_id", "text", F.explode(F.array_intersect("w", sought)).alias("anchor")).join(F.broadcast(long), "anchor")
+        else:
+            pairs = words.select("text_id", F.explode(F.array_distinct("w")).alias("anchor")).join(long, "anchor").select("text_id", "quote_id", "quote")
+            hits = pairs.join(t, "text_id")
+        found.append(hits.where(F.contains("text", "quote")).select("quote_id", "text_id"))
+    if n_short:
+        block = F.pmod(F.xxhash64("quote_id"), F.lit(-(-n_short // SHORT_BLOCK)))
+        blocks = q.where("anchor is null").groupBy(block.alias("block")).agg(F.collect_list(F.struct("quote_id", "quote")).alias("some"))
+        held = t.crossJoin(blocks).select("text_id", F.explode(F.filter("some", lambda s: F.contains(F.col("text"), s["quote"]))).alias("q"))
+        found.append(held.select("q.quote_id", "text_id"))
+    return reduce(DataFrame.union, found) if found else q.select("quote_id").join(t.select("text_id"), F.lit(False))
 
 
 def service_checks(services: DataFrame, invalid: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,19 +31,26 @@ def report_groups(reports: DataFrame, cause_table: DataFrame, threshold: int = T
     """Reports that didn't go well, by service and cause: count, simulated ones, whether the threshold is reached, first examples by text.
 
     A null outcome isn't ``ok``. Groups below the threshold stay. The cause table is small and joined after the aggregation; with
-    ``strict`` an unknown cause is an error, else its label is null. ``since_week`` (``2026-W05``) leaves older reports out.
+    ``strict`` an unknown cause is an error, else its label is null. ``since_week`` (``2026-W05``) leaves older reports out. Of a group's
+    distinct texts, each task sends on the first few alone.
     """
     bad = reports.where(~F.col("outcome").eqNullSafe("ok"))
     if since_week:
         bad = bad.where(F.col("week") >= since_week)
-    first = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, examples)
     grouped = bad.groupBy("service_id", "cause").agg(
         F.count("*").alias("count"),
         F.sum(F.coalesce(F.col("simulated"), F.lit(False)).cast("long")).alias("simulated"),
         (F.count("*") >= threshold).alias("over_threshold"),
-        first("summary_en").alias("examples_en"),
-        first("summary_it").alias("examples_it"),
     )
+    said = bad.select("service_id", "cause", F.explode(F.array(*(F.struct(F.lit(c).alias("of"), F.col(c).alias("said")) for c in ("summary_en", "summary_it")))).alias("x"))
+    said = said.select("service_id", "cause", "x.*").where("said is not null").distinct()
+    by_text = Window.partitionBy("service_id", "cause", "of").orderBy("said")
+    few = said.withColumn("nth", F.row_number().over(by_text)).where(F.col("nth") <= examples)
+    of = lambda c: F.array_sort(F.collect_list(F.when(F.col("of") == c, F.col("said"))))
+    few = few.groupBy(F.col("service_id").alias("_service"), F.col("cause").alias("_cause")).agg(of("summary_en").alias("examples_en"), of("summary_it").alias("examples_it"))
+    grouped = grouped.join(few, F.col("service_id").eqNullSafe(F.col("_service")) & F.col("cause").eqNullSafe(F.col("_cause")), "left")
+    none = F.array().cast("array<string>")
+    grouped = grouped.withColumns({c: F.coalesce(c, none) for c in ("examples_en", "examples_it")}).drop("_service", "_cause")
     out = grouped.join(cause_table, "cause", "left")
     if strict:
         known = F.col("cause_label").isNotNull()

@@ -39,12 +39,18 @@ def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
 
 
 def read_csv_sniffed(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file of unknown encoding and separator. A byte-order mark isn't part of the first name."""
+    """A CSV file of unknown encoding and separator. A byte-order mark isn't part of the first name.
+
+    Spark 4 refuses Windows-1252: such a file is read as ISO-8859-1, and the characters that differ are replaced.
+    """
     encoding, sep = sniff(spark, path)
-    if encoding == "windows-1252":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark 4 refuses this charset otherwise
-    df = read_csv(spark, path, sep, encoding=encoding)
-    return df.toDF(*(c.removeprefix("﻿") for c in df.columns))
+    if encoding == "UTF-8":
+        df = read_csv(spark, path, sep)
+        return df.toDF(*(c.removeprefix("﻿") for c in df.columns))
+    df = read_csv(spark, path, sep, encoding="ISO-8859-1")
+    differ = {chr(i): bytes([i]).decode("cp1252", "replace") for i in range(0x80, 0xA0)}
+    names = [c.translate(str.maketrans(differ)) for c in df.columns]
+    return df.select(*(F.translate(F.col(f"`{c}`"), "".join(differ), "".join(differ.values())).alias(n) for c, n in zip(df.columns, names, strict=True)))
 
 
 def read_csv_folder(spark: SparkSession, folder: str, register: bool = True) -> dict[str, DataFrame]:
@@ -90,9 +96,16 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
-    """Number the rows of a small table from 1, in file order or by the columns given."""
-    keys = [F.col(c) for c in order] or [F.monotonically_increasing_id()]
-    return df.withColumn("_at", F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)))).withColumn("ordinal", F.row_number().over(Window.orderBy("_at"))).drop("_at")
+    """Number the rows from 1, in file order or by the columns given.
+
+    Without columns, rows are numbered within each partition and shifted by the counts of those before it: only a count a partition goes
+    to one task. By columns, a small table is ordered in one task.
+    """
+    if order:
+        return df.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)))
+    at = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    before = at.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return at.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("ordinal", (F.col("_before") + F.col("_at") - F.shiftleft("_part", 33) + 1).cast("int")).drop("_at", "_part", "_before")
 
 
 Opener = Callable[[str], tuple[bytes, str]]

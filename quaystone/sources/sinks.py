@@ -24,10 +24,11 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def update_rows(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """``df`` with the columns of ``changes`` replaced in rows of equal key (a null in ``changes`` keeps the old value). Write it to a new path."""
+    """``df`` with the columns of ``changes`` replaced in rows of equal key, nulls included. Write it to a new path."""
     new = changes.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_new_{c}") for c in changes.columns if c != key))
     joined = df.join(new, df[key] == F.col("_key"), "left")
-    return joined.select(*(F.coalesce(F.col(f"_new_{c}"), df[c]).alias(c) if f"_new_{c}" in new.columns else df[c] for c in df.columns))
+    there = F.col("_key").isNotNull()
+    return joined.select(*(F.when(there, F.col(f"_new_{c}")).otherwise(df[c]).alias(c) if f"_new_{c}" in new.columns else df[c] for c in df.columns))
 
 
 def page_snapshot(source_id: Column, url: Column, retrieved_at: Column, html: Column, text: Column) -> Column:

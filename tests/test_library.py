@@ -75,6 +75,58 @@ def test_page_text():
     assert html.page_text(page) == "## Titolo\n\na b\nc\n\n- uno\n- due\n\n&\n"
 
 
+def test_page_text_details():
+    assert html.page_text("a</nav>b<svg><svg>x</svg>y</svg>c<H3>d</H3>e") == "abc\n### d\ne\n"
+    assert html.page_text("") == "\n" and html.page_text("&amp;lt;b&amp;gt; &eacute;") == "<b> é\n"
+    assert html.visible_lines("<nav><li>x</li></nav><h5>t</h5>") == ["", "- ", "", "t", ""]
+
+
+def test_ground_quotes_of_any_length(spark, monkeypatch):
+    texts = ["here are two words only", "Here ARE  two", "a party of five and more words here", None, "", "x “y” z w v"]
+    quotes = ["two words", "art", "are two words only", "five and more words here", "no such words in any text", "", None, '"y"', "X 'y", "of five and"]
+    t = spark.createDataFrame(list(enumerate(texts)), "text_id long, text string")
+    q = spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string")
+    plain = lambda x: x.replace("“", '"').replace("”", '"').lower().strip()
+    want = {(i, j) for i, a in enumerate(quotes) for j, b in enumerate(texts) if a is not None and b is not None and plain(a) in " ".join(plain(b).split())}
+    for row_quotes, block in ((20_000, 500), (0, 2)):
+        monkeypatch.setattr(quality, "ROW_QUOTES", row_quotes)
+        monkeypatch.setattr(quality, "SHORT_BLOCK", block)
+        got = [tuple(r) for r in quality.ground_quotes(q, t).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert quality.ground_quotes(q.limit(0), t).count() == 0
+
+
+def test_duplicates_by_aggregation(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("a", 2), (None, 5), (None, 4), ("b", 1)], "k string, n long")
+    assert sorted((str(r["k"]), r["n"]) for r in quality.duplicates(df, ["k"], "n").collect()) == [("None", 5), ("a", 2), ("a", 3)]
+
+
+def test_summaries_labels_and_blocks(spark):
+    df = spark.createDataFrame([("b", None, 7), ("a", "", 2), ("b", "t", 9)], "k string, t string, n long")
+    assert [r[0] for r in summaries.distinct_sorted(df, "k").collect()] == ["a", "b"]
+    assert [r["f"] for r in df.select(X.first_text(F.col("t"), F.col("k")).alias("f")).collect()] == ["b", "a", "t"]
+    assert [r["o"] for r in df.select(reports.recode_outcome(F.col("k"), {"a": "ok"}).alias("o")).collect()] == [None, "ok", None]
+    label = reports.routing_label(F.when(F.col("k") == "a", 1).otherwise(0), F.col("n") > 1)
+    assert [r["l"] for r in df.select(label.alias("l")).collect()] == ["routed", "routed (simulated)", "routed"]
+    blocks = spark.createDataFrame([([("text", "a"), ("tool_use", "x"), ("text", "b")],)], "b array<struct<type string, text string>>")
+    assert blocks.select(X.text_of_blocks(F.col("b"))).first()[0] == "ab"
+    scores = spark.createDataFrame([("s", 4), ("s", None), ("s", 5), ("t", None)], "service_id string, score int")
+    assert [tuple(r) for r in metrics.satisfaction(scores, "score", "service_id").collect()] == [("s", 2, 4.5)]
+
+
+def test_status_counts(base_tables):
+    assert {(r["status"], r["n"]) for r in quality.status_counts(base_tables[0]).collect()} == {("verified", 6), ("draft", 2)}
+
+
+def test_pages_and_ordinals(spark):
+    assert readers.fetch_page("u", lambda u: ("é\xff".encode("latin-1"), "latin-1")) == "éÿ" and readers.fetch_page("u", lambda u: (b"a\xff", "utf-8")) == "a\ufffd"
+    row = spark.range(1).select(sinks.page_snapshot(F.lit("s1"), F.lit("http://x"), F.lit("2026-01-01"), F.lit("<p>a</p>"), F.lit("a\n"))).first()[0]
+    assert row.startswith("<!-- source: s1\n") and "retrieved: 2026-01-01\n" in row and row.endswith(" -->\n\na\n") and len(row.split("sha256: ")[1].split(" ")[0]) == 16
+    numbered = readers.with_ordinal(spark.range(0, 100, 1, 7)).collect()
+    assert [r["ordinal"] for r in sorted(numbered, key=lambda r: r["id"])] == list(range(1, 101))
+    assert [r["ordinal"] for r in readers.with_ordinal(spark.createDataFrame([(3,), (1,)], "x int"), "x").orderBy("x").collect()] == [1, 2]
+
+
 def test_csv_sniffed(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿titolo;Numerosità;x\n\"a \"\"b\"\" c\";1;\n".encode())
     rows = readers.read_csv_sniffed(spark, str(tmp_path / "a.csv"))
@@ -115,6 +167,8 @@ def test_sinks(spark, tmp_path):
     assert json.loads(sinks.to_json_document(df, "id"))[0] == {"id": "a", "snapshot": None, "n": "x"}
     changed = sinks.update_rows(df, spark.createDataFrame([("a", "new")], "id string, snapshot string"), "id").orderBy("id").collect()
     assert [tuple(r) for r in changed] == [("a", "new", "x"), ("b", "1", "y")]
+    emptied = sinks.update_rows(df, spark.createDataFrame([("b", None)], "id string, snapshot string"), "id").orderBy("id").collect()
+    assert [tuple(r) for r in emptied] == [("a", None, "x"), ("b", None, "y")]
     sinks.write_csv(df, str(tmp_path / "o"))
     assert readers.read_csv(spark, str(tmp_path / "o")).count() == 2
     sinks.append_jsonl(df, str(tmp_path / "l"))
