@@ -2,17 +2,21 @@
 
 A rolling hash over a window of bytes cuts a text where the hash's low bits are zero, so that equal passages
 give equal chunks wherever they stand. A worker encodes each chunk once (bounded memory) and reuses its ids for all
-texts. A chunk's ids are split at *anchors*: places before a space that follows a visible ASCII character. There
-the library's pre-tokens always end, whatever stands around, so the ids between a chunk's first and last anchor
-hold in any text. At a join, the window from the left chunk's last anchor to the right chunk's first is
-encoded again; a chunk without anchors is taken into the window whole and the window grows until both its ends
-agree with the chunks' own ids at an anchor (or the text ends).
+texts that it meets, in any task. A chunk's ids are split at *anchors*: places where a letter, number or other character is
+followed by one of another kind (but for a letter after an apostrophe). There the library's pre-tokens always end,
+whatever stands around, so the ids between a chunk's first and last anchor hold in any text. At a join, the window from the left
+chunk's last anchor but one to the right chunk's second is encoded again. Where it doesn't begin and end with the chunks' own
+ids of those outer segments, it grows by an anchor on the side that differs, until both sides agree exactly; a chunk
+without two anchors is taken into the window whole, and if the anchors run out the text is encoded as a whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,56 +58,120 @@ def cut_places(raw: np.ndarray, offsets: np.ndarray, mean: int = MEAN_BYTES, lea
     return out
 
 
-def _anchors(chunk: bytes) -> tuple[int, int] | None:
-    """First and last place before a space that follows a visible ASCII character."""
-    b = np.frombuffer(chunk, np.uint8)
-    at = np.flatnonzero((b[1:] == 0x20) & (b[:-1] > 0x20) & (b[:-1] < 0x7F)) + 1
-    return (int(at[0]), int(at[-1])) if len(at) else None
+#: Kinds of characters. Those that aren't in Unicode 3.2, or beyond its first plane, are of no known kind: libraries may differ on them.
+UNSURE, LETTER, NUMBER, OTHER, SPACE = range(5)
+
+
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    kinds, old = np.zeros(0x110000, np.uint8), unicodedata.ucd_3_2_0
+    for i in range(0x10000):
+        now, before = unicodedata.category(chr(i)), old.category(chr(i))
+        if now[0] == before[0] and now[0] != "C":
+            kinds[i] = LETTER if now[0] == "L" else NUMBER if now[0] == "N" else SPACE if now[0] == "Z" else OTHER
+    kinds[[*range(0x09, 0x0E), 0x85]] = SPACE
+    return kinds
+
+
+def anchors(chunk: str, unsure: str = "") -> np.ndarray:
+    """Byte places in ``chunk`` where pre-tokens end in any surroundings. ``unsure``: characters next to which there is none."""
+    points = np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = _kinds()[points]
+    if unsure:
+        kinds = np.where(np.isin(points, np.frombuffer(unsure.encode("utf-32-le"), np.uint32)), np.uint8(UNSURE), kinds)
+    left, right = kinds[:-1], kinds[1:]
+    found = (left != right) & (left != UNSURE) & (right != UNSURE) & (left != SPACE) & ~((points[:-1] == ord("'")) & (right == LETTER))
+    ends = np.cumsum(1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000))
+    return ends[:-1][found]
+
+
+@dataclass
+class Chunk:
+    ids: np.ndarray  # between the first and the last anchor
+    anchors: np.ndarray  # byte places in the chunk
+    marks: np.ndarray  # how many of the ids stand before each anchor
+
+    def between(self, a: int, b: int) -> np.ndarray:
+        return self.ids[self.marks[a] : self.marks[b]]
 
 
 class ChunkEncoder:
+    """Encodes texts by their chunks. ``encoded_bytes`` counts what an engine was given, ``reused_bytes`` what kept ids stand for."""
+
     def __init__(self, engine: bpe.ByteBpe):
-        self.engine, self.kept, self.joins, self.size = engine, {}, {}, 0
+        self.engine, self.kept, self.joins, self.size, self.joins_size = engine, {}, {}, 0, 0
         self.encoded_bytes = self.reused_bytes = 0
+        self.lengths = np.zeros(1 + max([*engine.token_bytes, *engine.special.values()]), np.int64)
+        for i, b in [*engine.token_bytes.items(), *((i, t.encode()) for t, i in engine.special.items())]:
+            self.lengths[i] = len(b)
+        # a change of kind within a special token's string is no anchor: it has one of these at its side
+        self.unsure = "".join(sorted({c for t in engine.special for c in t if _kinds()[ord(c)] != LETTER}))
 
-    def chunk(self, raw: bytes) -> tuple[int, int, np.ndarray] | None:
-        """First anchor, last anchor and the ids between them; None without anchors."""
+    def _ids(self, raw: bytes) -> np.ndarray:
+        self.encoded_bytes += len(raw)
+        return self.engine.encode(raw.decode())
+
+    def chunk(self, raw: bytes) -> Chunk | None:
+        """None without two anchors."""
         if raw in self.kept:
-            self.reused_bytes += len(raw)
-            return self.kept[raw]
+            value = self.kept[raw]
+            self.reused_bytes += int(value.anchors[-1] - value.anchors[0]) if value else 0
+            return value
         if self.size > KEPT_BYTES:
             self.kept.clear()
             self.size = 0
-        places = _anchors(raw)
-        value = places and (*places, self.engine.encode(raw[places[0] : places[1]].decode()))
-        self.encoded_bytes += len(raw)
+        at, value = anchors(raw.decode(), self.unsure), None
+        if len(at) > 1:
+            ids = self._ids(raw[at[0] : at[-1]])
+            value = Chunk(ids, at, np.searchsorted(np.append(0, np.cumsum(self.lengths[ids])), at - at[0]))
         self.kept[raw] = value
-        self.size += 200 + len(raw) + (value[2].nbytes if value else 0)
+        self.size += 200 + len(raw) + (value.ids.nbytes + 16 * len(at) if value else 0)
         return value
 
     def window(self, raw: bytes) -> np.ndarray:
-        if len(raw) > 64:
-            return self.engine.encode(raw.decode())
+        if len(raw) > 512:
+            return self._ids(raw)
         ids = self.joins.get(raw)
         if ids is None:
-            if len(self.joins) > 100_000:
+            if self.joins_size > KEPT_BYTES // 4:
                 self.joins.clear()
-            ids = self.joins[raw] = self.engine.encode(raw.decode())
+                self.joins_size = 0
+            ids = self.joins[raw] = self._ids(raw)
+            self.joins_size += 200 + len(raw) + ids.nbytes
         return ids
 
     def encode(self, raw: bytes, ends: np.ndarray) -> np.ndarray:
-        parts, begin, at = [], 0, 0  # begin: where the window that is open began
-        for end in ends.tolist():
-            if (value := self.chunk(raw[at:end])) is not None:
-                first, last, ids = value
-                if begin < at + first:
-                    parts.append(self.window(raw[begin : at + first]))
-                parts.append(ids)
-                begin = at + last
-            at = end
-        if begin < at:
-            parts.append(self.window(raw[begin:at]))
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        """Ids of a text from its chunks, whose ends are given."""
+        chunks = [(at, c) for at, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) if (c := self.chunk(raw[at:end]))]
+        parts, left, taken = [], None, 0  # taken: the anchor of the left chunk up to which its ids are in parts
+        for right in [*chunks, None]:
+            found = self._join(raw, left, taken, right)
+            if found is None:
+                return self._ids(raw)
+            own, middle, resumed = found
+            parts += [own, middle]
+            left, taken = right, resumed
+        return np.concatenate(parts)
+
+    def _join(self, raw: bytes, left, taken: int, right) -> tuple[np.ndarray, np.ndarray, int] | None:
+        """(left's ids from ``taken`` on, the repaired ids, the anchor from which right's ids hold); None if no window agrees."""
+        i, j = len(left[1].anchors) - 1 if left else 0, 0
+        none = np.zeros(0, np.uint32)
+        while True:
+            before = left[1].between(i - 1, i) if left and i > taken else none
+            after = right[1].between(j, j + 1) if right else none
+            begin = left[0] + int(left[1].anchors[i - (i > taken)]) if left else 0
+            end = right[0] + int(right[1].anchors[j + 1]) if right else len(raw)
+            ids = self.window(raw[begin:end]) if begin < end else none
+            starts, stops = np.array_equal(ids[: len(before)], before), np.array_equal(ids[len(ids) - len(after) :], after)
+            if starts and stops and len(ids) >= len(before) + len(after):
+                return left[1].between(taken, i) if left else none, ids[len(before) : len(ids) - len(after)], j
+            if not starts or stops:
+                i -= 1
+            if not stops:
+                j += 1
+            if i < taken or (right and j + 1 >= len(right[1].anchors)):
+                return None
 
 
 class Decoder:
@@ -181,4 +249,4 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(base.documents(spark, sf_dir)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-__all__ = ["ChunkEncoder", "Decoder", "cut_places", "digests", "encode_decode", "op8_bpe"]
+__all__ = ["ChunkEncoder", "Decoder", "anchors", "cut_places", "digests", "encode_decode", "op8_bpe"]

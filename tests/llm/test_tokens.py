@@ -60,13 +60,50 @@ def test_fast_engine_is_used_and_agrees(engine):
         assert engine.encode(text).tolist() == library_ids(engine, text)
 
 
-def test_copies_are_encoded_once(engine):
-    text = " ".join(f"word{i * 7919 % 1000}" for i in range(2000)).encode()
+HAN = "".join(chr(0x4E00 + i * 7919 % 5000) + ("。" if i % 17 == 16 else "，" if i % 17 == 8 else "") for i in range(8000))
+CYRILLIC = (lambda rng: " ".join("".join(chr(rng.randrange(0x430, 0x450)) for _ in range(rng.randrange(2, 9))) for _ in range(3000)))(random.Random(3))
+
+
+@pytest.mark.parametrize("text", [" ".join(f"word{i * 7919 % 1000}" for i in range(2000)), HAN, CYRILLIC], ids=["latin", "han", "cyrillic"])
+def test_copies_are_encoded_once(engine, text):
+    """A second copy, in other surroundings, is encoded at its joins and in its first chunk alone."""
+    encoder, encoded = chunk_reuse.ChunkEncoder(engine), []
+    for around in ("", "Some other beginning. "):
+        whole = (around + text).encode()
+        before = encoder.encoded_bytes
+        ids = encoder.encode(whole, chunk_reuse.cut_places(np.frombuffer(whole, np.uint8), np.array([0, len(whole)]))[0])
+        assert ids.tolist() == library_ids(engine, around + text)
+        encoded.append(encoder.encoded_bytes - before)
+    assert encoded[1] < 0.2 * encoded[0] and encoder.reused_bytes > 0.8 * len(text.encode())
+
+
+def test_text_without_anchors_is_not_counted_as_reused(engine):
+    encoder, text = chunk_reuse.ChunkEncoder(engine), "".join(chr(0x4E00 + i * 7919 % 5000) for i in range(3000)).encode()
+    for _ in range(2):
+        encoder.encode(text, chunk_reuse.cut_places(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0])
+    assert encoder.reused_bytes == 0 and encoder.encoded_bytes >= 2 * len(text)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([*FRAGMENTS, "日", "。", "ка", "١", "́", "אב", "|", "<|endoftext|>a", "'t", "!'s"]), max_size=12).map("".join))
+def test_pre_tokens_end_at_anchors(text):
+    engine = bpe.load(bpe.default_path())
     encoder = chunk_reuse.ChunkEncoder(engine)
-    for shift in (b"", b"Some other beginning. "):
-        raw = np.frombuffer(shift + text, np.uint8)
-        encoder.encode(shift + text, chunk_reuse.cut_places(raw, np.array([0, len(raw)]))[0])
-    assert encoder.reused_bytes > 0.8 * len(text)
+    raw = text.encode()
+    for at in chunk_reuse.anchors(text, encoder.unsure):
+        assert [*engine.encode(raw[:at].decode()), *engine.encode(raw[at:].decode())] == library_ids(engine, text)
+
+
+def test_window_grows_until_both_sides_agree(engine):
+    """Kept ids that don't hold at a join aren't used there."""
+    encoder, text = chunk_reuse.ChunkEncoder(engine), "one two three four five six seven eight nine ten "
+    raw = (text * 2).encode()
+    encoder.encode(raw, np.array([len(text), 2 * len(text)]))
+    kept = encoder.kept[text.encode()]
+    kept.ids = kept.ids.copy()
+    kept.ids[kept.marks[1] - 1] += 1  # the first segment, which is at the right of the join
+    joined = encoder._join(raw, (0, kept), 0, (len(text), kept))
+    assert joined[2] > 0 and joined[1].tolist() == library_ids(engine, raw[kept.anchors[-1] : len(text) + kept.anchors[joined[2]]].decode())
 
 
 def test_token_counts(docs, none, engine, texts):
