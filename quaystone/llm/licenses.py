@@ -4,10 +4,10 @@ A paragraph is a line with a word, or neighbouring lines that hold a notice toge
 classified; those that are given a family or hold a cue word are reported. Runs of lines are classified where they hold most words
 of a notice that none of their lines is confirmed for. Its features are its distinct words and word pairs (64-bit hashes, A-Z
 lower-cased, outer punctuation dropped). A multinomial logistic regression is trained, on the driver and with a fixed seed, on
-variations of the notices below and on other paragraphs: a bounded sample of the documents' own lines and notices with their
-telling words replaced. It has a class ``unknown``; its probabilities are calibrated by one temperature fitted on
-held-out variations. A prediction counts if it isn't ``unknown``, its probability reaches ``least`` and the
-paragraph holds most words of one of the family's notices.
+variations of the notices and framed names below and on other paragraphs: sentences that sound like notices, a bounded sample of the
+documents' own lines, and phrases with most of their words replaced. It has a class ``unknown``; its probabilities are calibrated by one
+temperature fitted on phrases that are held out whole. A prediction counts if it isn't ``unknown``, its probability reaches
+LEAST_PROBABILITY and the paragraph holds a name of the licence or most words of one of the family's notices.
 """
 
 from __future__ import annotations
@@ -26,26 +26,92 @@ from quaystone.llm import base
 from quaystone.llm.words import mix, word_hashes
 
 UNKNOWN = "unknown"
-#: Notices of each family: what its paragraphs say.
+#: Fixed values. What notices of each family say, clause by clause.
 NOTICES: dict[str, list[str]] = {
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "This project is released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0"],
-    "mit": ["Released under the MIT License.", "This software is licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "SPDX-License-Identifier: MIT"],
-    "bsd": ["Distributed under the BSD 3-Clause License.", "Licensed under the BSD license.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.", "Licensed under the GNU GPL, version 2 or later.", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software under the terms of the GNU Lesser General Public License.", "SPDX-License-Identifier: LGPL-2.1-only"],
-    "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "This program is free software under the terms of the GNU Affero General Public License.", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "cc0": ["To the extent possible under law, the author has waived all copyright and related rights to this work.", "Released into the public domain under CC0 1.0.", "This work is dedicated to the public domain."],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "cc-by-nd": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
-    "proprietary": ["All rights reserved.", "Copyright. All rights reserved.", "No part of this publication may be reproduced without prior written permission of the publisher.", "Confidential and proprietary. Unauthorized copying is strictly prohibited."],
+    "apache-2.0": [
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    "mit": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy",
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED",
+        "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    ],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistribution and use in source and binary forms, with or without",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "gpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by",
+        "You should have received a copy of the GNU General Public License along with this program.",
+    ],
+    "lgpl": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Lesser General Public License along with this library",
+    ],
+    "agpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+    ],
+    "mpl-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ],
+    "cc0": [
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "This work has been dedicated to the public domain by waiving all rights worldwide under copyright law.",
+    ],
+    "cc-by": ["You are free to share and adapt the material for any purpose, even commercially, under the Attribution terms: you must give appropriate credit."],
+    "cc-by-sa": ["Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply.", "If you remix, transform, or build upon the material, you must distribute your contributions under the same license as the original."],
+    "cc-by-nc": ["You may not use the material for commercial purposes. Attribution-NonCommercial."],
+    "cc-by-nd": ["If you remix, transform, or build upon the material, you may not distribute the modified material."],
+    "proprietary": ["No part of this publication may be reproduced without the prior written permission of the publisher.", "Confidential and proprietary. Unauthorized copying of this file, via any medium, is strictly prohibited."],
 }
-#: Lines of the documents used as examples of ``unknown``, at most: those of the documents with the least hashes.
+#: Fixed values. How licences are named, and what is said around a name.
+NAMES: dict[str, list[str]] = {
+    "apache-2.0": ["the Apache License, Version 2.0", "the Apache 2.0 license", "the Apache License 2.0", "Apache-2.0", "the Apache Software License", "the Apache License"],
+    "mit": ["the MIT License", "MIT", "an MIT-style license", "the Expat License", "the MIT/X11 license"],
+    "bsd": ["the BSD License", "a BSD-style license", "the 3-clause BSD license", "the BSD 2-Clause License", "BSD-3-Clause", "the New BSD License", "BSD"],
+    "gpl": ["the GNU General Public License", "the GNU General Public License, version 3", "the GNU GPL", "GPLv3", "GPLv2", "the GPL", "GPL-3.0-or-later", "GPL-2.0-only"],
+    "lgpl": ["the GNU Lesser General Public License", "the GNU Lesser General Public License, version 2.1", "the GNU LGPL", "LGPLv3", "LGPL-2.1-only", "the LGPL"],
+    "agpl": ["the GNU Affero General Public License", "the GNU Affero General Public License, version 3", "the GNU AGPL", "AGPLv3", "AGPL-3.0-only", "the AGPL"],
+    "mpl-2.0": ["the Mozilla Public License, version 2.0", "the Mozilla Public License", "MPL-2.0", "the MPL 2.0"],
+    "cc0": ["CC0 1.0", "CC0", "the CC0 public domain dedication", "Creative Commons Zero", "CC0-1.0"],
+    "cc-by": ["CC BY 4.0", "CC BY 3.0", "CC-BY-4.0", "a Creative Commons Attribution 4.0 International License", "the Creative Commons Attribution License", "a Creative Commons Attribution 3.0 license"],
+    "cc-by-sa": ["CC BY-SA 4.0", "CC BY-SA 3.0", "CC-BY-SA-4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License", "the Creative Commons Attribution-ShareAlike License"],
+    "cc-by-nc": ["CC BY-NC 4.0", "CC BY-NC 3.0", "CC-BY-NC-4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License", "the Creative Commons Attribution-NonCommercial License"],
+    "cc-by-nd": ["CC BY-ND 4.0", "CC BY-ND 3.0", "CC-BY-ND-4.0", "a Creative Commons Attribution-NoDerivatives 4.0 International License", "the Creative Commons Attribution-NoDerivatives License"],
+    "proprietary": ["all rights reserved", "proprietary and confidential"],
+}
+FRAMES = ["Licensed under {}.", "Released under {}.", "This work is licensed under {}.", "This code is distributed under the terms of {}.", "Content on this site is available under {}.", "Use of this source code is governed by {}.", "The project uses {}.", "License: {}", "SPDX-License-Identifier: {}", "Copyright 2004 Some Author. {} licensed.", "{}", "see {} for details", "{} licensed", "offered to you under {}"]
+#: Frames of names that aren't a licence one is under.
+CLAIMS = ["{}.", "Copyright (c) 2021 The Authors. {}", "(c) 1998 Example Press, {}", "This document is {}"]
+#: Fixed values. Paragraphs that speak like notices and are none.
+OTHERS = [
+    "She had her driving license renewed at the town hall.", "A licensed plumber has to check the pipes.", "The license plate was found by the river.", "Copyright law protects authors and their heirs.", "All seats are reserved for members.",
+    "The Apache helicopter landed at noon.", "He studied physics at MIT and moved to Boston.", "The general public may enter the library from ten.", "Permission to build was granted by the council.", "Redistribution of income was debated in parliament.",
+    "The software is provided by a vendor under a contract.", "You can redistribute the chairs and modify the room.", "Creative people in the commons shared their bread.", "The version of the play was published by the foundation.", "His rights as a citizen were reserved by the court.",
+    "The fishing licence costs twelve euros a year.", "Licences for street stalls are issued on Mondays.", "The following conditions apply to all tickets.", "A copy of this letter was sent free of charge to any person who asked.", "The warranty covers any kind of defect for two years.",
+    "Ask for permission before you copy the notice.", "The public domain of the castle is open to visitors.", "The bank licensed under its old name has closed.", "Please read the terms and conditions of travel.", "The Mozilla festival takes place in autumn.", "The source of the river is binary in form on this map.",
+    "Published by the author in 2004, version 2.", "The gnu is a large antelope of the general plains.", "The attribution of the painting is disputed.", "Commercial purposes are not the aim of the museum.", "Copyright 2004 Some Author.", "This license has expired.", "See the license for details.",
+]
+#: Lines of the documents used as examples of ``unknown``, at most, and documents they are from: those with the least hashes.
 OTHER_DOCUMENTS, OTHER_LINES = 200, 2_000
 LEAST_PROBABILITY, LEAST_COVER = 0.6, 0.75
 _EDGE = ".,;:()[]{}\"'!?*#"
+#: What makes a name of one word a licence's, and what a reported paragraph speaks of.
+_FRAME_WORDS = frozenset("license licensed licence licenced licensing under terms spdx-license-identifier".split())
+_CUES = re.compile(r"licen[cs]|copyright|rights reserved|permission|redistribut|spdx|public domain|waived|reproduced|proprietary|mozilla", re.I)
 
 
 def _plain(text: str) -> str:
@@ -68,7 +134,8 @@ class LicenseModel:
     bias: np.ndarray
     temperature: float
     cues: re.Pattern
-    templates: dict[str, list[tuple[frozenset[str], frozenset[str]]]]  # words, and those in no other family's notices
+    templates: dict[str, list[tuple[frozenset[str], frozenset[str]]]]  # words of notices, and those in no other family's
+    names: dict[str, list[str]]  # of licences, spaced at both ends
     signature: np.ndarray  # sorted hashes of words of which every text that covers a notice has one
 
     def line_logits(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -98,8 +165,12 @@ class LicenseModel:
         return self.weights[at].sum(axis=0) / np.sqrt(max(1, len(found))) + self.bias
 
     def cover(self, line: str, family: str) -> float:
-        """The largest share of a notice's words that the line holds, among notices whose telling words (in no other family's) it has."""
-        words = set(_plain(line).lower().split())
+        """1 if a name of the licence stands in the line, one of a single word next to talk of a licence. Otherwise the largest share of a notice's words that the line holds, among notices whose telling words (in no other family's) it has or that have over three words."""
+        plain = _plain(line).lower()
+        words, spaced = set(plain.split()), f" {plain} "
+        framed = bool(words & _FRAME_WORDS) or any(w.startswith("spdx") for w in words)
+        if any(n in spaced and (framed or len(n.split()) > 1 or len(words) == 1) for n in self.names[family]):
+            return 1.0
         return max((len(words & t) / len(t) for t, telling in self.templates[family] if telling <= words or len(telling) > 3), default=0.0)
 
 
@@ -119,75 +190,90 @@ def _variations(rng: np.random.Generator, notice: str, fillers: list[str], n: in
     return out
 
 
-def train(others: list[str], seed: int = 11, steps: int = 300) -> LicenseModel:
-    """Fit to the notices and to ``others``: paragraphs without a licence."""
+def phrases() -> list[tuple[str, str]]:
+    """(family, text) of all notices and framed names."""
+    framed = [(f, (c if c[0] == "{" or "." not in n else c).format(n)) for f, names in NAMES.items() for n in names for c in (CLAIMS if f == "proprietary" else FRAMES)]
+    return [(f, n) for f, notices in NOTICES.items() for n in notices] + framed
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def train(others: list[str], seed: int = 11, steps: int = 200) -> LicenseModel:
+    """Fit to variations of the phrases, to OTHERS and to ``others``: paragraphs of documents. Of those, the ones that hold a licence's name or most of a notice aren't examples of ``unknown``.
+
+    A fifth of the phrases and of the other paragraphs is held out, with all its variations; the temperature is fitted to it.
+    """
     rng = np.random.default_rng(seed)
     families = sorted(NOTICES)
-    telling = {w for notices in NOTICES.values() for n in notices for w in _plain(n).lower().split()}
-    others = [x for x in others if x.strip() and not {"license", "licensed", "reserved", "copyright"} & set(_plain(x).lower().split())][:OTHER_LINES]
-    fillers = sorted({w for x in others for w in x.split()[:20]} | {"the", "of", "and", "project", "2021", "by"})[:4000]
-    texts, labels = [], []
-    for k, family in enumerate(families):
-        for notice in NOTICES[family]:
-            for v in _variations(rng, notice, fillers, 40):
-                texts.append(v)
-                labels.append(k)
-            for _ in range(12):  # the frame of a notice without what tells its family
-                words = [w if rng.random() < 0.35 else str(rng.choice(fillers)) for w in notice.split()]
-                if len(words) > 2:
-                    texts.append(" ".join(words))
-                    labels.append(len(families))
-    texts += others
-    labels += [len(families)] * len(others)
-    for _ in range(400):  # single telling words among others say nothing
-        texts.append(" ".join([*rng.choice(fillers, 8), *rng.choice(sorted(telling), 1)]))
-        labels.append(len(families))
-    found, y = [_features(t) for t in texts], np.array(labels)
-    keys = np.unique(np.concatenate([f for f, label in zip(found, y, strict=True) if label < len(families)]))
-    rows, columns = [], []
-    for i, f in enumerate(found):
-        at = np.minimum(np.searchsorted(keys, f), len(keys) - 1)
-        at = at[keys[at] == f]
-        rows.append(np.full(len(at), i))
-        columns.append(at)
-    rows, columns = np.concatenate(rows), np.concatenate(columns)
-    size = np.sqrt(np.array([max(1, len(f)) for f in found]))
-    held = rng.random(len(found)) < 0.2
-    use = ~held[rows]
-    r, c = rows[use], columns[use]
-    w, b, m = np.zeros((len(keys), len(families) + 1)), np.zeros(len(families) + 1), 0.0
-    onehot = np.eye(len(families) + 1)[y]
-
-    def logits(r: np.ndarray, c: np.ndarray) -> np.ndarray:
-        z = np.zeros((len(found), len(b)))
-        np.add.at(z, r, w[c])
-        return z / size[:, None] + b
-
-    def softmax(z: np.ndarray) -> np.ndarray:
-        e = np.exp(z - z.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
-
-    velocity = np.zeros_like(w)
-    for _ in range(steps):
-        g = np.where(held[:, None], 0, softmax(logits(r, c)) - onehot) / (~held).sum()
-        gw = np.zeros_like(w)
-        np.add.at(gw, c, g[r] / size[r, None])
-        velocity = 0.9 * velocity - 20 * (gw + 1e-6 * w)
-        w = w + velocity
-        m = 0.9 * m - 2 * g.sum(axis=0)
-        b = b + m
-    z, t_held = logits(rows, columns)[held], y[held]
-    loss = lambda t: -np.log(softmax(z / t)[np.arange(len(t_held)), t_held] + 1e-12).mean()
-    temperature = min(np.linspace(0.5, 4, 36), key=loss)
-    # a paragraph with a cue word is reported, whatever its class
-    cues = sorted({w for n in NOTICES.values() for x in n for w in re.findall(r"[a-z0-9]{4,}", x.lower()) if w in ("license", "licensed", "licence", "rights", "reserved", "copyright", "permission", "redistribute", "redistribution", "spdx", "domain", "waived", "reproduced", "proprietary", "mozilla")} | {"licen"})
     of = {f: [frozenset(_plain(n).lower().split()) for n in notices] for f, notices in NOTICES.items()}
     templates = {f: [(t, t - frozenset().union(*(x for g, xs in of.items() if g != f for x in xs))) for t in ts] for f, ts in of.items()}
+    bare = lambda n: re.sub("^(the|an?) ", "", _plain(n).lower())
+    names = {f: sorted({f" {bare(n)} " for n in ns}) for f, ns in NAMES.items()}
     # a cover of LEAST_COVER lacks at most this many words of a notice, so it has one of any set that is larger by one
     lacking = lambda t: next(k for k in range(len(t) + 1) if (len(t) - k - 1) / len(t) < LEAST_COVER)
     signature = {w for ts in templates.values() for t, telling in ts for w in sorted(t, key=lambda w: (w not in telling, -len(w), w))[: lacking(t) + 1]}
     hashes = np.array([word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0] for w in signature])
-    return LicenseModel([*families, UNKNOWN], keys, w, b, float(temperature), re.compile("|".join(cues), re.I), templates, np.sort(hashes))
+    model = LicenseModel([*families, UNKNOWN], np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros(0), 1.0, _CUES, templates, names, np.sort(hashes))
+    others = [x for x in others if x.strip() and not any(model.cover(x, f) >= LEAST_COVER for f in families)][:OTHER_LINES]
+    fillers = sorted({w for x in [*others, *OTHERS] for w in x.split()[:20] if len(w) < 30})[:4000]
+    telling = sorted({w for _, x in phrases() for w in _plain(x).lower().split()})
+    texts, labels, held = [], [], []
+
+    def add(some: list[str], label: int) -> None:
+        kept_out = rng.random() < 0.2
+        texts.extend(some)
+        labels.extend([label] * len(some))
+        held.extend([kept_out] * len(some))
+
+    for family, phrase in phrases():
+        add(_variations(rng, phrase, fillers, 16 if len(phrase.split()) > 8 else 4), families.index(family))
+        words = [w if rng.random() < 0.35 else str(rng.choice(fillers)) for w in phrase.split()]
+        if len(words) > 2 and not any(model.cover(" ".join(words), f) >= LEAST_COVER for f in families):
+            add([" ".join(words)], len(families))  # the frame of a notice without what tells its family
+    for x in OTHERS:
+        add(_variations(rng, x, fillers, 12), len(families))
+    for x in others:
+        add([x], len(families))
+    for _ in range(600):  # single telling words among others say nothing
+        add([" ".join(rng.permutation([*rng.choice(fillers, 8), *rng.choice(telling, 1)]))], len(families))
+    found, y, held = [_features(t) for t in texts], np.array(labels), np.array(held)
+    keys, times = np.unique(np.concatenate([f for f, label in zip(found, y, strict=True) if label < len(families)]), return_counts=True)
+    keys = keys[times > 1]
+    size = np.sqrt(np.array([max(1, len(f)) for f in found], np.float32))
+    known = [np.append(np.searchsorted(keys, f[np.isin(f, keys)]), len(keys)) for f in found]  # the last one is the bias
+    share = [np.append(np.full(len(k) - 1, 1 / n, np.float32), np.float32(1)) for k, n in zip(known, size, strict=True)]
+    w = np.zeros((len(keys) + 1, len(families) + 1), np.float32)
+
+    def logits(which: np.ndarray, w: np.ndarray) -> np.ndarray:
+        columns, shares = np.concatenate([known[i] for i in which]), np.concatenate([share[i] for i in which])
+        return np.add.reduceat(w[columns] * shares[:, None], np.append(0, np.cumsum([len(known[i]) for i in which])[:-1]))
+
+    learned = np.flatnonzero(~held)
+    columns, shares = np.concatenate([known[i] for i in learned]), np.concatenate([share[i] for i in learned])[:, None]
+    rows = np.repeat(np.arange(len(learned)), [len(known[i]) for i in learned])
+    first = np.append(0, np.flatnonzero(np.diff(rows)) + 1)
+    order = np.argsort(columns, kind="stable")
+    used, column_first = np.unique(columns[order], return_index=True)
+    # classes weigh the same on the whole, but for ``unknown``, which weighs as five
+    t, onehot = y[learned], np.eye(len(families) + 1, dtype=np.float32)[y[learned]]
+    weight = np.where(t == len(families), 5.0, 1.0) / np.bincount(t, minlength=len(families) + 1)[t]
+    weight = (weight / weight.sum()).astype(np.float32)[:, None]
+    by_row, by_share, velocity = rows[order], shares[order], np.zeros_like(w)
+    for _ in range(steps):
+        g = (_softmax(np.add.reduceat(w[columns] * shares, first)) - onehot) * weight
+        velocity *= 0.9
+        velocity[used] -= 20 * np.add.reduceat(g[by_row] * by_share, column_first)
+        velocity -= 2e-5 * w
+        w += velocity
+    w, b = w[:-1].astype(np.float64), w[-1].astype(np.float64)
+    t_held = y[held]
+    z = logits(np.flatnonzero(held), np.vstack([w, b])) if len(t_held) else None
+    loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(t_held)), t_held] + 1e-12).mean()
+    model.keys, model.weights, model.bias, model.temperature = keys, w, b, float(min(np.linspace(0.2, 4, 39), key=loss)) if len(t_held) else 1.0
+    return model
 
 
 _FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("paragraph", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("cover", T.DoubleType()), T.StructField("confirmed", T.BooleanType())])
@@ -205,24 +291,27 @@ def _without_edges(raw: np.ndarray) -> np.ndarray:
     return np.where(is_edge & (outside[before] | outside[after]), np.uint8(0x20), raw)
 
 
-def _wrapped(m: LicenseModel, lines: list[str], hit: np.ndarray, sure: set[int]) -> list[tuple]:
+def _wrapped(m: LicenseModel, lines: list[str], hit: np.ndarray, sure: dict[int, str]) -> list[tuple]:
     """(first line, last line, family, probability, cover) of runs of two lines or more that hold a notice together, tightest first.
 
-    Runs don't go over blank or confirmed lines; between their outer lines they have fewer words than the longest notice.
+    No line of a run holds the notice alone. Runs don't go over blank lines or lines confirmed for other families (``sure``); between
+    their outer lines they have fewer words than the longest notice.
     """
     longest = max(len(t) for ts in m.templates.values() for t, _ in ts)
     near = np.append(0, np.cumsum(hit))
-    words = [None if k in sure else _plain(x).split() for k, x in enumerate(lines)]
+    words = [_plain(x).split() for x in lines]
+    low = [frozenset(w.lower() for w in ws) for ws in words]
     candidates = []
     for i in range(len(lines)):
         inner, j = 0, i + 1
-        run = list(words[i] or ())
-        while words[i] and j < len(lines) and words[j] and inner < longest:
+        run, families = list(words[i]), {sure[i]} if i in sure else set()
+        while words[i] and j < len(lines) and words[j] and inner < longest and len(families := families | ({sure[j]} if j in sure else set())) < 2:
             run += words[j]
             if near[j + 1] > near[i]:
-                low = {w.lower() for w in run}
-                for family, templates in m.templates.items():
-                    cover, t = max(((len(low & t) / len(t), t) for t, telling in templates if telling <= low or len(telling) > 3), key=lambda x: x[0], default=(0.0, None))
+                together = frozenset().union(*low[i : j + 1])
+                for family in families or m.templates:
+                    held = [t for t, telling in m.templates[family] if (telling <= together or len(telling) > 3) and all(len(x & t) < LEAST_COVER * len(t) for x in low[i : j + 1])]
+                    cover, t = max(((len(together & t) / len(t), t) for t in held), key=lambda x: x[0], default=(0.0, None))
                     if cover >= LEAST_COVER:
                         inside = [k for k, w in enumerate(run) if w.lower() in t]
                         candidates.append((j - i, i, j, family, cover, " ".join(run[inside[0] : inside[-1] + 1])))
@@ -262,7 +351,7 @@ def _scan(model, per_document: bool):
             if not spoken and not named[mine].any() and not hit[mine].any():
                 yield []
                 continue
-            lines, out, sure = text.split("\n"), {}, set()
+            lines, out, sure = text.split("\n"), {}, {}
             starts = np.cumsum([0, *(len(x) + 1 for x in lines)])
             for k, line in enumerate(lines):
                 if not (named[mine][k] or spoken and m.cues.search(line)):
@@ -272,7 +361,7 @@ def _scan(model, per_document: bool):
                 cover = m.cover(line, family) if family != UNKNOWN else 0.0
                 out[k] = (k, int(starts[k]), len(line), family, p, cover, family != UNKNOWN and p >= LEAST_PROBABILITY and cover >= LEAST_COVER)
                 if out[k][-1]:
-                    sure.add(k)
+                    sure[k] = family
             for i, j, family, p, cover in _wrapped(m, lines, hit[mine], sure) if hit[mine].any() else ():
                 for k in range(i, j + 1):
                     out.pop(k, None)
@@ -306,7 +395,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Lice
     rows = base.id_and_text(docs, id_col, text_col).where("text is not null and doc_id is not null")
     some = base.least_hashes(rows.select("doc_id"), OTHER_DOCUMENTS, "doc_id").distinct().collect()  # ids alone
     chosen = rows.where(F.col("doc_id").isin([r["doc_id"] for r in some]))
-    lines = chosen.select(F.explode(F.slice(F.split("text", "\n"), 1, 20)).alias("line")).select(F.substring("line", 1, 2000).alias("line")).distinct()
+    lines = chosen.select(F.explode(F.split("text", "\n")).alias("line")).distinct()
     return train([r["line"] for r in base.least_hashes(lines, OTHER_LINES, "line").collect()])
 
 
