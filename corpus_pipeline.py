@@ -45,18 +45,18 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays.
+    """Of each group of linked documents one stays: that with the smallest doc_id (null last), of several with that id the one with the least hash.
 
-    Exact repeats of a row's id and text go; rows that share an id and differ in text stay if their group's smallest id is theirs. Rows
-    with a null id can't be compared by it: of those, only exact repeats go.
+    Rows are told apart by a 64-bit hash of id and text, so rows that share an id, or have none, are compared like others; of exact
+    repeats of both, one stays. Rows to keep are chosen by id and hash alone, and the documents are shuffled once, to be joined with them.
     """
-    groups = jaccard.jaccard_components(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
-    smallest = groups.where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id", "tie").orderBy("tie")
-    keyed = _whole(docs).withColumn("tie", F.xxhash64("text"))
-    named = keyed.join(smallest, "doc_id", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    unnamed = keyed.where("doc_id is null").dropDuplicates(["text"])
-    return named.select("row").union(unnamed.select("row")).select("row.*")
+    unnamed, empty = F.col("doc_id").isNull(), F.col("text").isNull()
+    keyed = _whole(docs).withColumn("tie", F.xxhash64(F.coalesce("doc_id", F.lit(0)), unnamed, F.coalesce("text", F.lit("")), empty))
+    groups = jaccard.jaccard_components(keyed, SHINGLE_WORDS, SIMILARITY_PERCENT, id_col="tie").select(F.col("doc_id").alias("tie"), "component_id").distinct()
+    named = keyed.select("tie", "doc_id").distinct()
+    kept = groups.join(named, "tie").groupBy("component_id").agg(F.min_by("tie", F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("tie")).select("tie")
+    first = Window.partitionBy("tie").orderBy("tie")
+    return keyed.join(kept, "tie", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
