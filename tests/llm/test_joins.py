@@ -210,6 +210,17 @@ def test_pipeline_stages(spark, docs, texts, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_rules", "jaccard_join", "packing"]
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Rows that share an id or have none are compared like others; extra columns stay."""
+    words = [f"w{i}" for i in range(60)]
+    near, other = " ".join([*words[:59], "x"]), " ".join(reversed(words))
+    rows = [(7, " ".join(words), "a"), (7, near, "b"), (9, near, "c"), (None, near, "d"), (3, other, "e"), (3, other, "e"), (None, "n " + other + " m", "f"), (None, "alone in the world", "g"), (5, None, "h"), (6, None, "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tie string").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((str(r["doc_id"]), r["tie"]) for r in kept if r["doc_id"] != 7) == [("3", "e"), ("5", "h"), ("6", "i"), ("None", "g")]
+    assert [r["tie"] in "ab" for r in kept if r["doc_id"] == 7] == [True]
+
+
 def test_pipeline_without_rows(spark, none, tmp_path):
     none.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
