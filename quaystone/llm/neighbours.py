@@ -190,7 +190,9 @@ def best_of(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
         for q_id, q, row in zip(query_ids[a : a + step], queries[a : a + step], rough, strict=True):
             least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
             at = np.flatnonzero((row >= least - 1e-9 * reach * np.linalg.norm(q)) & (row > -np.inf))
-            exact = (vectors[at] * q).sum(axis=1)
+            exact = np.zeros(len(at))
+            for c, x in zip(q, vectors[at].T, strict=True):  # component by component, as a plain loop adds them
+                exact += c * x
             order = np.lexsort((ids[at], -exact))[:k]
             out[0].append(np.full(len(order), q_id))
             out[1].append(ids[at][order])
@@ -291,3 +293,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, mass: float = MAS
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+#: The query's rows for DuckDB, exactly: those of tables of up to LEAST_VECTORS vectors, whose leaves are all opened.
+SQL = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
