@@ -24,6 +24,8 @@ from quaystone.llm.words import mix
 
 UNKNOWN = "und"
 LEAST_SHARE, LEAST_RATIO, PROBES = 2e-5, 0.2, 3
+#: Trigrams that a task gathers before it sends their counts on.
+GATHERED = 1_500_000
 
 
 def _letters_table() -> np.ndarray:
@@ -70,6 +72,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, at = np.unique(keys, return_inverse=True)
         return keys, np.bincount(at, n, len(keys)).astype(np.int64)
 
+    def rows() -> Iterator[pa.RecordBatch]:
+        for name, (keys, n) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+
     for batch in base.slices(batches):
         langs = np.array(batch.column(0).to_pylist(), object)
         keys, owner = trigrams(batch.column(1).fill_null(""))
@@ -79,8 +85,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if name in total:
                 new, n = flush(name, np.concatenate([total[name][0], new]), np.concatenate([total[name][1], n]))
             total[name] = new, n
-    for name, (keys, n) in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+        if sum(len(keys) for keys, _ in total.values()) > GATHERED:
+            yield from rows()
+            total.clear()
+    yield from rows()
 
 
 @dataclass

@@ -1,5 +1,6 @@
 """Token counts, chunked BPE, token files and packing against the tokenizers library."""
 
+import glob
 import hashlib
 import random
 import zlib
@@ -147,6 +148,24 @@ def test_token_files(spark, docs, none, engine, texts, tmp_path):
     assert token_files.read_token_files(spark, token_files.write_token_files(none, str(tmp_path / "e"))).count() == 0
 
 
+def test_token_file_layout(spark, docs, tmp_path, monkeypatch):
+    """Delta-encoded integers, dictionary ids, several pages and row groups, and their indexes."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setitem(token_files.LAYOUT, "parquet.block.size", str(64 << 10))
+    path = token_files.write_token_files(docs, str(tmp_path / "layout"))
+    groups = 0
+    for file in glob.glob(f"{path}/tokens/*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        groups = max(groups, meta.num_row_groups)
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema.split(".")[0]: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+            assert "RLE_DICTIONARY" in columns["ids"].encodings or "DELTA_BINARY_PACKED" in columns["ids"].encodings
+            assert any("DELTA_BINARY_PACKED" in columns[c].encodings for c in ("doc_id", "start_in_block"))
+    assert groups > 1
+
+
 def check_packed(rows, texts, engine, capacity=2048):
     by_doc, by_sequence = {}, {}
     for r in rows:
