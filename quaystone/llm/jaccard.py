@@ -9,10 +9,10 @@
 3. Token-group matrix in each cluster. Similar nodes form small groups with the union of their shingles. A query's
    overlap with a union bounds its overlap with every member; only groups that reach the least overlap a link
    needs, by size, are opened, and only if they hold a node not yet connected with the query. A cluster is cut into blocks
-   of bounded nodes and shingles. First each block is joined with itself and with the cluster's *pivots*: its few nodes with the fewest
-   rare shingles, which most copies of one text are near to. What is left then are nodes outside the cluster's largest component;
-   each of their blocks meets each block of the cluster, so that every pair not yet connected is looked at, and no task
-   holds more than two blocks.
+   of few nodes. First each block is joined with itself and with the cluster's *pivots*: its few nodes with the fewest rare
+   shingles, which most copies of one text are near to. Where that leaves a cluster of several blocks in several components, it is cut
+   into larger blocks, of bounded shingles, that meet pairwise; nodes that are connected already aren't compared. No task holds
+   more than two blocks.
 4. The links found connect exactly the nodes that all links connect; their components give the result.
 
 Equality of sets and shingles is that of their 64-bit hashes.
@@ -38,7 +38,7 @@ RATIO, SLACK = 1.35, 1.2
 COMMON_LEAST, COMMON_SHARE = 12, 1e-7
 #: Bits of the filter of common shingles, and of a task's note of the shingles it has seen (8 MB each, fixed).
 COMMON_BITS = 1 << 26
-#: Shingles and nodes of a block, pivots of a cluster, and nodes of a group of the token-group matrix.
+#: Shingles of a block and nodes of a small one, pivots of a cluster, and nodes of a group of the token-group matrix.
 BLOCK_SHINGLES, BLOCK_NODES, PIVOTS, GROUP_NODES = 1 << 19, 128, 4, 24
 #: Bits of the map of ids whose texts are needed again (4 MB).
 FILTER_BITS = 1 << 25
@@ -230,6 +230,12 @@ class Matrix:
             x = self.parent[x]
         return x
 
+    def roots(self) -> np.ndarray:
+        """Of all nodes."""
+        while not np.array_equal(up := self.parent[self.parent], self.parent):
+            self.parent = up
+        return self.parent
+
     def need(self, x, y):
         """The least overlap with which sets of these sizes link: (100 + p) * overlap >= p * (x + y)."""
         return -(-self.percent * (x + y) // (100 + self.percent))
@@ -243,7 +249,9 @@ class Matrix:
             groups += [mine[i : i + GROUP_NODES] for i in range(0, len(mine), GROUP_NODES)]
         for members in groups:
             least, most = self.sizes[members].min(), self.sizes[members].max()
-            queries = np.flatnonzero((self.sizes * 100 >= p * least) & (self.sizes * p <= 100 * most))
+            roots = self.roots()
+            together = (roots[members] == roots[members[0]]).all()
+            queries = np.flatnonzero((self.sizes * 100 >= p * least) & (self.sizes * p <= 100 * most) & ~(together & (roots == roots[members[0]])))
             if crossed:
                 queries = queries[self.side[queries] != self.side[members[0]]]
             if not len(queries):
@@ -276,7 +284,7 @@ _LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lo
 
 
 def _join_cells(k: int, percent: int):
-    """Rows (cluster, left, right, node, side, label, text), sorted by their first three columns, to links (a, b). With ``right`` at 0 or more, links between the two sides."""
+    """Rows (cluster, left, right, node, side, label, text), sorted by their first three columns, to links (a, b); where ``right`` is another block than ``left``, links between the two sides."""
 
     def solve(nodes: np.ndarray, sides: np.ndarray, labels: np.ndarray, texts: list[str], crossed: bool) -> list[tuple[int, int]]:
         sets, keep, taken = [], [], set()
@@ -301,7 +309,7 @@ def _join_cells(k: int, percent: int):
             if len(held) < 2:
                 return []
             nodes, sides, labels, texts = zip(*held, strict=True)
-            return solve(np.array(nodes, np.int64), np.array(sides, np.int64), np.array(labels, np.int64), list(texts), now[2] >= 0)
+            return solve(np.array(nodes, np.int64), np.array(sides, np.int64), np.array(labels, np.int64), list(texts), now[2] not in (-1, now[1]))
 
         for batch in batches:
             links = []
@@ -363,17 +371,12 @@ def _own_cells(texts: DataFrame) -> DataFrame:
 
 
 def _cross_cells(texts: DataFrame, components: DataFrame) -> DataFrame:
-    """Of clusters of several blocks: the blocks of nodes outside the largest component, each with all blocks."""
-    cut = texts.where("blocks > 1").join(components.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = cut.groupBy("cluster", "label").agg(F.count("*").alias("nodes"), F.sum("n").alias("n"))
-    left = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("nodes", "label")).alias("largest"), (F.sum("nodes") - F.max("nodes")).alias("rest"), F.sum("n").alias("n"))
-    left = left.where("rest > 0").select("cluster", "largest", F.greatest(F.ceil(F.col("rest") / BLOCK_NODES), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("lefts"))
-    met = cut.join(left, "cluster")
-    outside = met.where("label <> largest").withColumn("left", F.pmod(F.xxhash64("node", F.lit(1)), F.col("lefts")).cast("int"))
-    columns = ("cluster", "left", "right", "node", "side", "label", "text")
-    queries = outside.withColumn("right", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0)).select(*columns)
-    others = met.withColumn("left", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("right", F.col("block")).withColumn("side", F.lit(1)).select(*columns)
-    return queries.union(others)
+    """Of clusters of several small blocks that aren't one component yet: large blocks, each with each."""
+    cut = texts.where("blocks > 1").drop("block", "blocks").join(components.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = cut.groupBy("cluster", "label").agg(F.sum("n").alias("n")).groupBy("cluster").agg(F.count("*").alias("labels"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    met = cut.join(sizes.where("labels > 1"), "cluster").withColumn("side", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("side")).alias("left"), F.greatest(x, F.col("side")).alias("right")))
+    return met.withColumn("cell", F.explode(others)).select("cluster", "cell.left", "cell.right", "node", "side", "label", "text")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
