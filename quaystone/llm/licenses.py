@@ -118,12 +118,12 @@ def _plain(text: str) -> str:
     return " ".join(w.strip(_EDGE) for w in re.split("[\x20\x09-\x0d]+", text) if w.strip(_EDGE))
 
 
-def _features(line: str) -> np.ndarray:
-    """Hashes of a line's distinct words and word pairs."""
+def _features(line: str) -> tuple[np.ndarray, int]:
+    """Hashes of a line's distinct words and word pairs, and the number of all of them."""
     raw = np.frombuffer(_plain(line).encode(), np.uint8)
     words, _ = word_hashes(raw, np.array([0, len(raw)]))
     pairs = mix(mix(words[:-1] + np.uint64(0xD6E8FEB8)) ^ words[1:])
-    return np.unique(np.concatenate([words, pairs]))
+    return np.unique(np.concatenate([words, pairs])), len(words) + len(pairs)
 
 
 @dataclass
@@ -144,25 +144,29 @@ class LicenseModel:
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         found = np.concatenate([words, mix(mix(words[inner] + np.uint64(0xD6E8FEB8)) ^ words[inner + 1])])
         owner = np.concatenate([owner, owner[inner]])
-        order = np.lexsort((found, owner))
-        found, owner = found[order], owner[order]
-        new = np.ones(len(found), bool)
-        new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
-        found, owner = found[new], owner[new]
+        size = np.sqrt(np.maximum(1, np.bincount(owner, minlength=n)))
+        # few features are known: most others are told by 16 of their bits
+        table = np.zeros(1 << 16, bool)
+        table[(self.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
+        maybe = table[(found & np.uint64(0xFFFF)).astype(np.int64)]
+        found, owner = found[maybe], owner[maybe]
         at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
         held = self.keys[at] == found
-        sums = np.stack([np.bincount(owner[held], self.weights[at[held], k], n) for k in range(len(self.families))], axis=1)
-        return sums / np.sqrt(np.maximum(1, np.bincount(owner, minlength=n)))[:, None] + self.bias
+        once = np.unique(owner[held] * len(self.keys) + at[held])  # each feature of a line counts once
+        owner, at = once // len(self.keys), once % len(self.keys)
+        sums = np.stack([np.bincount(owner, self.weights[at, k], n) for k in range(len(self.families))], axis=1)
+        return sums / size[:, None] + self.bias
 
     def probabilities(self, lines: list[str]) -> np.ndarray:
         logits = np.stack([self._logits(_features(x)) for x in lines]) / self.temperature
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    def _logits(self, found: np.ndarray) -> np.ndarray:
+    def _logits(self, features: tuple[np.ndarray, int]) -> np.ndarray:
+        found, n = features
         at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
         at = at[self.keys[at] == found]
-        return self.weights[at].sum(axis=0) / np.sqrt(max(1, len(found))) + self.bias
+        return self.weights[at].sum(axis=0) / np.sqrt(max(1, n)) + self.bias
 
     def cover(self, line: str, family: str) -> float:
         """1 if a name of the licence stands in the line, one of a single word next to talk of a licence. Otherwise the largest share of a notice's words that the line holds, among notices whose telling words (in no other family's) it has or that have over three words."""
@@ -239,10 +243,10 @@ def train(others: list[str], seed: int = 11, steps: int = 200) -> LicenseModel:
         add([x], len(families))
     for _ in range(600):  # single telling words among others say nothing
         add([" ".join(rng.permutation([*rng.choice(fillers, 8), *rng.choice(telling, 1)]))], len(families))
-    found, y, held = [_features(t) for t in texts], np.array(labels), np.array(held)
+    (found, n), y, held = zip(*map(_features, texts), strict=True), np.array(labels), np.array(held)
     keys, times = np.unique(np.concatenate([f for f, label in zip(found, y, strict=True) if label < len(families)]), return_counts=True)
     keys = keys[times > 1]
-    size = np.sqrt(np.array([max(1, len(f)) for f in found], np.float32))
+    size = np.sqrt(np.maximum(1, np.array(n, np.float32)))
     known = [np.append(np.searchsorted(keys, f[np.isin(f, keys)]), len(keys)) for f in found]  # the last one is the bias
     share = [np.append(np.full(len(k) - 1, 1 / n, np.float32), np.float32(1)) for k, n in zip(known, size, strict=True)]
     w = np.zeros((len(keys) + 1, len(families) + 1), np.float32)
