@@ -29,6 +29,7 @@ def events(page: str) -> Iterator[tuple[int, str]]:
     parser.handle_endtag = lambda tag: found.append((CLOSE, tag))
     parser.handle_data = lambda text: found.append((TEXT, text))
     parser.feed(page)
+    parser.close()  # a tail that the parser still holds back, such as ``AT&T`` at the end
     return iter(found)
 
 

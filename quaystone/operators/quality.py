@@ -6,10 +6,14 @@ quote are looked at independently.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quaystone.functions import text as X
 from quaystone.functions.dates import is_stale
@@ -35,99 +39,153 @@ def duplicates(df: DataFrame, key: list[str], ordinal: str) -> DataFrame:
 
 
 def facts(services: DataFrame) -> DataFrame:
-    """Requirements and steps as one table: place, status (absent: todo), source_id, quote, verified_at."""
+    """Requirements and steps as one table, in one scan: place, status (absent: todo), source_id, quote, verified_at."""
     name = F.coalesce("file", F.col("id")) if "file" in services.columns else F.col("id")
-    parts = []
-    for column, label, key in (("requirements", "requirement", "id"), ("steps", "step", "order")):
-        rows = services.select(name.alias("file"), F.explode(column).alias("x"))
-        place = F.concat(F.col("file"), F.lit(f" {label} '"), F.coalesce(F.col(f"x.{key}").cast("string"), F.lit("null")), F.lit("'"))
-        parts.append(rows.select(place.alias("place"), F.coalesce("x.status", F.lit("todo")).alias("status"), F.col("x.source_id").alias("source_id"), F.col("x.quote").alias("quote"), F.col("x.verified_at").alias("verified_at")))
-    return parts[0].unionByName(parts[1])
+
+    def parts(column: str, label: str, key: str) -> Column:
+        place = lambda x: F.concat(name, F.lit(f" {label} '"), F.coalesce(x[key].cast("string"), F.lit("null")), F.lit("'"))
+        fact = lambda x: F.struct(place(x).alias("place"), F.coalesce(x["status"], F.lit("todo")).alias("status"), x["source_id"].alias("source_id"), x["quote"].alias("quote"), x["verified_at"].alias("verified_at"))
+        found = F.transform(column, fact)
+        return F.coalesce(found, F.slice(F.array(fact(F.lit(None).cast(services.schema[column].dataType.elementType))), 1, 0))
+
+    return services.select(F.explode(F.concat(parts("requirements", "requirement", "id"), parts("steps", "step", "order"))).alias("x")).select("x.*")
 
 
 def status_counts(services: DataFrame) -> DataFrame:
     return facts(services).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def _told(rule: str, severity: str, holds: Column, place: Column, message: Column) -> Column:
+    """A violation where the condition holds, else null: rules over the same rows stand side by side in one array."""
+    return F.when(holds, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), place.alias("place"), message.alias("message")))
+
+
+def _violations(rows: DataFrame, *rules: Column) -> DataFrame:
+    return rows.select(F.explode(F.filter(F.array(*rules), lambda v: v.isNotNull())).alias("v")).select("v.*")
+
+
 def source_checks(sources: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """V1-V3. sources need an ordinal; snapshots are (path, text), paths as the sources give them."""
-    place = F.concat(F.lit("sources: "), "id")
-    v1 = _violation(duplicates(sources, ["id"], "ordinal"), "V1", "ERROR", place, F.lit("duplicate id"))
-    last = sources.groupBy("id").agg(F.max_by(F.struct("snapshot", "status"), "ordinal").alias("s")).select("id", "s.*")
-    missing = last.where(~X.is_missing(F.col("snapshot"))).join(snapshots.select(F.col("path").alias("snapshot")), "snapshot", "left_anti")
-    v2 = _violation(missing, "V2", "ERROR", place, F.concat(F.lit("snapshot "), "snapshot", F.lit(" not found")))
-    v3 = _violation(last.where(X.is_missing(F.col("snapshot")) & ~F.col("status").eqNullSafe("todo")), "V3", "WARN", place, F.lit("no snapshot saved"))
-    return v1.union(v2).union(v3)
+    """V1-V3. sources need an ordinal; snapshots are (path, text), paths as the sources give them.
+
+    Each id's first and last ordinals are aggregated and joined back, so an id that very many rows share is spread; all three rules are
+    looked at in one pass over the joined rows. A null id is like any other.
+    """
+    ends = sources.groupBy(F.col("id").alias("_id")).agg(F.min("ordinal").alias("_first"), F.max("ordinal").alias("_last"))
+    there = snapshots.select(F.col("path").alias("_path")).distinct()
+    rows = sources.join(ends, F.col("id").eqNullSafe(F.col("_id"))).join(there, F.col("snapshot") == F.col("_path"), "left")
+    place, last, unnamed = F.concat(F.lit("sources: "), "id"), F.col("ordinal") == F.col("_last"), X.is_missing(F.col("snapshot"))
+    return _violations(
+        rows,
+        _told("V1", "ERROR", F.col("ordinal") > F.col("_first"), place, F.lit("duplicate id")),
+        _told("V2", "ERROR", last & ~unnamed & F.col("_path").isNull(), place, F.concat(F.lit("snapshot "), "snapshot", F.lit(" not found"))),
+        _told("V3", "WARN", last & unnamed & ~F.col("status").eqNullSafe("todo"), place, F.lit("no snapshot saved")),
+    )
 
 
 def fact_checks(found: DataFrame, sources: DataFrame, snapshots: DataFrame, as_of: Column, stale_days: int = STALE_DAYS) -> DataFrame:
-    """V4-V9. The quote is compared with its own source's snapshot only: an equi-join, then a test of containment."""
+    """V4-V9 in one pass: facts meet their source and its normalised snapshot once, and each row tells all that it violates.
+
+    The quote is compared with its own source's snapshot only. Texts are normalised before the join, once each, and shuffled once.
+    """
     last = sources.groupBy("id").agg(F.max_by("snapshot", "ordinal").alias("snapshot"))
     texts = snapshots.select(F.col("path").alias("snapshot"), X.normalise(F.col("text")).alias("saved"))
     known = last.join(texts, "snapshot", "left").select(F.col("id").alias("source_id"), F.lit(True).alias("known"), "saved")
-    at = F.col("place")
-    rows = found.join(known, "source_id", "left")
-    v4 = _violation(rows.where("known is null"), "V4", "ERROR", at, F.concat(F.lit("unknown source_id '"), F.coalesce("source_id", F.lit("null")), F.lit("'")))
-    verified = rows.where(F.col("known") & (F.col("status") == "verified"))
-    v5 = _violation(verified.where("verified_at is null"), "V5", "ERROR", at, F.lit("verified but no date"))
-    v6 = _violation(verified.where(is_stale(F.col("verified_at"), as_of, stale_days)), "V6", "WARN", at, F.lit(f"verified more than {stale_days} days ago"))
-    quoted = verified.where(~X.is_missing(F.col("quote")))
-    v7 = _violation(verified.where(X.is_missing(F.col("quote"))), "V7", "ERROR", at, F.lit("verified but no quote"))
-    v8 = _violation(quoted.where("saved is null"), "V8", "ERROR", at, F.concat(F.lit("no saved snapshot of "), "source_id"))
-    v9 = _violation(quoted.where(~F.contains("saved", X.normalise(F.col("quote")))), "V9", "ERROR", at, F.concat(F.lit("quote not in the saved source: "), F.substring("quote", 1, 80)))
-    return v4.union(v5).union(v6).union(v7).union(v8).union(v9)
+    rows, at = found.join(known, "source_id", "left"), F.col("place")
+    verified = F.col("known") & (F.col("status") == "verified")
+    unquoted = X.is_missing(F.col("quote"))
+    return _violations(
+        rows,
+        _told("V4", "ERROR", F.col("known").isNull(), at, F.concat(F.lit("unknown source_id '"), F.coalesce("source_id", F.lit("null")), F.lit("'"))),
+        _told("V5", "ERROR", verified & F.col("verified_at").isNull(), at, F.lit("verified but no date")),
+        _told("V6", "WARN", verified & is_stale(F.col("verified_at"), as_of, stale_days), at, F.lit(f"verified more than {stale_days} days ago")),
+        _told("V7", "ERROR", verified & unquoted, at, F.lit("verified but no quote")),
+        _told("V8", "ERROR", verified & ~unquoted & F.col("saved").isNull(), at, F.concat(F.lit("no saved snapshot of "), "source_id")),
+        _told("V9", "ERROR", verified & ~unquoted & ~F.contains("saved", X.normalise(F.col("quote"))), at, F.concat(F.lit("quote not in the saved source: "), F.substring("quote", 1, 80))),
+    )
 
 
-#: Quotes whose anchor words are tested in each text's own row (they stand in the plan); more are joined. Short quotes a block.
-ROW_QUOTES, SHORT_BLOCK = 20_000, 500
+#: Bytes of quotes that one automaton is made of: what is collected and broadcast at a time.
+AUTOMATON_BYTES = 16 << 20
 
 
 def ground_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     """(quote_id, text_id) of all texts that hold a quote, after normalisation of both; null quotes and texts hold nothing.
 
-    A text that holds a quote has the quote's inner words as whole words. The longest of them is the quote's anchor: it is looked for among
-    the text's words, in its row for up to ROW_QUOTES quotes and by a join beyond, and containment is tested where it is found.
-    Quotes without an inner word may begin and end within words: blocks of them are tested on each text.
+    Quotes are dealt by hash into blocks of about AUTOMATON_BYTES. A block becomes one automaton that a task runs over its texts, whatever
+    the lengths of the quotes, so a text is read once a block, never shuffled, and meets no quote that it doesn't hold. An empty quote is in each text.
     """
-    q = quotes.where("quote is not null").select("quote_id", X.normalise(F.col("quote")).alias("quote")).withColumn("w", F.split("quote", " "))
-    inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
-    q = q.withColumn("anchor", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]).drop("w")
-    n_long, n_short = q.agg(F.count("anchor"), F.count_if(F.col("anchor").isNull())).first()
+    q = quotes.where("quote is not null").select("quote_id", X.normalise(F.col("quote")).alias("quote"))
     t = texts.where("text is not null").select("text_id", X.normalise(F.col("text")).alias("text"))
-    found = []
-    if n_long:
-        long = q.where("anchor is not null")
-        words = t.withColumn("w", F.split("text", " "))
-        if n_long <= ROW_QUOTES:
-            sought = F.split(F.lit(" ".join(sorted(r["anchor"] for r in long.select("anchor").distinct().collect()))), " ")
-            hits = words.select("text_id", "text", F.explode(F.array_intersect("w", sought)).alias("anchor")).join(F.broadcast(long), "anchor")
-        else:
-            pairs = words.select("text_id", F.explode(F.array_distinct("w")).alias("anchor")).join(long, "anchor").select("text_id", "quote_id", "quote")
-            hits = pairs.join(t, "text_id")
-        found.append(hits.where(F.contains("text", "quote")).select("quote_id", "text_id"))
-    if n_short:
-        block = F.pmod(F.xxhash64("quote_id"), F.lit(-(-n_short // SHORT_BLOCK)))
-        blocks = q.where("anchor is null").groupBy(block.alias("block")).agg(F.collect_list(F.struct("quote_id", "quote")).alias("some"))
-        held = t.crossJoin(blocks).select("text_id", F.explode(F.filter("some", lambda s: F.contains(F.col("text"), s["quote"]))).alias("q"))
-        found.append(held.select("q.quote_id", "text_id"))
-    return reduce(DataFrame.union, found) if found else q.select("quote_id").join(t.select("text_id"), F.lit(False))
+    schema = T.StructType([T.StructField("quote_id", q.schema["quote_id"].dataType), T.StructField("text_id", t.schema["text_id"].dataType)])
+    size = q.agg(F.sum(F.octet_length("quote") + 16)).first()[0] or 0
+    blocks = -(-size // AUTOMATON_BYTES)
+    if not blocks:
+        return t.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.union, (_held(q.where(F.pmod(F.xxhash64("quote_id", "quote"), F.lit(blocks)) == b), t, schema) for b in range(blocks)))
+
+
+def _held(block: DataFrame, texts: DataFrame, schema: T.StructType) -> DataFrame:
+    """The pairs of one block of quotes, whose bytes are bounded."""
+    by_text: dict[str, list] = {}
+    for r in block.collect():
+        by_text.setdefault(r["quote"], []).append(r["quote_id"])
+    sent = texts.sparkSession.sparkContext.broadcast(by_text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton, everywhere = ahocorasick.Automaton(), sent.value.get("", [])
+        for quote, ids in sent.value.items():
+            if quote:
+                automaton.add_word(quote, ids)
+        automaton.make_automaton()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                some = batch.slice(a, 500)
+                ids, owners = [], []
+                for i, text in enumerate(some.column(1).to_pylist()):
+                    lists = {id(x): x for _, x in automaton.iter(text)} if len(automaton) else {}
+                    for found in (*lists.values(), everywhere):
+                        ids += found
+                        owners += [i] * len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, kinds[0]), some.column(0).take(pa.array(owners, pa.int32()))], names=schema.names)
+
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+    return texts.select("text_id", "text").mapInArrow(run, schema)
 
 
 def service_checks(services: DataFrame, invalid: DataFrame) -> DataFrame:
-    """V10-V14. services need a column ``file``; invalid is (file, error)."""
+    """V10-V14. services need a column ``file``; invalid is (file, error). A service's rules are looked at in its own row, in one scan."""
     v10 = _violation(invalid, "V10", "ERROR", F.col("file"), F.col("error"))
-    needed = services.select("file", F.explode(F.filter(F.array(*(F.when(F.col(c).isNull(), c) for c in ("id", "title", "deciding_questions", "requirements"))), lambda c: c.isNotNull())).alias("key"))
-    v11 = _violation(needed, "V11", "ERROR", F.col("file"), F.concat(F.lit("missing '"), "key", F.lit("'")))
-    requirements = services.select("file", "deciding_questions", F.posexplode("requirements").alias("nth", "r")).select("file", "deciding_questions", "nth", F.col("r.id").alias("id"), F.col("r.when").alias("when"))
-    place = F.concat("file", F.lit(" requirement '"), F.coalesce("id", F.lit("null")), F.lit("'"))
-    v12 = _violation(duplicates(requirements, ["file", "id"], "nth"), "V12", "ERROR", place, F.lit("duplicate id"))
-    asked = requirements.select("file", "id", "deciding_questions", F.explode("when").alias("q", "allowed"))
-    question = F.filter(F.coalesce("deciding_questions", F.array().cast(services.schema["deciding_questions"].dataType)), lambda x: x["id"] == F.col("q"))
-    asked = asked.withColumn("question", F.get(question, -1 + F.size(question)))
-    v13 = _violation(asked.where("question is null"), "V13", "ERROR", place, F.concat(F.lit("'when' uses unknown question '"), "q", F.lit("'")))
-    outside = asked.where(F.col("question.options").isNotNull() & (F.size(F.array_except("allowed", "question.options")) > 0))
-    v14 = _violation(outside, "V14", "ERROR", place, F.concat(F.lit("'when' values "), F.array_join("allowed", ", "), F.lit(" not in the options of '"), "q", F.lit("'")))
-    return v10.union(v11).union(v12).union(v13).union(v14)
+    file, kind = F.col("file"), services.schema["deciding_questions"].dataType
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    named = lambda r: F.coalesce(r["id"], F.lit("null"))
+    place = lambda r: text(file, " requirement '", named(r), "'")
+    missing = [_told("V11", "ERROR", F.col(c).isNull(), file, F.lit(f"missing '{c}'")) for c in ("id", "title", "deciding_questions", "requirements")]
+    listed = F.col("requirements")
+    key = lambda r: F.coalesce(F.concat(F.lit("="), r["id"]), F.lit(""))
+    again = F.transform(listed, lambda r, i: _told("V12", "ERROR", F.array_position(F.transform(listed, key), key(r)) <= i, place(r), F.lit("duplicate id")))
+
+    def asked(r: Column) -> Column:
+        """V13 and V14 of each condition of a requirement."""
+
+        def one(entry: Column) -> Column:
+            q, allowed = entry["key"], entry["value"]
+            same = F.filter(F.coalesce("deciding_questions", F.array().cast(kind)), lambda x: x["id"] == q)
+            question = F.get(same, F.size(same) - 1)  # the last of that id
+            outside = question["options"].isNotNull() & (F.size(F.array_except(allowed, question["options"])) > 0)
+            return F.coalesce(
+                _told("V13", "ERROR", question.isNull(), place(r), text("'when' uses unknown question '", q, "'")),
+                _told("V14", "ERROR", outside, place(r), text("'when' values ", F.array_join(allowed, ", "), " not in the options of '", q, "'")),
+            )
+
+        return F.transform(F.map_entries(r["when"]), one)
+
+    conditions = F.flatten(F.filter(F.transform(listed, asked), lambda x: x.isNotNull()))
+    none = F.filter(F.array(missing[0]), lambda v: F.lit(False))
+    found = F.concat(F.array(*missing), F.coalesce(again, none), F.coalesce(conditions, none))
+    rest = services.select(F.explode(F.filter(found, lambda v: v.isNotNull())).alias("v")).select("v.*")
+    return v10.union(rest)
 
 
 def link_checks(checked: DataFrame) -> DataFrame:

@@ -86,23 +86,24 @@ def rule_classifier(service_id: str, outcome: str, note: str) -> dict[str, str]:
     return {"cause": cause, "summary_it": f"Segnalazione: {cause}", "summary_en": f"Report: {cause}"}
 
 
-def classify(notes: DataFrame, classifier: Classifier = rule_classifier) -> DataFrame:
-    """(service_id, outcome, note, day) to report rows. The note itself is no column of the result.
+def classify(notes: DataFrame, classifier: Classifier = rule_classifier, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(service_id, outcome, note, day) to report rows, after the columns to ``keep``. The note itself is no column of the result.
 
     The classifier runs on the executors, once a row; a cause outside the list is an error.
     """
     known = {c[0] for c in CAUSES}
-    schema = T.StructType([*(REPORT[c] for c in ("service_id", "outcome", "cause", "summary_it", "summary_en")), T.StructField("day", T.DateType())])
+    kept = [notes.schema[c] for c in keep]
+    schema = T.StructType([*kept, *(REPORT[c] for c in ("service_id", "outcome", "cause", "summary_it", "summary_en")), T.StructField("day", T.DateType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             found = [classifier(*x) for x in zip(f["service_id"], f["outcome"], f["note"], strict=True)]
             if wrong := {x["cause"] for x in found} - known:
                 raise ValueError(f"not a cause: {sorted(wrong)}")
-            yield pd.DataFrame({"service_id": f["service_id"], "outcome": f["outcome"], **{k: [x[k] for x in found] for k in ("cause", "summary_it", "summary_en")}, "day": f["day"]})
+            yield pd.DataFrame({**{c: f[c] for c in keep}, "service_id": f["service_id"], "outcome": f["outcome"], **{k: [x[k] for x in found] for k in ("cause", "summary_it", "summary_en")}, "day": f["day"]})
 
-    rows = notes.select("service_id", "outcome", "note", "day").mapInPandas(run, schema)
-    return rows.select("service_id", "outcome", "cause", "summary_it", "summary_en", iso_week(F.col("day")).alias("week"), F.lit(False).alias("simulated"))
+    rows = notes.select(*keep, "service_id", "outcome", "note", "day").mapInPandas(run, schema)
+    return rows.select(*keep, "service_id", "outcome", "cause", "summary_it", "summary_en", iso_week(F.col("day")).alias("week"), F.lit(False).alias("simulated"))
 
 
 def draft_fixes(groups: DataFrame, writer: Callable[[dict], str]) -> DataFrame:

@@ -5,31 +5,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.functions import dates, geo, html
+from quaystone.functions import dates, html
 from quaystone.functions import text as X
 from quaystone.operators import kb, metrics, offices, quality, reports, summaries
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: _table(spark, sf_dir, name))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+from quaystone.plans import over_time  # noqa: F401 (adds its queries)
+from quaystone.plans.registry import QUERIES, SQL  # noqa: F401
+from quaystone.plans.registry import query as _query
 
 
 @_query("""SELECT cast(ts AS DATE) AS day, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS part, count(*)::BIGINT AS total,
