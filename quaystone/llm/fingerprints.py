@@ -316,7 +316,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     order = (F.desc_nulls_last("doc_id"), F.xxhash64("text"), "alike")  # the last spreads very many alike rows over tasks
     sorted_ = rows.withColumn("alike", F.rand(7)).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    found = base.materialise(sorted_.mapInArrow(walk, schema), "compared")
+    found = base.materialise(sorted_.mapInArrow(walk, schema), "compared", compression="zstd")
     parts = sorted(r["part"] for r in found.where("end = 'first'").select("part").collect())  # a number a partition
     names = [f.name for f in _RESULT]
     result = found.where("end is null").select(*names)
