@@ -30,7 +30,7 @@ LARGEST = 2**27
 
 def compress(v: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
     """(n, 2 * segments): each segment's sum over the root of its width, and the norm of its distances from the mean."""
-    parts = v.astype(np.float64).reshape(len(v), -1, segment)
+    parts = v.astype(np.float64).reshape(len(v), v.shape[1] // segment, segment)
     sums = parts.sum(axis=2)
     rest = (parts * parts).sum(axis=2) - sums * sums / segment
     return np.concatenate([sums / np.sqrt(segment), np.sqrt(np.maximum(rest, 0.0))], axis=1)
@@ -93,7 +93,7 @@ def first_centroids(prepared: DataFrame, clusters: int = CLUSTERS, seed: int = S
     """The vectors with the least sha256 of ``seed:vec_id``; on a tie (rows that share an id) the lesser vector."""
     named = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     rows = prepared.select(named.alias("h"), "v").orderBy("h", "v").limit(clusters).collect()  # ``clusters`` rows
-    return np.array([r["v"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["v"] for r in rows], np.int64)
 
 
 def new_centroids(prepared: DataFrame, centroids: np.ndarray, segment: int = SEGMENT) -> np.ndarray:

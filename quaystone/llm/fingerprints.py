@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quaystone.llm import base
 from quaystone.llm.words import mix
@@ -172,7 +173,7 @@ class Fingerprint:
     @classmethod
     def parse(cls, said: str) -> Fingerprint:
         parts = [x.split(":") for x in said.split(".") if x]
-        bits = np.frombuffer(bytes.fromhex("".join(x[1] for x in parts)), "<u8").reshape(len(parts), -1)
+        bits = np.frombuffer(bytes.fromhex("".join(x[1] for x in parts)), "<u8").reshape(len(parts), BITS // 64)
         return cls(np.array([int(x[0]) for x in parts], np.int64), bits)
 
 
@@ -259,7 +260,25 @@ def fingerprint(docs: DataFrame, rank: np.ndarray, id_col: str = "doc_id", text_
     return base.id_and_text(docs, id_col, text_col).mapInArrow(make, schema)
 
 
-_RESULT = [T.StructField(n, k) for n, k in (("doc_id", T.LongType()), ("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType()))]
+#: How results lie between two steps: digests and filters as bytes, which take half the room of their text.
+_PACKED = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("n_chars", T.LongType()),
+        T.StructField("edited_digest", T.BinaryType()),
+        *(T.StructField(f"{x}_{y}", k) for x in ("own", "edited") for y, k in (("counts", T.ArrayType(T.IntegerType())), ("bits", T.BinaryType()))),
+        T.StructField("near_edited", T.DoubleType()),
+        T.StructField("near_next", T.DoubleType()),
+    ]
+)
+_KINDS = [to_arrow_type(f.dataType) for f in _PACKED]
+
+
+def _unpacked(packed: DataFrame) -> DataFrame:
+    """The contract's columns, with fingerprints as ``Fingerprint`` writes them."""
+    size = BITS // 8
+    told = lambda x: F.array_join(F.transform(f"{x}_counts", lambda n, i: F.concat(n.cast("string"), F.lit(":"), F.lower(F.hex(F.substring(F.col(f"{x}_bits"), i * size + 1, F.lit(size)))))), ".")
+    return packed.select("doc_id", "n_chars", F.lower(F.hex("edited_digest")).alias("edited_sha256"), told("own").alias("fingerprint"), told("edited").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def edited(text: str, following: str) -> str:
@@ -272,12 +291,13 @@ def _buffer(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return base.text_buffer(pa.array(texts, pa.large_string()))
 
 
-def _compared(ids: list, texts: list[str], following: list[str], own: list[Fingerprint], next_: list[Fingerprint], rank: np.ndarray) -> list[list]:
-    """Columns of _RESULT for documents and the texts that follow them."""
+def _compared(ids: list, texts: list[str], following: list[str], own: list[Fingerprint], next_: list[Fingerprint], rank: np.ndarray) -> list[pa.Array]:
+    """Columns of _PACKED for documents and the texts that follow them."""
     other = [edited(a, b) for a, b in zip(texts, following, strict=True)]
     made = fingerprints(*_buffer(other), rank)
-    digests = [hashlib.sha256(x.encode()).hexdigest() for x in other]
-    return [ids, [len(t) for t in texts], digests, [str(f) for f in own], [str(f) for f in made], [likeness(a, b) for a, b in zip(own, made, strict=True)], [likeness(a, b) for a, b in zip(own, next_, strict=True)]]
+    filters = [x for fs in (own, made) for x in ([f.counts.tolist() for f in fs], [f.bits.tobytes() for f in fs])]
+    columns = [ids, [len(t) for t in texts], [hashlib.sha256(x.encode()).digest() for x in other], *filters, [likeness(a, b) for a, b in zip(own, made, strict=True)], [likeness(a, b) for a, b in zip(own, next_, strict=True)]]
+    return [pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)]
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: np.ndarray | None = None) -> DataFrame:
@@ -291,13 +311,13 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     rows = base.id_and_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     rank = rarity(rows) if rank is None else rank
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("end", T.StringType()), T.StructField("text", T.StringType()), *_RESULT])
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("end", T.StringType()), T.StructField("text", T.StringType()), *_PACKED])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = TaskContext.get().partitionId(), None
 
         def boundary(end: str, doc_id, text: str) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([end]), pa.array([text]), pa.array([doc_id], pa.int64()), *(pa.nulls(1, k) for k in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([end]), pa.array([text]), pa.array([doc_id], pa.int64()), *(pa.nulls(1, k) for k in _KINDS[1:])], names=schema.names)
 
         for batch in base.slices(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -310,7 +330,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             if len(ids) > 1:
                 columns = _compared(ids[:-1], texts[:-1], texts[1:], made[:-1], made[1:], rank)
                 n = len(ids) - 1
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), *columns], names=schema.names)
         if held is not None:
             yield boundary("last", held[0], held[1])
 
@@ -318,10 +338,9 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sorted_ = rows.withColumn("alike", F.rand(7)).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     found = base.materialise(sorted_.mapInArrow(walk, schema), "compared", compression="zstd")
     parts = sorted(r["part"] for r in found.where("end = 'first'").select("part").collect())  # a number a partition
-    names = [f.name for f in _RESULT]
-    result = found.where("end is null").select(*names)
+    result = found.where("end is null").select(*_PACKED.names)
     if not parts:
-        return result
+        return _unpacked(result)
     follows = F.broadcast(spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, next int"))
     firsts = found.where("end = 'first'").select(F.col("part").alias("next"), F.col("text").alias("following"))
     pairs = found.where("end = 'last'").select("part", "doc_id", "text").join(follows, "part").join(firsts, "next").select("doc_id", "text", "following")
@@ -330,9 +349,9 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in base.slices(batches):
             ids, texts, following = (batch.column(i).to_pylist() for i in range(3))
             own, next_ = fingerprints(*_buffer(texts), rank), fingerprints(*_buffer(following), rank)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(_compared(ids, texts, following, own, next_, rank), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays(_compared(ids, texts, following, own, next_, rank), names=_PACKED.names)
 
-    return result.union(pairs.mapInArrow(join_ends, T.StructType(_RESULT)))
+    return _unpacked(result.union(pairs.mapInArrow(join_ends, _PACKED)))
 
 
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

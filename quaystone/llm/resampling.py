@@ -31,10 +31,12 @@ def words_of(text: Column) -> Column:
 def bucket_array(words: Column, buckets: int = BUCKETS, longest: int = LONGEST) -> Column:
     """The bucket of each run of 1 to ``longest`` words, joined by a space: crc32 modulo ``buckets``."""
     bucket = lambda run: F.pmod(F.crc32(run.cast("binary")), F.lit(buckets)).cast("int")
-    parts = [F.transform(words, bucket)]
-    for n in range(2, longest + 1):
-        runs = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i, n=n: bucket(F.array_join(F.slice(words, i, n), " ")))
-        parts.append(F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<int>")))
+
+    def runs(n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: bucket(F.array_join(F.slice(words, i, n), " ")))
+        return F.when(F.size(words) >= n, found).otherwise(F.array().cast("array<int>"))
+
+    parts = [F.transform(words, bucket), *(runs(n) for n in range(2, longest + 1))]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
