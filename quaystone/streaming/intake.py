@@ -26,7 +26,7 @@ def classified(notes: DataFrame, late: str = "14 days", classifier: Classifier =
     once = notes.where("reported_at is not null").withWatermark("reported_at", late)
     ids = once.select("report_id", "service_id", "outcome", "note", "reported_at", F.to_date("reported_at").alias("day"))
     told = classify(ids, classifier, keep=("report_id", "reported_at"))
-    return told.withWatermark("reported_at", late).dropDuplicatesWithinWatermark(["report_id"])
+    return told.dropDuplicatesWithinWatermark(["report_id"])
 
 
 def write_once(path: str):
