@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quaystone.functions import dates, html
 from quaystone.functions import text as X
 from quaystone.operators import kb, metrics, offices, quality, reports, summaries
-from quaystone.plans import over_time  # noqa: F401 (adds its queries)
+from quaystone.plans import files_and_streams, over_time  # noqa: F401 (they add their queries)
 from quaystone.plans.registry import QUERIES, SQL  # noqa: F401
 from quaystone.plans.registry import query as _query
 
