@@ -336,22 +336,31 @@ def _bit_table(places: DataFrame, bits: int):
     return places.sparkSession.sparkContext.broadcast(table)
 
 
-_WANTED = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("rare", T.DoubleType())])
+_WANTED = T.StructType([T.StructField("node", T.LongType()), T.StructField("text", T.StringType()), T.StructField("rare", T.DoubleType())])
 
 
 def _wanted(rows: DataFrame, k: int, bit_map, common) -> DataFrame:
-    """id, text, rare (the share of its shingles that aren't common) of the rows whose id may be in the bit map, so that the others' texts aren't shuffled."""
+    """node, text, rare (the share of its shingles that aren't common) of the rows whose id may be in the bit map, so that the others' texts aren't shuffled.
+
+    A task sends a node once, however many of its rows have that text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bit_map.value
+        table, sent = bit_map.value, set()
         for batch in batches:
             there = batch.filter(pa.array(_is_set(table, batch.column(2).to_numpy() & (64 * len(table) - 1))))
             for part in base.slices(iter([there])):
-                tokens, ends, _ = sets_of(part.column(1), k)
+                tokens, ends, nodes = sets_of(part.column(1), k)
                 one, two = _bits_of(tokens)
                 rare = np.append(0, np.cumsum(~(_is_set(common.value, one) & _is_set(common.value, two))))
                 share = (rare[ends[1:]] - rare[ends[:-1]]) / np.maximum(1, np.diff(ends))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(share)], names=_WANTED.names)
+                new = []
+                for i, (node, size) in enumerate(zip(nodes.tolist(), np.diff(ends).tolist(), strict=True)):
+                    if size and node not in sent:
+                        sent.add(node)
+                        new.append(i)
+                take = pa.array(new, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes).take(take), part.column(1).take(take), pa.array(share).take(take)], names=_WANTED.names)
 
     return rows.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, _WANTED)
 
@@ -407,7 +416,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     blocks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_NODES)).cast("int").alias("blocks"))
     placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     wanted = _wanted(rows, k, _bit_table(members.select(F.xxhash64("doc_id").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long")).alias("at")), FILTER_BITS), common)
-    texts = base.materialise(placed.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("cluster", "blocks", "node", "block", "n", "rare", "text"), "texts")
+    once = placed.join(wanted, "node").groupBy("node").agg(*(F.first(c).alias(c) for c in ("cluster", "blocks", "block", "n", "rare", "text")))  # tasks may send the same node
+    texts = base.materialise(once.select("cluster", "blocks", "node", "block", "n", "rare", "text"), "texts")
     links = _links_in(_own_cells(texts), k, percent)
     components = base.materialise(connected_components(links), "components")
     if not texts.where("blocks > 1").isEmpty():

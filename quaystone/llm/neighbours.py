@@ -5,7 +5,7 @@ centres under a capacity, then refined by moving nodes to the part that most of
 A softmax classifier learns from each sampled vector where its neighbours lie. A part that holds many vectors of the table is cut
 again in the same way, from a sample of its own and by its own classifier, so that leaves grow in number with the table, not only
 in size. The classifiers assign every vector to its most probable leaf, and route a query to its most probable leaves until
-they hold ``mass`` of the probability and LEAST_VECTORS vectors (or there is none left). Their vectors are ranked exactly, in
+they hold ``mass`` of the probability and more vectors than are asked for (or there is none left). Their vectors are ranked exactly, in
 double precision.
 
 Leaves are cut into blocks of bounded size, so one very common vector fills several tasks; a query meets each block of its leaves
@@ -26,7 +26,7 @@ from quaystone.llm import base
 
 #: Vectors of the sample (those with the least hashes of their ids), and numbers in it at most.
 SAMPLE, SAMPLE_NUMBERS = 10_000, 4_000_000
-NEIGHBOURS, MASS, LEAST_VECTORS, BLOCK = 12, 0.94, 2_000, 16_384
+NEIGHBOURS, MASS, BLOCK = 12, 0.94, 16_384
 #: Vectors of the table from which a part is cut again, about so many to a leaf, and leaves of a part at most.
 LARGE_PART, LEAF, LEAVES = 65_536, 16_384, 64
 
@@ -267,12 +267,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, mass: float = MAS
     placed = base.materialise(rows.select("vec_id", "v").mapInArrow(place, placed_schema), "placed")
     counted = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row a leaf
     held = np.array([counted.get(i, 0) for i in range(int(tree.value.first[-1]))])
-    least = max(LEAST_VECTORS, k + 1)
-
     def route(batches):
         for batch in batches:
             if batch.num_rows:
-                found = tree.value.routes(_matrix(batch.column(1)), mass, held, least)
+                found = tree.value.routes(_matrix(batch.column(1)), mass, held, k + 1)
                 take = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), *(c.take(take) for c in batch.columns)], names=placed_schema.names)
 
@@ -293,8 +291,3 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, mass: float = MAS
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
-
-
-#: The query's rows for DuckDB, exactly: those of tables of up to LEAST_VECTORS vectors, whose leaves are all opened.
-SQL = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
- SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaystone.llm import centroids, jaccard, neighbours, resampling
+from quaystone.llm import centroids, jaccard, resampling
 from quaystone.llm.centroids import op11_centroids
 from quaystone.llm.chunk_reuse import op8_bpe
 from quaystone.llm.fingerprints import op12_fingerprints
@@ -41,4 +41,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_nearest": neighbours.SQL, "op10_jaccard": jaccard.SQL, "op11_centroids": centroids.SQL, "op13_resampling": resampling.SQL}
+    return {"op10_jaccard": jaccard.SQL, "op11_centroids": centroids.SQL, "op13_resampling": resampling.SQL}

@@ -159,7 +159,7 @@ def test_nearest_at_every_size(spark, n, d):
 
 
 def test_nearest_in_two_levels(spark, monkeypatch):
-    for name, value in (("LARGE_PART", 150), ("LEAF", 40), ("LEAST_VECTORS", 100), ("BLOCK", 64)):
+    for name, value in (("LARGE_PART", 150), ("LEAF", 40), ("BLOCK", 64)):
         monkeypatch.setattr(neighbours, name, value)
     rng = np.random.default_rng(12)
     x = rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] + 0.5 * rng.normal(size=(4000, 16))
@@ -171,6 +171,30 @@ def test_nearest_in_two_levels(spark, monkeypatch):
     assert np.allclose(built[0].probabilities(rows).sum(axis=1), 1) and (built[0].leaf(rows) < built[0].first[-1]).all()
 
 
+@pytest.mark.parametrize("n", [500, 2000, 20_000])
+def test_clustered_vectors_are_routed_to_few_leaves(monkeypatch, n):
+    """Under half of the vectors are opened at every size, with recall of 0.9 or more; a query opens no more than its probability and k + 1 ask for."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(max(10, n // 100), 64))[rng.integers(0, max(10, n // 100), n)] + 0.3 * rng.normal(size=(n, 64))
+    tree = neighbours.Tree(neighbours.Router.fit(x[rng.permutation(n)[: neighbours.SAMPLE]], neighbours.part_count(n)), {})
+    leaf = tree.leaf(x)
+    held = np.bincount(leaf, minlength=int(tree.first[-1]))
+    q = np.arange(0, n, 20)[:200]
+    routes = tree.routes(x[q], neighbours.MASS, held, 21)
+    score = x[q] @ x.T
+    score[np.arange(len(q)), q] = -np.inf
+    hits = [np.isin(leaf[np.argpartition(-s, 20)[:20]], r).mean() for s, r in zip(score, routes, strict=True)]
+    opened = [held[r].sum() / n for r in routes]
+    assert np.mean(hits) >= 0.9 and np.mean(opened) < 0.5
+    assert all(held[r].sum() > 20 for r in routes)
+
+
+def test_recall_on_the_given_table(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    assert recall(spark, ids, x) >= 0.9
+
+
 def test_nearest_edge_cases(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (None, [1.0, 1.0]), (9, [1.0, 2.0, 3.0]), (20, [2.0, 0.0]), (40, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -179,6 +203,30 @@ def test_nearest_edge_cases(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_rows_without_an_id_of_their_own(spark, monkeypatch, shared):
+    """5,000 rows with null ids, or with one id: texts are written once a node, not once a pair of rows."""
+    rng = random.Random(3)
+    origin = [[f"w{rng.randrange(10**6)}" for _ in range(40)] for _ in range(50)]
+    rows = []
+    for i in range(5_000):
+        words = list(origin[i % 50])
+        if i % 3:
+            words[rng.randrange(40)] = f"x{i % 600}"
+        rows.append((shared, " ".join(words)))
+    written, materialise = {}, jaccard.base.materialise
+
+    def counted(df, name, **options):
+        out = materialise(df, name, **options)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard.base, "materialise", counted)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 5, 80).collect()
+    assert len(got) == 5_000 and {r["component_id"] for r in got} == {shared}
+    assert written["texts"] == written["members"] <= len({t for _, t in rows})
+
+
 def test_balanced_parts():
     x = np.random.default_rng(3).normal(size=(600, 16)).astype(np.float32)
     part = neighbours.balanced_parts(x, neighbours.neighbour_graph(x, 8), 8)
