@@ -36,6 +36,11 @@ def written(df: DataFrame, path: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Remove what nothing reads any more."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,12 +6,15 @@ of a notice that none of their lines is confirmed for. Its features are its dist
 lower-cased, outer punctuation dropped). A multinomial logistic regression is trained, on the driver and with a fixed seed, on
 variations of the notices and framed names below and on other paragraphs: sentences that sound like notices, a bounded sample of the
 documents' own lines, and phrases with most of their words replaced. It has a class ``unknown``; its probabilities are calibrated by one
-temperature fitted on phrases that are held out whole. A prediction counts if it isn't ``unknown``, its probability reaches
-LEAST_PROBABILITY and the paragraph holds a name of the licence or most words of one of the family's notices.
+temperature fitted on phrases that are held out whole. A class ``other`` is for licences of no known family. A prediction counts if it is
+a known family (of equal ones the first by name), its probability reaches LEAST_PROBABILITY, and the paragraph grants the family's licence by name, with no
+denial and no other family's name beside it, or holds most words of one of its notices. No line of the tables this was tried on is among the phrases.
 """
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -54,6 +57,7 @@ NOTICES: dict[str, list[str]] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by",
         "You should have received a copy of the GNU General Public License along with this program.",
+        "either version 2 of the License, or (at your option) any later version.",
     ],
     "lgpl": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
@@ -74,6 +78,16 @@ NOTICES: dict[str, list[str]] = {
     "cc-by": ["You are free to share and adapt the material for any purpose, even commercially, under the Attribution terms: you must give appropriate credit."],
     "cc-by-sa": ["Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply.", "If you remix, transform, or build upon the material, you must distribute your contributions under the same license as the original."],
     "cc-by-nc": ["You may not use the material for commercial purposes. Attribution-NonCommercial."],
+    "cc-by-nc-sa": ["You may not use the material for commercial purposes, and you must distribute your contributions under the same license as the original. Attribution-NonCommercial-ShareAlike."],
+    "cc-by-nc-nd": ["You may not use the material for commercial purposes, and you may not distribute the modified material. Attribution-NonCommercial-NoDerivatives."],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "zlib": [
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+    ],
+    "boost": ["Distributed under the Boost Software License, Version 1.0. See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt"],
+    "unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "epl-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
     "cc-by-nd": ["If you remix, transform, or build upon the material, you may not distribute the modified material."],
     "proprietary": ["No part of this publication may be reproduced without the prior written permission of the publisher.", "Confidential and proprietary. Unauthorized copying of this file, via any medium, is strictly prohibited."],
 }
@@ -87,15 +101,30 @@ NAMES: dict[str, list[str]] = {
     "agpl": ["the GNU Affero General Public License", "the GNU Affero General Public License, version 3", "the GNU AGPL", "AGPLv3", "AGPL-3.0-only", "the AGPL"],
     "mpl-2.0": ["the Mozilla Public License, version 2.0", "the Mozilla Public License", "MPL-2.0", "the MPL 2.0"],
     "cc0": ["CC0 1.0", "CC0", "the CC0 public domain dedication", "Creative Commons Zero", "CC0-1.0"],
-    "cc-by": ["CC BY 4.0", "CC BY 3.0", "CC-BY-4.0", "a Creative Commons Attribution 4.0 International License", "the Creative Commons Attribution License", "a Creative Commons Attribution 3.0 license"],
-    "cc-by-sa": ["CC BY-SA 4.0", "CC BY-SA 3.0", "CC-BY-SA-4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License", "the Creative Commons Attribution-ShareAlike License"],
-    "cc-by-nc": ["CC BY-NC 4.0", "CC BY-NC 3.0", "CC-BY-NC-4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License", "the Creative Commons Attribution-NonCommercial License"],
-    "cc-by-nd": ["CC BY-ND 4.0", "CC BY-ND 3.0", "CC-BY-ND-4.0", "a Creative Commons Attribution-NoDerivatives 4.0 International License", "the Creative Commons Attribution-NoDerivatives License"],
+    "cc-by": ["CC BY", "CC BY 4.0", "CC BY 3.0", "CC-BY-4.0", "a Creative Commons Attribution 4.0 International License", "the Creative Commons Attribution License", "a Creative Commons Attribution 3.0 license"],
+    "cc-by-sa": ["CC BY-SA", "CC BY-SA 4.0", "CC BY-SA 3.0", "CC-BY-SA-4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License", "the Creative Commons Attribution-ShareAlike License"],
+    "cc-by-nc": ["CC BY-NC", "CC BY-NC 4.0", "CC BY-NC 3.0", "CC-BY-NC-4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License", "the Creative Commons Attribution-NonCommercial License"],
+    "cc-by-nd": ["CC BY-ND", "CC BY-ND 4.0", "CC BY-ND 3.0", "CC-BY-ND-4.0", "a Creative Commons Attribution-NoDerivatives 4.0 International License", "the Creative Commons Attribution-NoDerivatives License"],
+    "cc-by-nc-sa": ["CC BY-NC-SA", "CC BY-NC-SA 4.0", "CC BY-NC-SA 3.0", "CC-BY-NC-SA-4.0", "a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "the Creative Commons Attribution-NonCommercial-ShareAlike License"],
+    "cc-by-nc-nd": ["CC BY-NC-ND", "CC BY-NC-ND 4.0", "CC BY-NC-ND 3.0", "CC-BY-NC-ND-4.0", "a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "the Creative Commons Attribution-NonCommercial-NoDerivatives License"],
+    "isc": ["the ISC License", "ISC", "an ISC-style license"],
+    "zlib": ["the zlib License", "the zlib/libpng license", "zlib"],
+    "boost": ["the Boost Software License, Version 1.0", "the Boost Software License", "BSL-1.0"],
+    "unlicense": ["the Unlicense", "Unlicense"],
+    "epl-2.0": ["the Eclipse Public License, version 2.0", "the Eclipse Public License", "EPL-2.0", "the EPL 2.0"],
     "proprietary": ["all rights reserved", "proprietary and confidential"],
 }
-FRAMES = ["Licensed under {}.", "Released under {}.", "This work is licensed under {}.", "This code is distributed under the terms of {}.", "Content on this site is available under {}.", "Use of this source code is governed by {}.", "The project uses {}.", "License: {}", "SPDX-License-Identifier: {}", "Copyright 2004 Some Author. {} licensed.", "{}", "see {} for details", "{} licensed", "offered to you under {}"]
+FRAMES = [
+    "This code is distributed under the terms of {}.", "Content on this site is available under {}.", "Use of this source code is governed by {}.", "The project uses {}.", "License: {}", "Copyright 2004 Some Author. {} licensed.", "see {} for details",
+    "{} licensed", "offered to you under {}", "This file is licensed to you under {}", "We have released the whole series under {}", "It may be used under {}", "Its text is subject to {};", "The tables are covered by {}", "SPDX id of this file: {}",
+]
 #: Frames of names that aren't a licence one is under.
-CLAIMS = ["{}.", "Copyright (c) 2021 The Authors. {}", "(c) 1998 Example Press, {}", "This document is {}"]
+CLAIMS = ["Copyright (c) 2021 The Authors. {}", "(c) 1998 Example Press, {}", "This document is {}", "The figures in it are {}", "{} by the publisher and its heirs."]
+#: The family of what is a licence of none of the others. It is never confirmed; its names are made up.
+OTHER = "other"
+MADE_UP = ["Frob", "Quillon", "Marrow", "Tessel", "Oakum", "Varda", "Lumen", "Pardo", "Zephyr", "Nimbus", "Harrow", "Solano"]
+NAMES[OTHER] = [f.format(w) for w in MADE_UP for f in ("the {} License", "the {} Public License, version 2", "the {} Open License 1.1")]
+NOTICES[OTHER] = ["You may copy and share this work as long as this notice stays with it and no fee is asked.", "This license applies to all files of the distribution unless a file says otherwise."]
 #: Fixed values. Paragraphs that speak like notices and are none.
 OTHERS = [
     "She had her driving license renewed at the town hall.", "A licensed plumber has to check the pipes.", "The license plate was found by the river.", "Copyright law protects authors and their heirs.", "All seats are reserved for members.",
@@ -103,14 +132,17 @@ OTHERS = [
     "The software is provided by a vendor under a contract.", "You can redistribute the chairs and modify the room.", "Creative people in the commons shared their bread.", "The version of the play was published by the foundation.", "His rights as a citizen were reserved by the court.",
     "The fishing licence costs twelve euros a year.", "Licences for street stalls are issued on Mondays.", "The following conditions apply to all tickets.", "A copy of this letter was sent free of charge to any person who asked.", "The warranty covers any kind of defect for two years.",
     "Ask for permission before you copy the notice.", "The public domain of the castle is open to visitors.", "The bank licensed under its old name has closed.", "Please read the terms and conditions of travel.", "The Mozilla festival takes place in autumn.", "The source of the river is binary in form on this map.",
-    "Published by the author in 2004, version 2.", "The gnu is a large antelope of the general plains.", "The attribution of the painting is disputed.", "Commercial purposes are not the aim of the museum.", "Copyright 2004 Some Author.", "This license has expired.", "See the license for details.",
+    "Published by the author in 2004, version 2.", "The gnu is a large antelope of the general plains.", "The attribution of the painting is disputed.", "Commercial purposes are not the aim of the museum.", "Copyright 2004 Some Author.", "This license has expired.", "See the license for details.", "MIT researchers published a paper on licenses.", "The library isn't under any license yet.", "A lecture on the GPL and its history.", "BSD was first released in Berkeley.", "The Mozilla Foundation has a new chair.",
 ]
 #: Lines of the documents used as examples of ``unknown``, at most, and documents they are from: those with the least hashes.
 OTHER_DOCUMENTS, OTHER_LINES = 200, 2_000
 LEAST_PROBABILITY, LEAST_COVER = 0.6, 0.75
 _EDGE = ".,;:()[]{}\"'!?*#"
-#: What makes a name of one word a licence's, and what a reported paragraph speaks of.
-_FRAME_WORDS = frozenset("license licensed licence licenced licensing under terms spdx-license-identifier".split())
+#: Fixed values. Words by which a licence is granted within GRANT_REACH words before its name, and words that undo it within DENIAL_REACH.
+GRANTS = frozenset("under license licensed licence licenced licensing terms governed subject available released distributed offered covered uses spdx spdx-license-identifier".split())
+DENIALS = frozenset("not no never neither nor without isn't aren't wasn't weren't don't doesn't cannot can't unlike instead against formerly previously".split())
+GRANT_REACH, DENIAL_REACH = 6, 10
+_AFTER = frozenset("license licensed licence licenced licenses".split())
 _CUES = re.compile(r"licen[cs]|copyright|rights reserved|permission|redistribut|spdx|public domain|waived|reproduced|proprietary|mozilla", re.I)
 
 
@@ -135,7 +167,7 @@ class LicenseModel:
     temperature: float
     cues: re.Pattern
     templates: dict[str, list[tuple[frozenset[str], frozenset[str]]]]  # words of notices, and those in no other family's
-    names: dict[str, list[str]]  # of licences, spaced at both ends
+    by_first: dict[str, list[tuple[tuple[str, ...], str]]]  # names of licences as words, and their families, by the first word
     signature: np.ndarray  # sorted hashes of words of which every text that covers a notice has one
 
     def line_logits(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -168,13 +200,44 @@ class LicenseModel:
         at = at[self.keys[at] == found]
         return self.weights[at].sum(axis=0) / np.sqrt(max(1, n)) + self.bias
 
+    def named(self, line: str) -> dict[str, bool]:
+        """Families whose licences the line names, and whether it grants one of theirs.
+
+        A name is granted if nothing denies it within DENIAL_REACH words before it and a word of GRANTS stands within GRANT_REACH (before a single
+        word of letters, which may mean something else as well, within three); or it follows a colon, or with a version or hyphen a comma; or it begins the
+        line (such a single word only as all of it); or ``licensed`` or ``license`` comes after it. Rights that are reserved need no grant. Of
+        names that begin at the same word the longest counts, and a name is whole words: BY-NC-SA is no BY-NC.
+        """
+        raw = [w for w in re.split("[\x20\x09-\x0d]+", line) if w.strip(_EDGE)]
+        words = [w.strip(_EDGE).lower() for w in raw]
+        out: dict[str, bool] = {}
+        at = 0
+        while at < len(words):
+            held = [(len(n), f) for n, f in self.by_first.get(words[at], ()) if tuple(words[at : at + len(n)]) == n]
+            if not held:
+                at += 1
+                continue
+            size, family = max(held)
+            before, after = words[max(0, at - GRANT_REACH) : at], words[at + size : at + size + 1]
+            plain = size == 1 and words[at].isalpha()
+            next_to = bool(after) and after[0] in _AFTER
+            last = next((w for w in reversed(raw[:at]) if w.lower() not in ("the", "a", "an")), "")
+            precise = any(c.isdigit() or c == "-" for w in words[at : at + size] for c in w)
+            opens = last.endswith(":") or precise and last.endswith((",", ";")) or not before and (not plain or len(words) == 1)
+            granted = family == "proprietary" or next_to or opens or any(w in GRANTS for w in (before[-3:] if plain else before))
+            denied = any(w in DENIALS or w.endswith("n't") for w in words[max(0, at - DENIAL_REACH) : at])
+            out[family] = out.get(family, False) or (granted and not denied)
+            at += size
+        return out
+
     def cover(self, line: str, family: str) -> float:
-        """1 if a name of the licence stands in the line, one of a single word next to talk of a licence. Otherwise the largest share of a notice's words that the line holds, among notices whose telling words (in no other family's) it has or that have over three words."""
-        plain = _plain(line).lower()
-        words, spaced = set(plain.split()), f" {plain} "
-        framed = bool(words & _FRAME_WORDS) or any(w.startswith("spdx") for w in words)
-        if any(n in spaced and (framed or len(n.split()) > 1 or len(words) == 1) for n in self.names[family]):
+        """1 if the line grants a licence of the family by name and names no other family's. Otherwise the largest share of a notice's words that the line holds, among notices whose telling words (in no other family's) it has or that have over three words. Of OTHER, 0."""
+        if family == OTHER:
+            return 0.0
+        named = self.named(line)
+        if named.get(family) and len(named) == 1:
             return 1.0
+        words = set(_plain(line).lower().split())
         return max((len(words & t) / len(t) for t, telling in self.templates[family] if telling <= words or len(telling) > 3), default=0.0)
 
 
@@ -205,7 +268,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(others: list[str], seed: int = 11, steps: int = 200) -> LicenseModel:
+def train(others: list[str], seed: int = 11, steps: int = 150) -> LicenseModel:
     """Fit to variations of the phrases, to OTHERS and to ``others``: paragraphs of documents. Of those, the ones that hold a licence's name or most of a notice aren't examples of ``unknown``.
 
     A fifth of the phrases and of the other paragraphs is held out, with all its variations; the temperature is fitted to it.
@@ -215,12 +278,15 @@ def train(others: list[str], seed: int = 11, steps: int = 200) -> LicenseModel:
     of = {f: [frozenset(_plain(n).lower().split()) for n in notices] for f, notices in NOTICES.items()}
     templates = {f: [(t, t - frozenset().union(*(x for g, xs in of.items() if g != f for x in xs))) for t in ts] for f, ts in of.items()}
     bare = lambda n: re.sub("^(the|an?) ", "", _plain(n).lower())
-    names = {f: sorted({f" {bare(n)} " for n in ns}) for f, ns in NAMES.items()}
+    by_first: dict[str, list[tuple[tuple[str, ...], str]]] = {}
+    for f, ns in NAMES.items():
+        for n in sorted({tuple(bare(n).split()) for n in ns}) if f != OTHER else ():
+            by_first.setdefault(n[0], []).append((n, f))
     # a cover of LEAST_COVER lacks at most this many words of a notice, so it has one of any set that is larger by one
     lacking = lambda t: next(k for k in range(len(t) + 1) if (len(t) - k - 1) / len(t) < LEAST_COVER)
     signature = {w for ts in templates.values() for t, telling in ts for w in sorted(t, key=lambda w: (w not in telling, -len(w), w))[: lacking(t) + 1]}
     hashes = np.array([word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0] for w in signature])
-    model = LicenseModel([*families, UNKNOWN], np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros(0), 1.0, _CUES, templates, names, np.sort(hashes))
+    model = LicenseModel([*families, UNKNOWN], np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros(0), 1.0, _CUES, templates, by_first, np.sort(hashes))
     others = [x for x in others if x.strip() and not any(model.cover(x, f) >= LEAST_COVER for f in families)][:OTHER_LINES]
     fillers = sorted({w for x in [*others, *OTHERS] for w in x.split()[:20] if len(w) < 30})[:4000]
     telling = sorted({w for _, x in phrases() for w in _plain(x).lower().split()})
@@ -233,7 +299,7 @@ def train(others: list[str], seed: int = 11, steps: int = 200) -> LicenseModel:
         held.extend([kept_out] * len(some))
 
     for family, phrase in phrases():
-        add(_variations(rng, phrase, fillers, 16 if len(phrase.split()) > 8 else 4), families.index(family))
+        add(_variations(rng, phrase, fillers, 10 if len(phrase.split()) > 12 else 3), families.index(family))
         words = [w if rng.random() < 0.35 else str(rng.choice(fillers)) for w in phrase.split()]
         if len(words) > 2 and not any(model.cover(" ".join(words), f) >= LEAST_COVER for f in families):
             add([" ".join(words)], len(families))  # the frame of a notice without what tells its family
@@ -247,34 +313,23 @@ def train(others: list[str], seed: int = 11, steps: int = 200) -> LicenseModel:
     keys, times = np.unique(np.concatenate([f for f, label in zip(found, y, strict=True) if label < len(families)]), return_counts=True)
     keys = keys[times > 1]
     size = np.sqrt(np.maximum(1, np.array(n, np.float32)))
-    known = [np.append(np.searchsorted(keys, f[np.isin(f, keys)]), len(keys)) for f in found]  # the last one is the bias
-    share = [np.append(np.full(len(k) - 1, 1 / n, np.float32), np.float32(1)) for k, n in zip(known, size, strict=True)]
-    w = np.zeros((len(keys) + 1, len(families) + 1), np.float32)
-
-    def logits(which: np.ndarray, w: np.ndarray) -> np.ndarray:
-        columns, shares = np.concatenate([known[i] for i in which]), np.concatenate([share[i] for i in which])
-        return np.add.reduceat(w[columns] * shares[:, None], np.append(0, np.cumsum([len(known[i]) for i in which])[:-1]))
-
-    learned = np.flatnonzero(~held)
-    columns, shares = np.concatenate([known[i] for i in learned]), np.concatenate([share[i] for i in learned])[:, None]
-    rows = np.repeat(np.arange(len(learned)), [len(known[i]) for i in learned])
-    first = np.append(0, np.flatnonzero(np.diff(rows)) + 1)
-    order = np.argsort(columns, kind="stable")
-    used, column_first = np.unique(columns[order], return_index=True)
+    x = np.zeros((len(found), len(keys) + 1), np.float32)  # some thousands each way; the last column is the bias
+    for i, f in enumerate(found):
+        x[i, np.searchsorted(keys, f[np.isin(f, keys)])] = 1 / size[i]
+    x[:, -1] = 1
     # classes weigh the same on the whole, but for ``unknown``, which weighs as five
-    t, onehot = y[learned], np.eye(len(families) + 1, dtype=np.float32)[y[learned]]
+    learned = x[~held]
+    t, onehot = y[~held], np.eye(len(families) + 1, dtype=np.float32)[y[~held]]
     weight = np.where(t == len(families), 5.0, 1.0) / np.bincount(t, minlength=len(families) + 1)[t]
     weight = (weight / weight.sum()).astype(np.float32)[:, None]
-    by_row, by_share, velocity = rows[order], shares[order], np.zeros_like(w)
+    w = np.zeros((len(keys) + 1, len(families) + 1), np.float32)
+    velocity = np.zeros_like(w)
     for _ in range(steps):
-        g = (_softmax(np.add.reduceat(w[columns] * shares, first)) - onehot) * weight
-        velocity *= 0.9
-        velocity[used] -= 20 * np.add.reduceat(g[by_row] * by_share, column_first)
-        velocity -= 2e-5 * w
+        velocity = 0.9 * velocity - 20 * (learned.T @ ((_softmax(learned @ w) - onehot) * weight)) - 2e-5 * w
         w += velocity
     w, b = w[:-1].astype(np.float64), w[-1].astype(np.float64)
     t_held = y[held]
-    z = logits(np.flatnonzero(held), np.vstack([w, b])) if len(t_held) else None
+    z = x[held] @ np.vstack([w, b])
     loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(t_held)), t_held] + 1e-12).mean()
     model.keys, model.weights, model.bias, model.temperature = keys, w, b, float(min(np.linspace(0.2, 4, 39), key=loss)) if len(t_held) else 1.0
     return model
@@ -395,18 +450,31 @@ _PER_DOCUMENT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructFie
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LicenseModel:
-    """Train with up to OTHER_LINES lines of OTHER_DOCUMENTS documents as examples of other paragraphs."""
+    """Train with up to OTHER_LINES lines of OTHER_DOCUMENTS documents as examples of other paragraphs.
+
+    A model is stored on shared storage under a digest of all that it is fitted to, and taken from there where it has been fitted before.
+    """
     rows = base.id_and_text(docs, id_col, text_col).where("text is not null and doc_id is not null")
     some = base.least_hashes(rows.select("doc_id"), OTHER_DOCUMENTS, "doc_id").distinct().collect()  # ids alone
     chosen = rows.where(F.col("doc_id").isin([r["doc_id"] for r in some]))
     lines = chosen.select(F.explode(F.split("text", "\n")).alias("line")).distinct()
-    return train([r["line"] for r in base.least_hashes(lines, OTHER_LINES, "line").collect()])
+    return stored_model(docs.sparkSession, [r["line"] for r in base.least_hashes(lines, OTHER_LINES, "line").collect()])
+
+
+def stored_model(spark: SparkSession, others: list[str]) -> LicenseModel:
+    named = hashlib.sha256(repr((phrases(), OTHERS, sorted(others), sorted(GRANTS), sorted(DENIALS))).encode()).hexdigest()
+    path = f"{base.shared_dir(spark)}/quaystone/models/licenses-{named}"
+    if base.exists(spark, f"{path}/_SUCCESS"):
+        return pickle.loads(spark.read.schema("model binary").parquet(path).first()["model"])
+    model = train(sorted(others))
+    spark.createDataFrame([(bytearray(pickle.dumps(model)),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return model
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel, per_document: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each paragraph that speaks of a licence: doc_id, paragraph (its first line's number), start, length (characters), family, probability, cover, confirmed.
 
-    ``per_document``: a row for each input row instead: doc_id, families (confirmed ones, sorted), n_confirmed, n_unknown, probability
+    ``per_document``: a row for each input row instead: doc_id, families (confirmed ones, sorted), n_confirmed, n_unknown (paragraphs that aren't), probability
     (of the surest; null without one). Null and empty texts have no paragraphs; repeated rows and null ids are scanned each for
     itself; other columns aren't read; an empty table gives none. No shuffle.
     """
