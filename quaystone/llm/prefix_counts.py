@@ -66,15 +66,13 @@ class PrefixTables(dict):
         return value
 
     def byte_counts(self, raw: bytes) -> list[int]:
-        """The token count of each byte prefix, 0 first."""
+        """The token count of each byte prefix, 0 first, by the recurrence alone: the pre-token itself is never encoded.
+
+        The library's encoder is asked about junctions of two tokens only, each pair once.
+        """
         n, ranks, stable, ending = len(raw), self.ranks, self.stable, self.ending
-        counts, last, at = [0] * (n + 1), [-1] * (n + 1), 0
-        for k, token in enumerate(self.engine.encode_piece(raw), 1):  # the whole pre-token's encoding settles where its tokens end
-            at += len(self.engine.token_bytes[token])
-            counts[at], last[at] = k, token
+        counts, last = [0] * (n + 1), [-1] * (n + 1)
         for i in range(1, n + 1):
-            if counts[i]:
-                continue
             for length in ending.get(raw[i - 3 : i] if i > 2 else b"", (2, 1)):
                 j = i - length
                 if j < 0 or (token := ranks.get(raw[j:i])) is None:
@@ -135,15 +133,18 @@ def prefix_changes(text: str, tables: PrefixTables) -> np.ndarray:
 _tables: dict[str, PrefixTables] = {}
 
 
-def prefix_token_counts(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_chars, n_tokens, prefix_changes (binary: little-endian 16-bit, one per code point).
+def prefix_token_counts(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", budgets: tuple[int, ...] = (), places: tuple[int, ...] = (), changes: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_chars, n_tokens, chars_within_<budget>..., tokens_in_first_<place>..., prefix_changes (binary: little-endian 16-bit, one per code point).
 
-    One row per input row. A null or empty text has no bytes, tokens or changes; repeated rows and equal or null
+    ``budgets``: the characters of the longest prefix of at most so many tokens; ``places``: the tokens of the prefix of so many characters (of
+    the whole text, if it is shorter); both are read off the prefix table. ``changes``: with the column prefix_changes, which answers any such
+    question later. One row per input row. A null or empty text has no bytes, tokens or changes; repeated rows and equal or null
     ids give a row each; an empty table gives none. Only the id and the text are read, so other columns can't clash.
     No shuffle: each partition is worked on where it is read.
     """
     path = tokenizer_path or bpe.default_path()
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("prefix_changes", T.BinaryType())])
+    longs = ["n_bytes", "n_chars", "n_tokens", *(f"chars_within_{b}" for b in budgets), *(f"tokens_in_first_{p}" for p in places)]
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", *longs)] + [T.StructField("prefix_changes", T.BinaryType())] * changes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = bpe.load(path)
@@ -151,12 +152,22 @@ def prefix_token_counts(docs: DataFrame, tokenizer_path: str | None = None, id_c
         for batch in base.slices(batches):
             texts = batch.column(1).fill_null("")
             _, offsets = base.text_buffer(texts)
-            changes = [prefix_changes(t, tables) for t in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array([len(c) for c in changes], pa.int64()), pa.array([int(c.sum(dtype=np.int64)) for c in changes], pa.int64()), pa.array([c.tobytes() for c in changes], pa.binary())], names=schema.names)
+            tabled = [prefix_changes(t, tables) for t in texts.to_pylist()]
+            totals = [int(c.sum(dtype=np.int64)) for c in tabled]
+            answers = [[longest_within(c, b) if n > b else len(c) for c, n in zip(tabled, totals, strict=True)] for b in budgets]
+            answers += [[int(c[:p].sum(dtype=np.int64)) for c in tabled] for p in places]
+            columns = [batch.column(0), pa.array(np.diff(offsets)), *(pa.array(x, pa.int64()) for x in ([len(c) for c in tabled], totals, *answers))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array([c.tobytes() for c in tabled], pa.binary())] * changes, names=schema.names)
 
     return base.id_and_text(docs, id_col, text_col).mapInArrow(count, schema)
 
 
+def longest_within(changes: np.ndarray, budget: int) -> int:
+    """Characters of the longest prefix that has at most ``budget`` tokens (a longer prefix can have fewer tokens than a shorter one)."""
+    counts = np.concatenate([[0], np.cumsum(changes, dtype=np.int64)])
+    return int(np.flatnonzero(counts <= budget)[-1]) if budget >= 0 else 0
+
+
 @F.pandas_udf(T.LongType())
 def tokens_of_prefix(changes, n_chars):
     """Tokens of the prefix of ``n_chars`` characters (of the whole text, if it is shorter), from ``prefix_changes``."""
@@ -170,17 +181,17 @@ def longest_prefix(changes, budget):
     """Characters of the longest prefix that has at most ``budget`` tokens, from ``prefix_changes``."""
     import pandas as pd
 
-    def longest(c: bytes, most: int) -> int:
-        counts = np.concatenate([[0], np.cumsum(np.frombuffer(c, "<i2"), dtype=np.int64)])
-        return int(np.flatnonzero(counts <= most)[-1]) if most >= 0 else 0
-
-    return pd.Series([None if c is None or b is None else longest(c, int(b)) for c, b in zip(changes, budget, strict=True)], dtype="Int64")
+    return pd.Series([None if c is None or b is None else longest_within(np.frombuffer(c, "<i2"), int(b)) for c, b in zip(changes, budget, strict=True)], dtype="Int64")
 
 
 def over_limit(n_tokens: Column, limit: int = 1024) -> Column:
     return n_tokens > limit
 
 
+#: The query's limit, in tokens, and the place it counts the tokens up to, in characters.
+LIMIT, PLACE = 1024, 1000
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = prefix_token_counts(base.documents(spark, sf_dir))
-    return counted.select("doc_id", "n_bytes", "n_tokens", over_limit(F.col("n_tokens")).alias("over_limit"), "n_chars")
+    counted = prefix_token_counts(base.documents(spark, sf_dir), budgets=(LIMIT,), places=(PLACE,), changes=False)
+    return counted.select("doc_id", "n_bytes", "n_tokens", over_limit(F.col("n_tokens"), LIMIT).alias("over_limit"), "n_chars", f"chars_within_{LIMIT}", f"tokens_in_first_{PLACE}")

@@ -114,6 +114,40 @@ def test_token_counts(docs, none, engine, texts):
     assert prefix_counts.prefix_token_counts(none).count() == 0
 
 
+def test_totals_come_from_the_recurrence(engine):
+    """The encoder is asked about two tokens side by side, never about a pre-token."""
+    tables, asked = prefix_counts.PrefixTables(engine), []
+
+    class Listening:
+        ranks, token_bytes, special, library = engine.ranks, engine.token_bytes, engine.special, engine.library
+
+        def encode_piece(self, raw):
+            asked.append(bytes(raw))
+            return engine.encode_piece(raw)
+
+    tables.engine = Listening()
+    for word in ("internationalisation", " Donaudampfschifffahrt", "日本語のテキスト", "qqqqzzzzxxxxvvvv", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"):
+        raw = word.encode()
+        want = [0, *(len(engine.encode_piece(raw[:i])) for i in range(1, len(raw) + 1))] if word.isascii() else None
+        counts = tables.byte_counts(raw)
+        assert counts[-1] == len(engine.encode_piece(raw)) and (want is None or counts == want)
+        assert raw not in asked or len(engine.encode_piece(raw)) <= 2
+    assert asked and len(asked) == len(tables.stable) == len({k for k in tables.stable})
+    assert all(any(a[:i] in engine.ranks and a[i:] in engine.ranks for i in range(1, len(a))) for a in asked)
+
+
+def test_budgets_and_places(spark, docs, texts, engine):
+    got = prefix_counts.prefix_token_counts(docs, budgets=(5, 1024), places=(0, 17), changes=False)
+    assert got.columns == ["doc_id", "n_bytes", "n_chars", "n_tokens", "chars_within_5", "chars_within_1024", "tokens_in_first_0", "tokens_in_first_17"]
+    want = Counter()
+    for t in texts:
+        text = t[1] or ""
+        counts = np.append(0, np.cumsum(prefix_counts.prefix_changes(text, prefix_counts.PrefixTables(engine)))) if len(text) > 300 else [len(library_ids(engine, text[:k])) for k in range(len(text) + 1)]
+        within = [max(i for i, c in enumerate(counts) if c <= b) if b < counts[-1] else len(text) for b in (5, 1024)]
+        want[t[0], *within, 0, len(library_ids(engine, text[:17]))] += 1
+    assert Counter((r["doc_id"], *r[4:]) for r in got.collect()) == want
+
+
 def test_questions_about_prefixes(spark, engine):
     text = "The quick brown foxes' tails   were  red<|endoftext|>and blue."
     rows = prefix_counts.prefix_token_counts(spark.createDataFrame([(1, text)], "doc_id long, text string"))
