@@ -99,8 +99,16 @@ def find_offices(offices: DataFrame, area: str | None = None, municipio: int | N
     return near.orderBy("distance_km", tie).limit(limit).select(*(c for c in keep if c in found.columns), "distance_km")
 
 
+def index_lines(services: DataFrame, offices: DataFrame) -> DataFrame:
+    """ordinal, id, line: what the knowledge base covers, a heading, a line a service and how many offices there are."""
+    spark, none = services.sparkSession, F.lit(None).cast("string")
+    counted = list_services(services)
+    covered = F.format_string("- %s: %s (%d/%d requirements verified)", F.col("id"), F.col("title")["it"], F.col("verified_requirements"), F.col("total_requirements"))
+    lines = counted.select(F.lit(1).alias("ordinal"), "id", covered.alias("line"))
+    head = spark.createDataFrame([(0, None, "Services covered:")], "ordinal int, id string, line string")
+    return head.union(lines).union(offices.agg(F.count("*").alias("n")).select(F.lit(2), none, F.format_string("Registry offices: %d.", F.col("n"))))
+
+
 def index_text(services: DataFrame, offices: DataFrame) -> str:
-    """What the knowledge base covers, one line a service."""
-    rows = list_services(services).orderBy("id").collect()
-    lines = [f"- {r['id']}: {r['title']['it']} ({r['verified_requirements']}/{r['total_requirements']} requirements verified)" for r in rows]
-    return "\n".join(["Services covered:", *lines, f"Registry offices: {offices.count()}."])
+    """The lines of a knowledge base that fits on a page."""
+    return "\n".join(r["line"] for r in index_lines(services, offices).orderBy("ordinal", "id").collect())

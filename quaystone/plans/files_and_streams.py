@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 from quaystone.functions import text as X
-from quaystone.operators import kb, metrics, reports
+from quaystone.operators import kb, metrics, reports, tools
 from quaystone.plans.registry import query
 from quaystone.sources import readers, schemas, sinks
 from quaystone.sources.shared import new_folder
@@ -183,3 +183,60 @@ def stream_log(t):
     intake.append_log(intake.classified(intake.note_stream(spark, f"{folder}/in"), late="60 days"), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
     log = spark.read.schema("report_id string, service_id string, cause string").json(f"{folder}/log")
     return log.select("report_id", "service_id", "cause")
+
+
+_FOUND = "v AS (SELECT CASE WHEN p_partkey % 5 = 0 THEN 'ERROR' ELSE 'WARN' END AS severity, 'V' || (p_partkey % 9) AS rule, 'part ' || p_partkey AS place, p_name AS message FROM part WHERE p_partkey % 3 = 0)"
+
+
+def _violations(t) -> DataFrame:
+    k = F.col("p_partkey")
+    return t("part").where(k % 3 == 0).select(F.concat(F.lit("V"), (k % 9).cast("string")).alias("rule"), F.when(k % 5 == 0, "ERROR").otherwise("WARN").alias("severity"), F.concat(F.lit("part "), k.cast("string")).alias("place"), F.col("p_name").alias("message"))
+
+
+@query(f"WITH {_FOUND} SELECT rpad(severity, 5, ' ') || ' ' || place || ': ' || message AS line FROM v")
+def violation_lines(t):
+    return sinks.report_lines(_violations(t))
+
+
+@query(f"WITH {_FOUND} SELECT 1::INTEGER AS code, count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARN') AS warnings FROM v")
+def exit_codes(t):
+    return sinks.exit_code(_violations(t))
+
+
+@query("SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey END AS nation FROM supplier")
+def json_array(t):
+    """A table as one JSON array in part files, read back line by line: each between the brackets is an element."""
+    s = t("supplier")
+    path = new_folder(s.sparkSession, "array")
+    sinks.write_json_array(s.select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 4 != 0, F.col("s_nationkey")).alias("nation")), path, "s_suppkey")
+    lines = s.sparkSession.read.text(path).where("value not in ('[', ']')")
+    return lines.select(F.from_json(F.ltrim("value", F.lit(",")), "s_suppkey long, s_name string, nation long").alias("x")).select("x.*")
+
+
+@query("""SELECT 1::INTEGER AS ordinal, 's' || s_suppkey AS id, '- s' || s_suppkey || ': ' || s_name || ' (' || (s_suppkey % 3) || '/2 requirements verified)' AS line FROM supplier
+ UNION ALL SELECT 0, NULL, 'Services covered:' UNION ALL SELECT 2, NULL, 'Registry offices: ' || count(*) || '.' FROM customer""")
+def knowledge_index(t):
+    s, k = t("supplier"), F.col("s_suppkey")
+    one = lambda i: F.struct(F.lit(f"r{i}").alias("id"), F.when(k % 3 > i, "verified").otherwise("todo").alias("status"))
+    services = s.select(F.concat(F.lit("s"), k.cast("string")).alias("id"), F.struct(F.col("s_name").alias("it")).alias("title"), F.array(one(0), one(1)).alias("requirements"))
+    return kb.index_lines(services, t("customer"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS call_id, CASE c_custkey % 5 WHEN 0 THEN 'get_source' WHEN 1 THEN 'get_service' WHEN 2 THEN 'get_checklist' WHEN 3 THEN 'find_offices' ELSE 'dance' END AS tool, c_custkey % 7 AS a FROM customer)
+ SELECT call_id, tool, CASE tool WHEN 'get_source' THEN CASE WHEN a < 3 THEN '{"id":"k' || a || '","title":"Source ' || a || '","url":"","publisher":"","retrieved_at":"","status":"ok"}' ELSE '{"error":"Unknown source_id"}' END
+  WHEN 'get_service' THEN CASE WHEN a < 2 THEN '{"id":"k' || a || '","title":{"it":"T' || a || '","en":null},"ente":null,"deciding_questions":null,"steps":null,"unknowns_it":null}' ELSE '{"error":"Unknown service_id"}' END
+  WHEN 'get_checklist' THEN CASE WHEN a < 2 THEN 'still to ask: q' ELSE '{"error":"Unknown service ' || chr(39) || 'k' || a || chr(39) || '"}' END
+  WHEN 'find_offices' THEN CASE WHEN a = 1 THEN '[{"id":"o1","address":"via 1","phone":null},{"id":"o2","address":"via 2","phone":"02"}]' ELSE '[]' END ELSE '{"error":"Unknown tool dance"}' END AS result FROM c""")
+def tool_calls(t):
+    """Calls of the tools, many at once: known and unknown ids, and a tool that there isn't. Of checklists the open question is shown."""
+    c, k = t("customer"), F.col("c_custkey")
+    spark = c.sparkSession
+    tool = F.element_at(F.array(*map(F.lit, ("get_source", "get_service", "get_checklist", "find_offices", "dance"))), (k % 5 + 1).cast("int"))
+    key = F.concat(F.lit("k"), (k % 7).cast("string"))
+    calls = c.select(k.alias("call_id"), tool.alias("tool"), F.create_map(F.lit("source_id"), key, F.lit("service_id"), key, F.lit("municipio"), (k % 7).cast("string")).alias("arguments"))
+    services = spark.createDataFrame([(f"k{i}", (f"T{i}", None), None, None, None, None, [("r", None, None, {"q": ["a"]}, "k0", None, None, "verified")], None, None) for i in range(2)], schemas.SERVICE)
+    sources = spark.createDataFrame([(f"k{i}", f"Source {i}", "", "", "", "", "", "ok", "") for i in range(3)], schemas.SOURCE)
+    offices = spark.createDataFrame([("o1", 1, "via 1", None), ("o2", 1, "via 2", "02")], "id string, municipio int, address string, phone string")
+    answered = tools.answer_calls(calls, services, offices, sources)
+    open_ = F.get_json_object("result", "$.still_to_ask[0]")
+    return answered.withColumn("result", F.when((F.col("tool") == "get_checklist") & open_.isNotNull(), F.concat(F.lit("still to ask: "), open_)).otherwise(F.col("result")))

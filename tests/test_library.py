@@ -182,6 +182,12 @@ def test_sinks(spark, tmp_path):
     day = F.lit(dt.date(2026, 3, 1))
     ics = df.limit(1).select(sinks.calendar_document(F.lit("u"), day, F.lit("Carta, oggi"), F.lit("a\nb"), F.lit(dt.datetime(2026, 1, 2, 3, 4, 5)))).first()[0]
     assert "DTEND;VALUE=DATE:20260302\r\n" in ics and "SUMMARY:Carta\\, oggi\r\n" in ics and "DESCRIPTION:a\\nb\r\n" in ics and "DTSTAMP:20260102T030405Z" in ics
+    sinks.write_json_array(df.repartition(3), str(tmp_path / "a"), "id")
+    parts = "".join(f.read_text() for f in sorted((tmp_path / "a").glob("part-*")))
+    assert json.loads(parts) == [{"id": "a", "snapshot": None, "n": "x"}, {"id": "b", "snapshot": "1", "n": "y"}]
+    sinks.write_json_array(df.limit(0), str(tmp_path / "e"), "id")
+    assert json.loads("".join(f.read_text() for f in sorted((tmp_path / "e").glob("part-*")))) == []
+    assert tuple(sinks.exit_code(df.limit(0).selectExpr("id as severity")).first()) == (0, 0, 0)
     lines, code = sinks.report(spark.createDataFrame([("V1", "ERROR", "p", "m")], "rule string, severity string, place string, message string"))
     assert lines == ["ERROR p: m"] and code == 1
 
@@ -287,6 +293,13 @@ def test_services_and_tools(base_tables, cleaned):
     assert len(json.loads(tools.run("find_offices", {"limit": 1}))) == 1
     assert "error" in json.loads(tools.run("get_service", {})) and "error" in json.loads(tools.run("nothing", {}))
     assert "Carta (5/6" in kb.index_text(services, cleaned)
+    from quaystone.operators.tools import answer_calls
+
+    asked = [("1", "get_source", {"source_id": "no"}), ("2", "get_source", {}), ("3", "get_checklist", {"service_id": "s1", "q1": "b", "q2": "z"}), ("4", "get_checklist", {"service_id": "gone"}), ("5", "get_checklist", {}), ("6", "list_services", {}), ("7", "nothing", {}), ("8", "get_service", {"service_id": "s1"}), ("9", "find_offices", {"municipio": "99"})]
+    got = {r["call_id"]: json.loads(r["result"]) for r in answer_calls(spark.createDataFrame(asked, "call_id string, tool string, arguments map<string,string>"), services, cleaned, base_tables[1]).collect()}
+    assert len(got) == 9 and all("error" in got[i] for i in "12457") and got["9"] == []
+    for i, name, arguments in (("3", "get_checklist", {"service_id": "s1", "answers": {"q1": "b", "q2": "z"}}), ("6", "list_services", {}), ("8", "get_service", {"service_id": "s1"})):
+        assert got[i] == json.loads(tools.run(name, arguments))
 
 
 CASES = {
