@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quaystone.functions import dates, geo, html
 from quaystone.functions import text as X
 from quaystone.operators import kb, metrics, offices, quality, reports, summaries
-from quaystone.operators.tools import DECLARATIONS, KnowledgeBase
+from quaystone.operators.tools import DECLARATIONS, KnowledgeBase, answer_calls
 from quaystone.sources import readers, schemas, sinks
 from quaystone.streaming import reports as stream
 
@@ -282,7 +282,7 @@ def test_checklist_truth_table(base_tables):
     assert kb.get_checklist(services, sources, "none", {}).first()["error"]
 
 
-def test_services_and_tools(base_tables, cleaned):
+def test_services_and_tools(spark, base_tables, cleaned):
     services, sources = base_tables
     assert tuple(kb.list_services(services).select("verified_requirements", "total_requirements").first()) == (5, 6)
     assert [s["order"] for s in kb.get_service(services, "s1").first()["steps"]] == [1]
@@ -293,8 +293,6 @@ def test_services_and_tools(base_tables, cleaned):
     assert len(json.loads(tools.run("find_offices", {"limit": 1}))) == 1
     assert "error" in json.loads(tools.run("get_service", {})) and "error" in json.loads(tools.run("nothing", {}))
     assert "Carta (5/6" in kb.index_text(services, cleaned)
-    from quaystone.operators.tools import answer_calls
-
     asked = [("1", "get_source", {"source_id": "no"}), ("2", "get_source", {}), ("3", "get_checklist", {"service_id": "s1", "q1": "b", "q2": "z"}), ("4", "get_checklist", {"service_id": "gone"}), ("5", "get_checklist", {}), ("6", "list_services", {}), ("7", "nothing", {}), ("8", "get_service", {"service_id": "s1"}), ("9", "find_offices", {"municipio": "99"})]
     got = {r["call_id"]: json.loads(r["result"]) for r in answer_calls(spark.createDataFrame(asked, "call_id string, tool string, arguments map<string,string>"), services, cleaned, base_tables[1]).collect()}
     assert len(got) == 9 and all("error" in got[i] for i in "12457") and got["9"] == []
