@@ -1,10 +1,11 @@
 """Centroid clustering (11) with block-norm screening: exact integer k-means that skips most exact distances.
 
-A vector is cut into segments, and each segment is compressed to its sum and the norm of what the mean leaves over. By Cauchy and Schwarz, two
-segments are at least ((sum - sum')^2 / width + (norm - norm')^2) apart, so vectors and centroids in this form bound their distance
-from below, by two numbers a segment. Segments are compressed once, and stored beside the vectors. In a round each vector gets an exact
-distance to the centroid of the least bound; only centroids whose bound doesn't exceed it get one too. Distances are sums of 64-bit integers;
-bounds are lowered by more than their rounding error, so that no nearest centroid is ever screened out.
+A vector is compressed once: to a code of LEVELS levels a component, times the vector's own step, and to the norm of what the codes leave over in each
+segment. The inner product of vector and centroid is that of code and centroid, plus that of the rest and the centroid, which by
+Cauchy and Schwarz is at most the sum over segments of the two norms' products. So codes, norms and the centroids' segment norms bound each
+squared distance from below. In a round a vector gets an exact distance to the centroid that its code is nearest to; only centroids whose
+bound doesn't exceed it get one too. Distances are sums of 64-bit integers; bounds are lowered by more than their rounding error, so that
+no nearest centroid is ever screened out.
 
 A round sends the centroids to the tasks and a sum a cluster back from each; vectors never shuffle.
 """
@@ -23,33 +24,37 @@ from pyspark.sql import types as T
 from quaystone.llm import base
 
 DIMENSIONS, CLUSTERS, ROUNDS, SCALE, SEED = 64, 16, 3, 64, 1
-SEGMENT = 8
+SEGMENT, LEVELS = 8, 31
 #: Scaled components lie below this in size, so that a squared distance is below 2^63.
 LARGEST = 2**27
 
 
-def compress(v: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
-    """(n, 2 * segments): each segment's sum over the root of its width, and the norm of its distances from the mean."""
-    parts = v.astype(np.float64).reshape(len(v), v.shape[1] // segment, segment)
-    sums = parts.sum(axis=2)
-    rest = (parts * parts).sum(axis=2) - sums * sums / segment
-    return np.concatenate([sums / np.sqrt(segment), np.sqrt(np.maximum(rest, 0.0))], axis=1)
+def compress(v: np.ndarray, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (int8), and each vector's step followed by its segments' norms of v - step * code, rounded up (single precision)."""
+    step = np.maximum(1, -(-2 * np.abs(v).max(axis=1, initial=0) // LEVELS))
+    codes = np.floor_divide(2 * v + step[:, None], 2 * step[:, None])
+    rest = (v - step[:, None] * codes).astype(np.float64).reshape(len(v), v.shape[1] // segment, segment)
+    norms = np.sqrt((rest * rest).sum(axis=2)) * (1 + 1e-6)
+    return codes.astype(np.int8), np.concatenate([step[:, None], norms], axis=1).astype(np.float32)
 
 
-def assign(v: np.ndarray, short: np.ndarray, centroids: np.ndarray, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, int]:
+def assign(v: np.ndarray, codes: np.ndarray, short: np.ndarray, centroids: np.ndarray, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, int]:
     """Each vector's nearest centroid (ties to the smaller number), its squared distance, and how many exact distances that took.
 
-    v: integers; short: ``compress(v)``; centroids: integers.
+    v: integers; codes, short: ``compress(v)``; centroids: integers.
     """
     n, k = len(v), len(centroids)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-    short_c = compress(centroids, segment)
-    size, size_c = (short * short).sum(axis=1), (short_c * short_c).sum(axis=1)
-    bound = size[:, None] + size_c[None, :] - 2.0 * (short @ short_c.T)
-    bound -= 1e-6 * (size[:, None] + size_c[None, :] + 1.0)  # five times what single precision can be off
+    c = centroids.astype(np.float64)
+    parts = c.reshape(k, -1, segment)
+    norms_c, size_c = np.sqrt((parts * parts).sum(axis=2)) * (1 + 1e-9), (c * c).sum(axis=1)
+    size = (v.astype(np.float64) ** 2).sum(axis=1)
+    step, norms = np.round(short[:, :1].astype(np.float64)), short[:, 1:].astype(np.float64)
+    near_by = size[:, None] + size_c[None, :] - 2.0 * step * (codes.astype(np.float64) @ c.T)
+    bound = near_by - 2.0 * (norms @ norms_c.T) - 1e-9 * (size[:, None] + size_c[None, :]) - 1e-3
     exact = lambda rows, which: ((v[rows] - centroids[which]) ** 2).sum(axis=1)
-    first = bound.argmin(axis=1)
+    first = near_by.argmin(axis=1)
     distance = np.full((n, k), np.iinfo(np.int64).max)
     every = np.arange(n)
     distance[every, first] = near = exact(every, first)
@@ -70,8 +75,8 @@ def _vectors(column: pa.Array, dimensions: int) -> np.ndarray:
 
 
 def prepare(vectors: DataFrame, dimensions: int = DIMENSIONS, scale: int = SCALE, segment: int = SEGMENT, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, v (integers floor(scale x)), short (compressed): rows whose vector can be clustered."""
-    schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("v", T.ArrayType(T.IntegerType())), T.StructField("short", T.ArrayType(T.FloatType()))])
+    """vec_id, v (integers floor(scale x)), codes, short (its compressed form): rows whose vector can be clustered."""
+    schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("v", T.ArrayType(T.IntegerType())), T.StructField("codes", T.ArrayType(T.ByteType())), T.StructField("short", T.ArrayType(T.FloatType()))])
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("x")).where(F.size("x") == dimensions)
 
     def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +89,8 @@ def prepare(vectors: DataFrame, dimensions: int = DIMENSIONS, scale: int = SCALE
                 fit = np.isfinite(x).all(axis=1) & (np.abs(v) < LARGEST).all(axis=1)
             v = v[fit].astype(np.int64)
             lists = lambda m, kind: pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], pa.array(m.astype(kind).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(fit)), lists(v, np.int32), lists(compress(v, segment), np.float32)], names=schema.names)
+            codes, short = compress(v, segment)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(fit)), lists(v, np.int32), lists(codes, np.int8), lists(short, np.float32)], names=schema.names)
 
     return rows.mapInArrow(scaled, schema)
 
@@ -107,7 +113,7 @@ def new_centroids(prepared: DataFrame, centroids: np.ndarray, segment: int = SEG
         for batch in batches:
             if batch.num_rows:
                 v = _vectors(batch.column(0), d).astype(np.int64)
-                cluster, _, _ = assign(v, _short(batch.column(1), len(v)), sent.value, segment)
+                cluster, _, _ = assign(v, _vectors(batch.column(1), d), _vectors(batch.column(2), 1 + d // segment), sent.value, segment)
                 n += np.bincount(cluster, minlength=k)
                 order = np.argsort(cluster, kind="stable")
                 there, at = np.unique(cluster[order], return_index=True)
@@ -116,7 +122,7 @@ def new_centroids(prepared: DataFrame, centroids: np.ndarray, segment: int = SEG
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * d, pa.array(sums[some].ravel()))], names=schema.names)
 
-    found = prepared.select("v", "short").mapInArrow(summed, schema)
+    found = prepared.select("v", "codes", "short").mapInArrow(summed, schema)
     parts = found.select("cluster", "n", F.posexplode("sums").alias("i", "part"))
     totals = parts.groupBy("cluster", "i").agg(F.sum("n").alias("n"), F.sum(F.col("part").cast("decimal(38,0)")).alias("total")).collect()  # k d rows
     out = centroids.copy()
@@ -125,10 +131,6 @@ def new_centroids(prepared: DataFrame, centroids: np.ndarray, segment: int = SEG
     return out
 
 
-def _short(column: pa.Array, n: int) -> np.ndarray:
-    return _vectors(column, len(column.flatten()) // n).astype(np.float64)
-
-
 def assigned(prepared: DataFrame, centroids: np.ndarray, segment: int = SEGMENT) -> DataFrame:
     """vec_id, cluster, distance, n_exact: the nearest centroid, and (on a batch's first row) the exact distances that the batch took."""
     schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("cluster", T.IntegerType()), T.StructField("distance", T.LongType()), T.StructField("n_exact", T.LongType())])
@@ -137,13 +139,14 @@ def assigned(prepared: DataFrame, centroids: np.ndarray, segment: int = SEGMENT)
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                v = _vectors(batch.column(1), sent.value.shape[1]).astype(np.int64)
-                cluster, distance, n_exact = assign(v, _short(batch.column(2), len(v)), sent.value, segment)
+                d = sent.value.shape[1]
+                v = _vectors(batch.column(1), d).astype(np.int64)
+                cluster, distance, n_exact = assign(v, _vectors(batch.column(2), d), _vectors(batch.column(3), 1 + d // segment), sent.value, segment)
                 took = np.zeros(len(v), np.int64)
                 took[0] = n_exact
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cluster.astype(np.int32)), pa.array(distance), pa.array(took)], names=schema.names)
 
-    return prepared.select("vec_id", "v", "short").mapInArrow(near, schema)
+    return prepared.select("vec_id", "v", "codes", "short").mapInArrow(near, schema)
 
 
 def cluster(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, dimensions: int = DIMENSIONS, scale: int = SCALE, seed: int = SEED, segment: int = SEGMENT, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

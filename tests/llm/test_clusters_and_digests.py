@@ -53,7 +53,7 @@ def test_clusters_by_brute_force(spark, spread):
     want = brute_kmeans([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows], 16, 3, 64, 64)
     assert sorted((str(r[0]), *r[1:6]) for r in got.collect()) == want
     share = got.first()["exact_share"]
-    assert 1 / 16 <= share <= 1 and (spread == 0 or share < 0.6)  # clustered vectors are told apart by their norms
+    assert 1 / 16 <= share < 0.4
 
 
 def test_few_vectors_and_none(spark):
@@ -74,7 +74,7 @@ def test_bounds_never_screen_out_the_nearest():
         v = rng.integers(-size, size + 1, (500, 64))
         v[100:200] = v[0] + rng.integers(-1, 2, (100, 64))  # nearly alike
         centre = v[rng.choice(500, 16, replace=False)]
-        cluster, distance, n = centroids.assign(v, centroids.compress(v).astype(np.float32).astype(np.float64), centre)
+        cluster, distance, n = centroids.assign(v, *centroids.compress(v), centre)
         every = ((v[:, None, :] - centre[None, :, :]) ** 2).sum(axis=2)
         assert (cluster == every.argmin(axis=1)).all() and (distance == every.min(axis=1)).all() and 500 <= n <= 8000
 
