@@ -6,7 +6,7 @@ docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaystone.llm import base, jaccard, language_id, packing, quality
@@ -48,15 +48,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of linked documents one stays: that with the smallest doc_id (null last), of several with that id the one with the least hash.
 
     Rows are told apart by a 64-bit hash of id and text, so rows that share an id, or have none, are compared like others; of exact
-    repeats of both, one stays. Rows to keep are chosen by id and hash alone, and the documents are shuffled once, to be joined with them.
+    repeats of both, one stays. Rows to keep are chosen by id and hash alone. Each task sends one of the repeats that it has read, so that a
+    row which a third of the table repeats arrives once a task, and the documents are shuffled once, for the join with the rows to keep.
     """
     unnamed, empty = F.col("doc_id").isNull(), F.col("text").isNull()
     keyed = _whole(docs).withColumn("tie", F.xxhash64(F.coalesce("doc_id", F.lit(0)), unnamed, F.coalesce("text", F.lit("")), empty))
     groups = jaccard.jaccard_components(keyed, SHINGLE_WORDS, SIMILARITY_PERCENT, id_col="tie").select(F.col("doc_id").alias("tie"), "component_id").distinct()
     named = keyed.select("tie", "doc_id").distinct()
     kept = groups.join(named, "tie").groupBy("component_id").agg(F.min_by("tie", F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("tie")).select("tie")
-    first = Window.partitionBy("tie").orderBy("tie")
-    return keyed.join(kept, "tie", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*")
+    once = keyed.groupBy("tie").agg(F.first("row").alias("row"))
+    return once.join(kept, "tie", "left_semi").select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
