@@ -14,6 +14,7 @@ from quaystone.operators import kb, metrics, offices, quality, reports, summarie
 from quaystone.plans import files_and_streams, over_time  # noqa: F401 (they add their queries)
 from quaystone.plans.registry import QUERIES, SQL  # noqa: F401
 from quaystone.plans.registry import query as _query
+from quaystone.sources import readers, schemas
 
 
 @_query("""SELECT cast(ts AS DATE) AS day, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS part, count(*)::BIGINT AS total,
@@ -395,6 +396,7 @@ def fact_statuses(t):
 @_query("""WITH c AS (SELECT c_custkey AS k, c_mktsegment AS segment, 'c' || c_custkey || '.json' AS file FROM customer), r AS (SELECT * FROM c WHERE k % 37 <> 0),
  w AS (SELECT k, segment, file, 'r1' AS id, 'segment' AS q FROM r UNION ALL SELECT k, segment, file, CASE WHEN k % 5 = 0 THEN 'r1' ELSE 'r2' END, CASE WHEN k % 3 = 0 THEN 'other' ELSE 'free' END FROM r)
  SELECT 'V10' AS rule, 'ERROR' AS severity, 's' || s_suppkey || '.json' AS place, 'invalid JSON' AS message FROM supplier
+  WHERE NOT json_valid(CASE s_suppkey % 4 WHEN 0 THEN '{"id": "' || s_name || '"}' WHEN 1 THEN '{"id": "' || s_name WHEN 2 THEN s_name ELSE '{"id": "' || s_name || '", "n": [1, 2}' END)
  UNION ALL SELECT 'V11', 'ERROR', file, 'missing ''id''' FROM c WHERE k % 23 = 0 UNION ALL SELECT 'V11', 'ERROR', file, 'missing ''title''' FROM c WHERE k % 29 = 0
  UNION ALL SELECT 'V11', 'ERROR', file, 'missing ''deciding_questions''' FROM c WHERE k % 31 = 0 UNION ALL SELECT 'V11', 'ERROR', file, 'missing ''requirements''' FROM c WHERE k % 37 = 0
  UNION ALL SELECT 'V12', 'ERROR', file || ' requirement ''r1''', 'duplicate id' FROM r WHERE k % 5 = 0
@@ -411,7 +413,11 @@ def service_violations(t):
         F.when(k % 31 != 0, F.array(question("segment", "BUILDING", "MACHINERY", "AUTOMOBILE"), question("free"))).alias("deciding_questions"),
         F.when(k % 37 != 0, F.array(requirement(F.lit("r1"), F.lit("segment"), F.col("c_mktsegment")), requirement(F.when(k % 5 == 0, "r1").otherwise("r2"), F.when(k % 3 == 0, "other").otherwise("free"), F.lit("x")))).alias("requirements"),
     )
-    invalid = t("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".json")).alias("file"), F.lit("invalid JSON").alias("error"))
+    s, name = F.col("s_suppkey") % 4, F.col("s_name")
+    whole = F.concat(F.lit('{"id": "'), name, F.lit('"}'))
+    content = F.when(s == 0, whole).when(s == 1, F.concat(F.lit('{"id": "'), name)).when(s == 2, name).otherwise(F.concat(F.lit('{"id": "'), name, F.lit('", "n": [1, 2}')))
+    files = t("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".json")).alias("file"), content.alias("content"))
+    _, invalid = readers.parse_json_documents(files, schemas.BODY)
     return quality.service_checks(services, invalid)
 
 

@@ -83,6 +83,14 @@ def read_json_documents(spark: SparkSession, folder: str, schema: T.StructType,
     return good, invalid
 
 
+def parse_json_documents(texts: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(documents, invalid): of (file, content), one JSON object a row. Rows whose content isn't one come back as (file, error); nulls too."""
+    wide = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    parsed = texts.select("file", F.from_json("content", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("d"))
+    wrong = F.col("d").isNull() | F.col("d._corrupt").isNotNull()
+    return parsed.where(~wrong).select("file", "d.*").drop("_corrupt"), parsed.where(wrong).select("file", F.lit("invalid JSON").alias("error"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines; blank lines are skipped and a missing file is an empty table."""
     if not _exists(spark, path):

@@ -157,6 +157,13 @@ def test_json_readers(spark, tmp_path):
     assert readers.read_texts(spark, str(tmp_path / "t.txt")).first()["text"] == "a�b"
 
 
+def test_json_texts(spark):
+    texts = spark.createDataFrame([("a", '{"id": "x", "name": "n"}'), ("b", '{"id": "x"'), ("c", None), ("d", "plain"), ("e", "{}"), ("f", "")], "file string, content string")
+    good, invalid = readers.parse_json_documents(texts, schemas.BODY)
+    assert sorted((r["file"], r["id"]) for r in good.collect()) == [("a", "x"), ("e", None)]
+    assert sorted(tuple(r) for r in invalid.collect()) == [(f, "invalid JSON") for f in "bcdf"]
+
+
 def test_ckan_and_links(spark):
     answers = {"https://p/api/3/action/package_show?id=ds1": (json.dumps({"result": {"resources": [{"format": "JSON", "url": "j"}, {"format": "csv", "url": "c"}]}}).encode(), "utf-8"), "c": (b"a;b\n", "utf-8")}
     chosen, body = readers.ckan_csv("https://p/", "ds1", answers.__getitem__)
