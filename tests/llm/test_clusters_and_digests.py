@@ -7,7 +7,6 @@ import re
 import zlib
 from collections import Counter
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -243,14 +242,3 @@ def test_literal_arrays_and_pushed_columns(spark, sf, capsys):
     scored.explain("formatted")
     said = capsys.readouterr().out
     assert "Generate" not in said and "Exchange" not in said and "split(" not in said
-
-
-@pytest.mark.parametrize("name", ["op11_centroids", "op13_resampling"])
-def test_equals_its_sql(spark, sf, name):
-    con = duckdb.connect()
-    for table in ("documents", "embeddings", "benchmark"):
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
-    want = con.sql(registry.oracle_sql()[name])
-    got = registry.queries()[name](spark, sf)
-    assert sorted(got.columns) == sorted(want.columns)
-    assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(want.fetchall())
