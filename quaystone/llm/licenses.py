@@ -18,6 +18,7 @@ import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,6 @@ NOTICES: dict[str, list[str]] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by",
         "You should have received a copy of the GNU General Public License along with this program.",
-        "either version 2 of the License, or (at your option) any later version.",
     ],
     "lgpl": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
@@ -125,6 +125,9 @@ OTHER = "other"
 MADE_UP = ["Frob", "Quillon", "Marrow", "Tessel", "Oakum", "Varda", "Lumen", "Pardo", "Zephyr", "Nimbus", "Harrow", "Solano"]
 NAMES[OTHER] = [f.format(w) for w in MADE_UP for f in ("the {} License", "the {} Public License, version 2", "the {} Open License 1.1")]
 NOTICES[OTHER] = ["You may copy and share this work as long as this notice stays with it and no fee is asked.", "This license applies to all files of the distribution unless a file says otherwise."]
+#: Fixed values. Parts of notices that are too short to be told by most of their words, and what stands for a name in them.
+CLAUSES = {"gpl": ["either version 2 of the License, or (at your option) any later version.", "or, at your option, any later version of the License"]}
+CLAUSE_NAMES = {"gpl": ["at your option any later version"]}
 #: Fixed values. Paragraphs that speak like notices and are none.
 OTHERS = [
     "She had her driving license renewed at the town hall.", "A licensed plumber has to check the pipes.", "The license plate was found by the river.", "Copyright law protects authors and their heirs.", "All seats are reserved for members.",
@@ -143,7 +146,9 @@ GRANTS = frozenset("under license licensed licence licenced licensing terms gove
 DENIALS = frozenset("not no never neither nor without isn't aren't wasn't weren't don't doesn't cannot can't unlike instead against formerly previously".split())
 GRANT_REACH, DENIAL_REACH = 6, 10
 _AFTER = frozenset("license licensed licence licenced licenses".split())
-_CUES = re.compile(r"licen[cs]|copyright|rights reserved|permission|redistribut|spdx|public domain|waived|reproduced|proprietary|mozilla", re.I)
+#: Fixed values. What a reported paragraph speaks of.
+_CUE_WORDS = ("licenc", "licens", "copyright", "rights reserved", "permission", "redistribut", "spdx", "public domain", "waived", "reproduced", "proprietary", "mozilla")
+_CUES = re.compile("|".join(_CUE_WORDS), re.I)
 
 
 def _plain(text: str) -> str:
@@ -170,6 +175,24 @@ class LicenseModel:
     by_first: dict[str, list[tuple[tuple[str, ...], str]]]  # names of licences as words, and their families, by the first word
     signature: np.ndarray  # sorted hashes of words of which every text that covers a notice has one
 
+    @cached_property
+    def notice_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted hashes of the notices' words, which notice has which, and how many words of each a text must hold to cover it."""
+        notices = [t for ts in self.templates.values() for t, _ in ts]
+        words = sorted(frozenset().union(*notices))
+        hashes = np.array([word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0] for w in words])
+        order = np.argsort(hashes)
+        return hashes[order], np.array([[words[i] in t for t in notices] for i in order], np.float32), LEAST_COVER * np.array([len(t) for t in notices], np.float32)
+
+    def may_cover(self, words: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
+        """Whether each text holds enough words of some notice, wherever they stand. text: that of each word."""
+        hashes, of, least = self.notice_words
+        at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
+        held = hashes[at] == words
+        there = np.zeros((n_texts, len(hashes)), np.float32)
+        there[text[held], at[held]] = 1
+        return (there @ of >= least).any(axis=1)
+
     def line_logits(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Logits of many lines at once, from their words' hashes and n+1 offsets."""
         n, owner = len(first) - 1, np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -258,9 +281,9 @@ def _variations(rng: np.random.Generator, notice: str, fillers: list[str], n: in
 
 
 def phrases() -> list[tuple[str, str]]:
-    """(family, text) of all notices and framed names."""
+    """(family, text) of all notices, clauses and framed names."""
     framed = [(f, (c if c[0] == "{" or "." not in n else c).format(n)) for f, names in NAMES.items() for n in names for c in (CLAIMS if f == "proprietary" else FRAMES)]
-    return [(f, n) for f, notices in NOTICES.items() for n in notices] + framed
+    return [(f, n) for given in (NOTICES, CLAUSES) for f, notices in given.items() for n in notices] + framed
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -275,12 +298,12 @@ def train(others: list[str], seed: int = 11, steps: int = 150) -> LicenseModel:
     """
     rng = np.random.default_rng(seed)
     families = sorted(NOTICES)
-    of = {f: [frozenset(_plain(n).lower().split()) for n in notices] for f, notices in NOTICES.items()}
+    of = {f: [frozenset(_plain(n).lower().split()) for n in notices] for f, notices in NOTICES.items() if f != OTHER}
     templates = {f: [(t, t - frozenset().union(*(x for g, xs in of.items() if g != f for x in xs))) for t in ts] for f, ts in of.items()}
     bare = lambda n: re.sub("^(the|an?) ", "", _plain(n).lower())
     by_first: dict[str, list[tuple[tuple[str, ...], str]]] = {}
     for f, ns in NAMES.items():
-        for n in sorted({tuple(bare(n).split()) for n in ns}) if f != OTHER else ():
+        for n in sorted({tuple(bare(n).split()) for n in [*ns, *CLAUSE_NAMES.get(f, ())]}) if f != OTHER else ():
             by_first.setdefault(n[0], []).append((n, f))
     # a cover of LEAST_COVER lacks at most this many words of a notice, so it has one of any set that is larger by one
     lacking = lambda t: next(k for k in range(len(t) + 1) if (len(t) - k - 1) / len(t) < LEAST_COVER)
@@ -360,6 +383,11 @@ def _wrapped(m: LicenseModel, lines: list[str], hit: np.ndarray, sure: dict[int,
     near = np.append(0, np.cumsum(hit))
     words = [_plain(x).split() for x in lines]
     low = [frozenset(w.lower() for w in ws) for ws in words]
+    said = frozenset().union(*low)  # a run has no more words of a notice than the text has
+    live = {f: [(t, telling) for t, telling in ts if len(said & t) >= LEAST_COVER * len(t)] for f, ts in m.templates.items()}
+    live = {f: ts for f, ts in live.items() if ts}
+    if not live:
+        return []
     candidates = []
     for i in range(len(lines)):
         inner, j = 0, i + 1
@@ -368,8 +396,8 @@ def _wrapped(m: LicenseModel, lines: list[str], hit: np.ndarray, sure: dict[int,
             run += words[j]
             if near[j + 1] > near[i]:
                 together = frozenset().union(*low[i : j + 1])
-                for family in families or m.templates:
-                    held = [t for t, telling in m.templates[family] if (telling <= together or len(telling) > 3) and all(len(x & t) < LEAST_COVER * len(t) for x in low[i : j + 1])]
+                for family in (f for f in families or live if f in live):
+                    held = [t for t, telling in live[family] if (telling <= together or len(telling) > 3) and all(len(x & t) < LEAST_COVER * len(t) for x in low[i : j + 1])]
                     cover, t = max(((len(together & t) / len(t), t) for t in held), key=lambda x: x[0], default=(0.0, None))
                     if cover >= LEAST_COVER:
                         inside = [k for k, w in enumerate(run) if w.lower() in t]
@@ -401,13 +429,16 @@ def _scan(model, per_document: bool):
         at = np.minimum(np.searchsorted(m.signature, words), len(m.signature) - 1)
         hit = np.zeros(len(named), bool)
         hit[np.repeat(np.arange(len(named)), np.diff(first))[m.signature[at] == words]] = True
+        n_lines = np.array([text.count("\n") + 1 for text in texts])
+        run = m.may_cover(words, np.repeat(np.repeat(np.arange(len(texts)), n_lines), np.diff(first)), len(texts))
         from_line = 0
-        for text in texts:
+        for text, runs in zip(texts, run.tolist(), strict=True):
             to_line = from_line + text.count("\n") + 1
             mine = slice(from_line, to_line)
             from_line = to_line
-            spoken = m.cues.search(text) is not None
-            if not spoken and not named[mine].any() and not hit[mine].any():
+            low = text.lower()
+            spoken = any(c in low for c in _CUE_WORDS)
+            if not spoken and not named[mine].any() and not runs:
                 yield []
                 continue
             lines, out, sure = text.split("\n"), {}, {}
@@ -421,7 +452,7 @@ def _scan(model, per_document: bool):
                 out[k] = (k, int(starts[k]), len(line), family, p, cover, family != UNKNOWN and p >= LEAST_PROBABILITY and cover >= LEAST_COVER)
                 if out[k][-1]:
                     sure[k] = family
-            for i, j, family, p, cover in _wrapped(m, lines, hit[mine], sure) if hit[mine].any() else ():
+            for i, j, family, p, cover in _wrapped(m, lines, hit[mine], sure) if runs else ():
                 for k in range(i, j + 1):
                     out.pop(k, None)
                 out[i] = (i, int(starts[i]), int(starts[j] + len(lines[j]) - starts[i]), family, p, cover, True)
