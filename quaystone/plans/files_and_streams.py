@@ -46,8 +46,8 @@ def json_documents(t):
     s = t("supplier")
     spark, path = s.sparkSession, new_folder(s.sparkSession, "documents")
     rows = s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 4 != 0, F.concat(F.lit("r"), F.col("s_nationkey").cast("string"))).alias("role_it"))
-    rows.write.option("maxRecordsPerFile", 1).json(path)
-    found, _ = readers.read_json_documents(spark, path, schemas.BODY)
+    sinks.write_json_documents(rows, path)
+    found, _ = readers.read_json_documents(spark, path, schemas.BODY, nested=True)
     return found.select("id", "name", "role_it")
 
 

@@ -6,6 +6,7 @@ All CSV columns are strings; casts are made where a value is used. Row order in
 from __future__ import annotations
 
 import json
+import os
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quaystone.sources.shared import local_path
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -68,21 +71,64 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_json_documents(spark: SparkSession, folder: str, schema: T.StructType, key: str = "id") -> tuple[DataFrame, DataFrame]:
+def read_json_documents(spark: SparkSession, folder: str, schema: T.StructType, key: str = "id", nested: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, invalid files): one JSON object a file. Of documents with the same key the last file's stays.
 
-    Invalid files don't stop the scan: they come back as (file, error).
+    Invalid files don't stop the scan: they come back as (file, error). With ``nested``, the files of subfolders are read too, each subfolder
+    by one task, and files go by their whole paths.
     """
+    last = Window.partitionBy(key).orderBy(F.desc("file"))
+    if nested:
+        read, invalid = parse_json_documents(_document_texts(spark, folder), schema)
+        return read.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n").select(*schema.names, "file"), invalid
     wide = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     read = spark.read.schema(wide).options(multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", pathGlobFilter="*.json").json(folder)
     read = read.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    last = Window.partitionBy(key).orderBy(F.desc("file"))
     # a query of the corrupt column alone isn't allowed, so the key is looked at too
     invalid = read.where("_corrupt is not null").select("file", F.coalesce(F.concat(F.lit("invalid JSON near "), key), F.lit("invalid JSON")).alias("error"))
     good = read.where("_corrupt is null").drop("_corrupt").withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
     return good, invalid
 
 
+def _document_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, content) of all ``*.json`` below a folder.
+
+    Spark's file scan keeps every file's status on the driver and counts 4 MB for each, so that small files make very many tasks. Where Python
+    can open the folder, the driver lists the subfolders alone, and a task lists and reads one of them.
+    """
+    root = local_path(spark, folder)
+    if root is None:
+        texts = spark.read.options(pathGlobFilter="*.json", recursiveFileLookup=True).text(folder, wholetext=True)
+        return texts.select(F.input_file_name().alias("file"), F.col("value").alias("content"))
+    hidden = lambda name: name.startswith(".") or name.startswith("_") and "=" not in name
+    with os.scandir(root) as entries:
+        subfolders = sorted(e.name for e in entries if e.is_dir() and not hidden(e.name))
+
+    def fail(e: OSError) -> None:  # os.walk would leave out what it can't list
+        raise e
+
+    def files(at: str, deep: bool) -> Iterator[str]:
+        for where, below, names in os.walk(at, onerror=fail):
+            below[:] = [x for x in below if deep and not hidden(x)]
+            yield from (f"{where}/{x}" for x in names if x.endswith(".json") and not hidden(x))
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, size = [], 0
+        for name in (x for frame in frames for x in frame["subfolder"]):
+            for file in files(f"{root}/{name}".rstrip("/"), deep=name != ""):
+                with open(file, "rb") as f:
+                    found.append((file, f.read().decode("utf-8", "replace")))
+                size += len(found[-1][1])
+                if len(found) == 1000 or size > 2**22:
+                    yield pd.DataFrame(found, columns=["file", "content"])
+                    found, size = [], 0
+        if found:
+            yield pd.DataFrame(found, columns=["file", "content"])
+
+    names = spark.sparkContext.parallelize([(x,) for x in ("", *subfolders)], 1 + len(subfolders))
+    return spark.createDataFrame(names, "subfolder string").mapInPandas(read, "file string, content string")
+
+
 def parse_json_documents(texts: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(documents, invalid): of (file, content), one JSON object a row. Rows whose content isn't one come back as (file, error); nulls too."""
     wide = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])

@@ -1,13 +1,18 @@
-"""Sinks: CSV, one JSON document, appended JSON lines, keyed update, page snapshots, calendars, report and exit code."""
+"""Sinks: CSV, one JSON document, a JSON document a file, appended JSON lines, keyed update, page snapshots, calendars, report and exit code."""
 
 from __future__ import annotations
 
 import json
+import os
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaystone.sources.readers import with_ordinal
+from quaystone.sources.shared import local_path
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -33,6 +38,42 @@ def to_json_document(df: DataFrame, *order: str) -> str:
     return json.dumps([json.loads(r["j"]) for r in rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).collect()], ensure_ascii=False, indent=2) + "\n"
 
 
+#: Files a folder, about: each task of ``write_json_documents`` has a folder of its own.
+FILES_A_FOLDER = 1000
+
+
+def write_json_documents(df: DataFrame, path: str) -> None:
+    """One JSON object a file, in a new folder: rows are dealt over tasks, each of which writes a subfolder. Read them with ``nested``.
+
+    Subfolders are committed whole and listed by tasks, so the driver renames no file. In Hadoop's local file system each new file starts
+    processes (``chmod`` of the file and of its checksums): on such a path the tasks write the files themselves. A task that is run again
+    writes the same documents under the same names, and a file gets its name when it is whole.
+    """
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-df.count() // FILES_A_FOLDER))
+    dealt = df.repartition(tasks, F.xxhash64(F.to_json(F.struct(*df.columns))))
+    root = local_path(spark, path)
+    if root is None:
+        dealt.withColumn("_folder", F.spark_partition_id()).write.option("maxRecordsPerFile", 1).partitionBy("_folder").json(path)
+        return
+    os.makedirs(root)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get(), 0
+        folder, attempt = f"{root}/_folder={task.partitionId()}", task.taskAttemptId()
+        for batch in batches:
+            os.makedirs(folder, exist_ok=True)
+            for text in batch.column(0).to_pylist():
+                with open(f"{folder}/.{n:09d}-{attempt}", "w", encoding="utf-8", newline="") as f:
+                    f.write(text + "\n")
+                os.replace(f.name, f"{folder}/{n:09d}.json")
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    texts = dealt.select(F.to_json(F.struct(*df.columns)).alias("text")).sortWithinPartitions("text")
+    texts.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("ignoreNullFields", "false").json(path)
 

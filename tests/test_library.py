@@ -1,3 +1,4 @@
+import collections
 import datetime as dt
 import json
 
@@ -8,6 +9,7 @@ from quaystone.functions import dates, geo, html
 from quaystone.functions import text as X
 from quaystone.operators import kb, metrics, offices, quality, reports, summaries
 from quaystone.operators.tools import DECLARATIONS, KnowledgeBase, answer_calls
+from quaystone.plans import files_and_streams
 from quaystone.sources import readers, schemas, sinks
 from quaystone.streaming import reports as stream
 
@@ -164,6 +166,45 @@ def test_json_texts(spark):
     assert sorted(tuple(r) for r in invalid.collect()) == [(f, "invalid JSON") for f in "bcdf"]
 
 
+def test_json_documents_are_dealt_over_tasks(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(files_and_streams, "new_folder", lambda spark, name: str(tmp_path / "query"))
+    rows = files_and_streams.json_documents(lambda name: spark.read.parquet(f"{sf}/{name}.parquet")).count()
+    files = list((tmp_path / "query").rglob("*.json"))
+    assert len(files) == rows > 1 and len({f.parent for f in files}) > 1
+
+
+@pytest.mark.parametrize("scheme", ["file", "viewfs"])
+def test_json_documents_written(spark, tmp_path, monkeypatch, scheme):
+    monkeypatch.setattr(sinks, "FILES_A_FOLDER", 10)
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.docs.link./x", f"file://{tmp_path}")
+    at = {"file": str(tmp_path), "viewfs": "viewfs://docs/x"}[scheme]
+    said = ['says "x"', "two\nlines", "è; 漢", None, ""]
+    rows = [(f"s{i}", said[i % 5], {"q": [said[i % 3]]}, f"r{i}") for i in range(200)] + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "id string, name string, `when` map<string,array<string>>, folder string")
+    sinks.write_json_documents(df.repartition(3), f"{at}/a b")
+    sinks.write_json_documents(df.coalesce(1), f"{at}/again")
+    sinks.write_json_documents(df.limit(0), f"{at}/none")
+    trees = [{str(f.relative_to(tmp_path / d)): json.loads(f.read_text()) for f in (tmp_path / d).rglob("*.json")} for d in ("a b", "again", "none")]
+    whole = sorted(json.dumps({k: v for k, v in zip(df.columns, r) if v is not None}) for r in rows)
+    assert sorted(map(json.dumps, trees[0].values())) == sorted(map(json.dumps, trees[1].values())) == whole and not trees[2]
+    folders = collections.Counter(name.split("/")[0] for name in trees[0])
+    assert len(folders) > 10 and max(folders.values()) < 40
+    if scheme == "file":  # a task that is run again writes the same documents under the same names
+        assert trees[0] == trees[1] and not [f for f in (tmp_path / "a b").rglob(".*") if not f.name.endswith(".crc")]
+        assert readers._document_texts(spark, f"{at}/a b").rdd.getNumPartitions() == len(folders) + 1
+    good, invalid = readers.read_json_documents(spark, f"{at}/a b", df.schema, nested=True)
+    assert sorted(map(str, good.select(*df.columns).collect())) == sorted(map(str, df.collect())) and not invalid.collect()
+    assert readers.read_json_documents(spark, f"{at}/none", df.schema, nested=True)[0].count() == 0
+
+
+def test_json_documents_in_subfolders(spark, tmp_path):
+    for name, text in {"a/2.json": '{"id": "x", "name": "first"}', "b/1.json": '{"id": "x", "name": "last"}', "b/2.json": "{oops"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    good, invalid = readers.read_json_documents(spark, str(tmp_path), schemas.BODY, nested=True)
+    assert [r["name"] for r in good.collect()] == ["last"] and [r["file"].endswith("/b/2.json") for r in invalid.collect()] == [True]
+
+
 def test_ckan_and_links(spark):
     answers = {"https://p/api/3/action/package_show?id=ds1": (json.dumps({"result": {"resources": [{"format": "JSON", "url": "j"}, {"format": "csv", "url": "c"}]}}).encode(), "utf-8"), "c": (b"a;b\n", "utf-8")}
     chosen, body = readers.ckan_csv("https://p/", "ds1", answers.__getitem__)
